@@ -165,16 +165,21 @@ class Coverage:
             counted = counted.select("dashboard", "group", "count", *cells)
         return counted
 
+    def _above_threshold(self) -> DataFrame:
+        threshold = per_dashboard({d.name: d.threshold for d in self.dashboards})
+        return self.counted_groups().filter(F.col("count") >= threshold)
+
+    def reported(self) -> DataFrame:
+        """Names of the dashboards that have any group to report."""
+        return self._above_threshold().select("dashboard").distinct()
+
     def groups(self) -> DataFrame:
         """Group rows as reported: kept, folded, decorated and rebinned."""
         counted = self.counted_groups()
-        threshold = per_dashboard({d.name: d.threshold for d in self.dashboards})
         limits = {d.limit for d in self.dashboards}
         if len(limits) > 1:
             raise ValueError("dashboards of one plan must share their group limit")
-        kept = top_groups(
-            counted.filter(F.col("count") >= threshold), limits.pop(), len(self.dashboards)
-        )
+        kept = top_groups(self._above_threshold(), limits.pop(), len(self.dashboards))
         kinds = {d.name: d.group_by.kind for d in self.dashboards}
         many_unknown = "item" in kinds.values()
         groups = fold_unknown(
@@ -260,6 +265,6 @@ class Coverage:
 
     def checked_lines(self) -> DataFrame:
         """Like :meth:`lines`, but a dashboard without any group is an error."""
-        if self.counted_groups().limit(1).isEmpty():
+        if self._above_threshold().isEmpty():
             raise EmptyGroupingError("no groups found")
         return self.lines()
