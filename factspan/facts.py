@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,14 @@ class SkewPolicy:
     top: int = 256
     slices: int = 64
 
+    def hot_keys(self, rows: DataFrame, column: str) -> list:
+        """At most ``top`` keys of ``column`` that hold many rows; null counts as a key."""
+        sampled = F.pmod(F.xxhash64(*rows.columns), F.lit(self.sample_every)) == 0
+        counted = rows.filter(sampled).groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+        large = counted.filter(F.col("_rows") >= self.min_sampled)
+        top = large.orderBy(F.col("_rows").desc(), column).limit(self.top)
+        return [row[0] for row in top.select(column).collect()]
+
 
 @dataclass(frozen=True)
 class Facts:
@@ -53,6 +62,7 @@ class Facts:
     unknown_prefix: str = UNKNOWN_PREFIX
     entity_prefix: str = ENTITY_PREFIX
     skew: SkewPolicy | None = field(default_factory=SkewPolicy)
+    _hot: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -62,7 +72,22 @@ class Facts:
         return {name: getattr(self, name) for name in SCHEMAS}
 
     def with_skew(self, skew: SkewPolicy | None) -> Facts:
-        return replace(self, skew=skew)
+        return replace(self, skew=skew, _hot={})
+
+    def hot(self, table: str, column: str, properties: Sequence[str] | None = None) -> list:
+        """Hot keys of a fact table's column, looked up once and kept.
+
+        ``properties`` narrows the table to the rows a join is about.
+        """
+        if self.skew is None:
+            return []
+        key = (table, column, tuple(sorted(set(properties or ()))))
+        if key not in self._hot:
+            rows = getattr(self, table)
+            if properties is not None:
+                rows = rows.filter(F.col("property").isin(*key[2]))
+            self._hot[key] = self.skew.hot_keys(rows, column)
+        return self._hot[key]
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows) -> Facts:

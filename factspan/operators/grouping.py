@@ -88,6 +88,15 @@ def group_edges(facts: Facts, by: GroupBy) -> DataFrame:
     return rows.distinct()
 
 
+def hot_entities(facts: Facts, by: GroupBy) -> list:
+    """Entities that hold a large share of the grouping's edges."""
+    if by.edges is not None:
+        return facts.skew.hot_keys(by.edges, "entity_id") if facts.skew else []
+    if by.kind == "site":
+        return facts.hot("sitelinks", "entity_id")
+    return facts.hot("claims", "entity_id", by.path[:1])
+
+
 def restrict_groups(
     edges: DataFrame, dashboard: Dashboard, projects: dict | None = None
 ) -> DataFrame:

@@ -66,8 +66,9 @@ def statement_checks(facts: Facts, checks: Sequence[RefCheck]) -> DataFrame:
     nodes = facts.reference_nodes
     flags = _node_flags(facts, checks)
     if flags is not None:
+        hot = {"reference_id": facts.hot("reference_nodes", "reference_id")}
         nodes = lookup_join(
-            nodes, flags, ["reference_id"], "left", ["statement_id"], facts.skew
+            nodes, flags, ["reference_id"], "left", ["statement_id"], facts.skew, hot
         )
     tests = _snak_tests(checks)
     verdicts = [F.max(_passes(c, tests)).alias(f"ok{i}") for i, c in enumerate(checks)]
@@ -98,6 +99,7 @@ def shown_by_priority(facts: Facts) -> DataFrame:
         "left_semi",
         ["ref_property", "ref_value"],
         facts.skew,
+        {"reference_id": facts.hot("reference_snaks", "reference_id")},
     )
     return shown.drop("_class").distinct()
 
@@ -111,7 +113,8 @@ def _with_node_values(
     facts: Facts, rows: DataFrame, values: DataFrame, how: str
 ) -> DataFrame:
     spread = [c for c in rows.columns if c != "reference_id"]
-    return lookup_join(rows, values, ["reference_id"], how, spread, facts.skew)
+    hot = {"reference_id": facts.hot("reference_nodes", "reference_id")}
+    return lookup_join(rows, values, ["reference_id"], how, spread, facts.skew, hot)
 
 
 def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFrame:
@@ -123,6 +126,7 @@ def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFram
     priority = check.mode in ("any", "good")
     if not priority and not open_properties:
         return rows
+    hot = {"statement_id": facts.hot("reference_nodes", "statement_id")}
     statements = rows.select("statement_id").distinct()
     # A statement's own rows are few per node; the statement side is unique.
     nodes = lookup_join(
@@ -132,6 +136,7 @@ def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFram
         "left_semi",
         ["reference_id"],
         facts.skew,
+        hot,
     )
     if priority:
         nodes = _with_node_values(facts, nodes, shown_by_priority(facts), "left")
@@ -151,4 +156,4 @@ def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFram
         nodes = nodes.withColumn("ref_value", F.coalesce(*names)).drop(*names)
     shown = nodes.drop("reference_id").distinct()
     spread = [c for c in shown.columns if c != "statement_id"] or ["statement_id"]
-    return lookup_join(shown, rows, ["statement_id"], "inner", spread, facts.skew)
+    return lookup_join(shown, rows, ["statement_id"], "inner", spread, facts.skew, hot)

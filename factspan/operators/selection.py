@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts, has_value
-from factspan.operators.skew import hot_keys, lookup_join
+from factspan.operators.skew import lookup_join
 
 
 def select_entities(facts: Facts, selector: DataFrame | str) -> DataFrame:
@@ -46,6 +46,7 @@ def truthy(facts: Facts, properties: Sequence[str] | None = None) -> DataFrame:
         "left_anti",
         ["statement_id"],
         facts.skew,
+        {"entity_id": facts.hot("claims", "entity_id", properties)},
     )
     return preferred.unionByName(kept)
 
@@ -74,7 +75,8 @@ def follow_path(
     if not inner:
         return truthy_edges(start, last, column)
     edges = truthy_edges(start, inner[0])
-    for place, prop in enumerate([*inner[1:], last], start=1):
+    steps = [*inner, last]
+    for place, prop in enumerate(steps[1:], start=1):
         ends = column if place == len(inner) else "value"
         step = truthy_edges(facts, prop, ends).select(
             F.col("entity_id").alias("_via"), F.col("value").alias("_next")
@@ -86,6 +88,7 @@ def follow_path(
             "inner",
             ["entity_id"],
             facts.skew,
+            {"_via": facts.hot("claims", "value", [steps[place - 1]])},
         )
         edges = edges.select("entity_id", F.col("_next").alias("value")).distinct()
     return edges
@@ -124,6 +127,7 @@ def class_closure(facts: Facts, root: str, subclass_of: str) -> DataFrame:
             "left_semi",
             ["class_id"],
             facts.skew,
+            {"parent": facts.hot("claims", "value", [subclass_of])},
         )
         below = below.select("class_id").distinct().join(reached, "class_id", "left_anti")
         frontier = below.checkpoint()
@@ -138,7 +142,8 @@ def entities_of_class(
     """Entities of ``root`` or a class below it; one row per class edge."""
     closure = class_closure(facts, root, subclass_of)
     edges = truthy_edges(facts, instance_of).withColumnRenamed("value", "class_id")
-    found = lookup_join(edges, closure, ["class_id"], "inner", ["entity_id"], facts.skew)
+    hot = {"class_id": facts.hot("claims", "value", [instance_of])}
+    found = lookup_join(edges, closure, ["class_id"], "inner", ["entity_id"], facts.skew, hot)
     return found.select("entity_id")
 
 
@@ -155,21 +160,18 @@ def labels(facts: Facts, lang: str = "en") -> DataFrame:
 
 
 def with_labels(
-    rows: DataFrame, facts: Facts, columns: Sequence[str], lang: str = "en"
+    rows: DataFrame,
+    facts: Facts,
+    columns: Sequence[str],
+    lang: str = "en",
+    hot: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
-    """Add ``<column>_label`` for each id column.
-
-    The hot ids of all columns are found in one pass over the rows.
-    """
+    """Add ``<column>_label`` for each id column; ``hot`` has the hot ids of a column."""
     known = labels(facts, lang)
-    hot = None
-    if facts.skew:
-        ids = F.explode(F.array(*[F.col(c) for c in columns])).alias("_id")
-        hot = hot_keys(rows.select(ids, *rows.columns), ["_id"], rows.columns, facts.skew)
     for column in columns:
         name = "entity_label" if column == "entity_id" else f"{column}_label"
         lookup = known.select(F.col("entity_id").alias(column), F.col("label").alias(name))
         others = [c for c in rows.columns if c != column] or rows.columns
-        here = hot.withColumnRenamed("_id", column) if facts.skew else None
-        rows = lookup_join(rows, lookup, [column], "left", others, facts.skew, here)
+        mine = {column: (hot or {}).get(column, [])}
+        rows = lookup_join(rows, lookup, [column], "left", others, facts.skew, mine)
     return rows

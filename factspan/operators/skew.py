@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import SkewPolicy
 
 
-def hot_keys(
-    rows: DataFrame, on: Sequence[str], spread_by: Sequence[str], skew: SkewPolicy
-) -> DataFrame:
-    """At most ``skew.top`` keys that hold many rows, found from a hash sample.
-
-    The sample depends on the values only, so both sides of a join see the
-    same keys even when a lost task is run again.
-    """
-    sampled = F.pmod(F.xxhash64(*spread_by), F.lit(skew.sample_every)) == 0
-    return (
-        rows.filter(sampled)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= skew.min_sampled)
-        .orderBy(F.col("_rows").desc(), *on)
-        .limit(skew.top)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+def _is_hot(column: str, keys: Sequence) -> Column:
+    values = [key for key in keys if key is not None]
+    test = F.col(column).isin(values) if values else F.lit(False)
+    return F.coalesce(test, F.lit(None in keys))
 
 
 def lookup_join(
@@ -37,28 +23,25 @@ def lookup_join(
     how: str,
     spread_by: Sequence[str],
     skew: SkewPolicy | None,
-    hot: DataFrame | None = None,
+    hot: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` with the rows of hot keys spread over many tasks.
 
-    ``spread_by`` columns tell the rows of one key apart. Lookup rows are copied
-    for hot keys only: ``top * slices`` copies at most when keys are unique
-    there. ``hot`` gives the hot keys where they are known already.
+    ``hot`` maps a join column to its hot keys (see :meth:`Facts.hot`), a short
+    list by construction; ``spread_by`` columns tell the rows of one key apart.
+    Lookup rows are copied for hot keys only, ``slices`` times. Without hot keys
+    this is a plain join.
     """
-    if skew is None:
+    hot = {column: keys for column, keys in (hot or {}).items() if keys}
+    if skew is None or not hot:
         return rows.join(lookup, list(on), how)
-    # At most skew.top rows: the size bound of both broadcasts.
-    hot = F.broadcast(hot_keys(rows, on, spread_by, skew) if hot is None else hot)
-    spread = F.col("_hot")
-    for key in on:
-        spread = spread | F.col(key).isNull()
+    spread = F.lit(False)
+    for column, keys in hot.items():
+        spread = spread | _is_hot(column, keys)
     slot = F.pmod(F.xxhash64(*spread_by), F.lit(skew.slices)).cast("int")
     every_slot = F.sequence(F.lit(0), F.lit(skew.slices - 1))
-    salted = rows.join(hot, list(on), "left").withColumn(
-        "_slot", F.when(spread, slot).otherwise(F.lit(0))
-    )
-    copied = lookup.join(hot, list(on), "left").withColumn(
-        "_slot", F.explode(F.when(F.col("_hot"), every_slot).otherwise(F.array(F.lit(0))))
+    salted = rows.withColumn("_slot", F.when(spread, slot).otherwise(F.lit(0)))
+    copied = lookup.withColumn(
+        "_slot", F.explode(F.when(spread, every_slot).otherwise(F.array(F.lit(0))))
     )
-    keys = [*on, "_slot"]
-    return salted.drop("_hot").join(copied.drop("_hot"), keys, how).drop("_slot")
+    return salted.join(copied, [*on, "_slot"], how).drop("_slot")

@@ -17,6 +17,7 @@ from factspan.operators.grouping import (
     decorate,
     fold_unknown,
     group_edges,
+    hot_entities,
     per_dashboard,
     rebin_years,
     resolve_kind,
@@ -152,7 +153,12 @@ class Coverage:
         if len(sets) == 1:
             pairs = pairs.drop("edge_set")
             entities = entities.drop("edge_set")
-        rows = lookup_join(pairs, entities, keys, "inner", ["group"], self.facts.skew)
+        hot: dict[str, None] = {}
+        for d in (sharing[0] for sharing in sets):
+            hot.update(dict.fromkeys(hot_entities(self.facts, d.group_by)))
+        rows = lookup_join(
+            pairs, entities, keys, "inner", ["group"], self.facts.skew, {"entity_id": list(hot)}
+        )
         sums = []
         for name, column in self.columns.items():
             flag = F.col(f"own_{name}") if follows_group(column) else F.col(name)

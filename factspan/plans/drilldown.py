@@ -107,13 +107,37 @@ class DrillDown:
             return rows.filter(F.lit(False))
         return rows
 
-    def _of_members(self, rows: DataFrame, row: Row, tied: bool = False) -> DataFrame:
+    def _of_members(self, rows: DataFrame, row: Row, column: Column) -> DataFrame:
+        tied = follows_group(column)
         scope, keys = self._scope(row, tied)
+        hot = {"entity_id": self._hot_entities(column)}
         spread = [c for c in rows.columns if c not in keys] or rows.columns
         rows = self._fitting(rows, row, tied)
-        found = lookup_join(rows, scope, keys, "left_semi", spread, self.facts.skew)
+        found = lookup_join(rows, scope, keys, "left_semi", spread, self.facts.skew, hot)
         return found.drop("group")
 
+    def _hot_entities(self, column: Column) -> list:
+        """Entities that hold a large share of the column's rows."""
+        if isinstance(column, Text):
+            return self.facts.hot("terms", "entity_id")
+        if isinstance(column, SiteLink):
+            return self.facts.hot("sitelinks", "entity_id")
+        return self.facts.hot("claims", "entity_id", [column.property])
+
+    def _hot_ids(self, column: Column, names: list[str]) -> dict[str, list]:
+        """Hot ids of the shown columns, for their labels."""
+        facts, hot = self.facts, {"entity_id": self._hot_entities(column)}
+        if "value" in names and isinstance(column, Qualifier):
+            hot["value"] = facts.hot("qualifiers", "value", [column.qualifier])
+        elif "value" in names and isinstance(column, Property | Referenced):
+            hot["value"] = facts.hot("claims", "value", [column.property])
+        for name in names:
+            if name == "ref_property":
+                hot[name] = facts.hot("reference_snaks", "property")
+            elif name.startswith("ref_"):
+                hot[name] = facts.hot("reference_snaks", "value")
+        return hot
+
     # Columns
 
     def _column(self, column: Column | str) -> Column:
@@ -123,7 +147,7 @@ class DrillDown:
         """Distinct (entity, values) of the members that have the column, with labels."""
         column, row = self._column(column), self.row(key)
         rows = self._positive_rows(column, row).distinct()
-        return self._labelled(rows, lang)
+        return self._labelled(rows, column, lang)
 
     def negative(self, column: Column | str, key: str | Row, lang: str = "en") -> DataFrame:
         """Distinct members that lack the column, with labels.
@@ -140,21 +164,21 @@ class DrillDown:
             having = self._fitting(self._not_missing(column), row, tied)
             rows = scope.join(having.select(*keys).distinct(), keys, "left_anti")
             rows = rows.select("entity_id")
-        return self._labelled(rows.distinct(), lang)
+        return self._labelled(rows.distinct(), column, lang)
 
-    def _labelled(self, rows: DataFrame, lang: str) -> DataFrame:
+    def _labelled(self, rows: DataFrame, column: Column, lang: str) -> DataFrame:
         ids = [c for c in rows.columns if c != "snak_type"]
-        return with_labels(rows, self.facts, ids, lang)
+        return with_labels(rows, self.facts, ids, lang, self._hot_ids(column, ids))
 
     def _positive_rows(self, column: Column, row: Row) -> DataFrame:
         facts = self.facts
         if isinstance(column, Property):
             claims = facts.claims.filter(F.col("property") == column.property)
-            return self._of_members(claims.select("entity_id", "value").distinct(), row)
+            return self._of_members(claims.select("entity_id", "value").distinct(), row, column)
         if isinstance(column, Qualifier):
             rows = self._qualified(column)
             rows = rows.select("entity_id", "group", "value", "snak_type").distinct()
-            return self._of_members(rows, row, follows_group(column))
+            return self._of_members(rows, row, column)
         if isinstance(column, Referenced):
             return self._referenced(column, row)
         if isinstance(column, Text):
@@ -163,10 +187,10 @@ class DrillDown:
             if column.kind == "description":
                 names.append("value")
                 terms = terms.withColumnRenamed("text", "value")
-            return self._of_members(terms.select(*names).distinct(), row)
+            return self._of_members(terms.select(*names).distinct(), row, column)
         links = facts.sitelinks.filter(F.col("project_url") == column.url)
         rows = links.select("entity_id", F.col("title").alias("value")).distinct()
-        return self._of_members(rows, row)
+        return self._of_members(rows, row, column)
 
     def _not_missing(self, column: Column) -> DataFrame:
         """Entities (with ``group`` for tied columns) that the negative list leaves out."""
@@ -200,8 +224,9 @@ class DrillDown:
         found = self.facts.qualifiers.filter(F.col("property") == column.qualifier)
         found = found.select("statement_id", "value", "snak_type").distinct()
         spread = ["value", "snak_type"]
+        hot = {"statement_id": self.facts.hot("qualifiers", "statement_id", [column.qualifier])}
         return lookup_join(
-            found, claims, ["statement_id"], "inner", spread, self.facts.skew
+            found, claims, ["statement_id"], "inner", spread, self.facts.skew, hot
         )
 
     # References
@@ -232,8 +257,11 @@ class DrillDown:
         bad = rows.filter("bad").select(*keys).distinct()
         shown = rows.filter(F.col("matches") & has_value())
         shown = shown.select("entity_id", "value", "statement_id", "group")
-        good = lookup_join(shown, bad, keys, "left_anti", ["statement_id"], self.facts.skew)
-        good = self._of_members(good, row, tied)
+        hot = {"entity_id": self._hot_entities(column)}
+        good = lookup_join(
+            shown, bad, keys, "left_anti", ["statement_id"], self.facts.skew, hot
+        )
+        good = self._of_members(good, row, column)
         shown = shown_references(self.facts, column.check, good)
         first = ["entity_id", "value"]
         rest = [c for c in shown.columns if c not in (*first, "statement_id")]
@@ -259,7 +287,8 @@ class DrillDown:
         elif tied and row.kind in ("none", "totals", "site"):
             values = values.filter("bad")
         values = values.select(*dict.fromkeys([*keys, "value"])).distinct()
-        found = lookup_join(values, lacking, keys, "inner", ["value"], self.facts.skew)
+        hot = {"entity_id": self._hot_entities(column)}
+        found = lookup_join(values, lacking, keys, "inner", ["value"], self.facts.skew, hot)
         bare = lacking.join(values.select(*keys).distinct(), keys, "left_anti")
         listed = found.unionByName(bare, allowMissingColumns=True)
         return listed.select("entity_id", "value")

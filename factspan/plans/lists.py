@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factspan.facts import Facts, has_value
 from factspan.functions.markup import is_external
 from factspan.functions.values import is_unknown, year_bin
-from factspan.operators.grouping import UNKNOWN_KEY, group_edges, resolve_kind
+from factspan.operators.grouping import UNKNOWN_KEY, group_edges, hot_entities, resolve_kind
 from factspan.operators.selection import labels, select_entities, truthy
 from factspan.operators.skew import lookup_join
 from factspan.spec import Dashboard, Property, Qualifier, Referenced, Text
@@ -77,8 +77,9 @@ def _field_values(facts: Facts, dashboard: Dashboard, lang: str) -> DataFrame:
             found = facts.qualifiers.filter(F.col("property") == column.qualifier)
             found = found.filter(has_value()).select("statement_id", "value").distinct()
             owners = claims.select("statement_id", "entity_id")
+            hot = {"statement_id": facts.hot("qualifiers", "statement_id", [column.qualifier])}
             rows = lookup_join(
-                found, owners, ["statement_id"], "inner", ["value"], facts.skew
+                found, owners, ["statement_id"], "inner", ["value"], facts.skew, hot
             )
             parts.append(rows.select("entity_id", F.lit(column.key).alias("field"), "value"))
     return reduce(DataFrame.union, parts).distinct()
@@ -102,7 +103,10 @@ def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataF
     edges = edges.select("entity_id", key.alias("group_key"))
     edges = edges.join(groups.select("group_key"), "group_key", "left_semi").distinct()
     selected = select_entities(facts, dashboard.selector).distinct()
-    return lookup_join(edges, selected, ["entity_id"], "left_semi", ["group_key"], facts.skew)
+    hot = {"entity_id": hot_entities(facts, dashboard.group_by)}
+    return lookup_join(
+        edges, selected, ["entity_id"], "left_semi", ["group_key"], facts.skew, hot
+    )
 
 
 def member_lists(
@@ -125,5 +129,6 @@ def member_lists(
     )
     values = _field_values(facts, dashboard, lang)
     keys = ["entity_id", "field"]
-    found = lookup_join(members, values, keys, "left", ["group_key"], facts.skew)
+    hot = {"entity_id": hot_entities(facts, dashboard.group_by)}
+    found = lookup_join(members, values, keys, "left", ["group_key"], facts.skew, hot)
     return found.select("group_key", "entity_id", "position", "field", "value")
