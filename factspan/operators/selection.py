@@ -168,10 +168,12 @@ def with_labels(
 ) -> DataFrame:
     """Add ``<column>_label`` for each id column; ``hot`` has the hot ids of a column."""
     known = labels(facts, lang)
+    order = [c for c in rows.columns if c not in columns]
     for column in columns:
         name = "entity_label" if column == "entity_id" else f"{column}_label"
+        order += [column, name]
         lookup = known.select(F.col("entity_id").alias(column), F.col("label").alias(name))
         others = [c for c in rows.columns if c != column] or rows.columns
         mine = {column: (hot or {}).get(column, [])}
         rows = lookup_join(rows, lookup, [column], "left", others, facts.skew, mine)
-    return rows
+    return rows.select(*order)
