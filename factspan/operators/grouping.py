@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from factspan.facts import Facts, has_value
 from factspan.functions.values import is_unknown, strip_prefix, year_bin
-from factspan.operators.selection import follow_path, labels
+from factspan.operators.selection import among, follow_path, labels
 from factspan.spec import (
     Dashboard,
     EmptyGroupingError,
@@ -69,22 +68,24 @@ def resolve_kind(facts: Facts, dashboard: Dashboard) -> Dashboard:
     return dashboard.with_kind(kind)
 
 
-def group_edges(facts: Facts, by: GroupBy) -> DataFrame:
+def group_edges(facts: Facts, by: GroupBy, near: Facts | None = None) -> DataFrame:
     """Distinct (entity_id, group); an entity is in each of its groups.
 
-    The group is null where a date has no year.
+    The group is null where a date has no year. ``near`` has the facts of the
+    entities in question, where they are cut down.
     """
+    near = near or facts
     if by.edges is not None:
         group = F.col("group")
         if by.kind == "year" and frame_kind(by.edges) == "year":
             group = F.year(group)
         rows = by.edges.select("entity_id", group.cast("string").alias("group"))
     elif by.kind == "site":
-        rows = facts.sitelinks.select("entity_id", F.col("project_url").alias("group"))
+        rows = near.sitelinks.select("entity_id", F.col("project_url").alias("group"))
     else:
         column = "time_year" if by.kind == "year" else "value"
         # follow_path yields distinct rows already.
-        return follow_path(facts, by.path, column).withColumnRenamed("value", "group")
+        return follow_path(facts, by.path, column, near).withColumnRenamed("value", "group")
     return rows.distinct()
 
 
@@ -207,19 +208,18 @@ def per_dashboard(values: dict[str, object]) -> Column:
 
 def higher_groups(facts: Facts, ids: DataFrame, path: Sequence[str]) -> DataFrame:
     """(title, higher_group): one higher group for each group id that has any."""
-    found = follow_path(facts, path, among=ids.select(F.col("title").alias("entity_id")))
+    found = follow_path(facts, path, start=among(facts, ids.select(F.col("title").alias("entity_id"))))
     value = F.min(strip_prefix(F.col("value"), facts.entity_prefix))
     return found.groupBy(F.col("entity_id").alias("title")).agg(value.alias("higher_group"))
 
 
 def link_values(facts: Facts, ids: DataFrame, link: Link) -> DataFrame:
     """(title, link_value): what fills the link template of each group id."""
-    among = ids.select(F.col("title").alias("entity_id"))
+    few = among(facts, ids.select(F.col("title").alias("entity_id")))
     if link.by == "label":
-        few = replace(facts, terms=facts.terms.join(among, "entity_id", "left_semi"))
         found = labels(few, link.arg).withColumnRenamed("label", "value")
     else:
-        found = follow_path(facts, [link.arg], among=among)
+        found = follow_path(facts, [link.arg], start=few)
     return found.groupBy(F.col("entity_id").alias("title")).agg(
         F.min("value").alias("link_value")
     )

@@ -71,13 +71,13 @@ class StatementTests:
             dict.fromkeys(c.check for c in columns if isinstance(c, Referenced))
         )
         properties = sorted({c.property for c in columns})
-        rows = facts.claims.filter(F.col("property").isin(*properties)).select(
-            "entity_id", "property", "statement_id", "snak_type", "value"
-        )
+        claims = facts.claims.filter(F.col("property").isin(*properties))
+        rows = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
         if self.qualifiers:
             rows = rows.join(self._qualifier_flags(facts), "statement_id", "left")
         if self.checks:
-            rows = rows.join(statement_checks(facts, self.checks), "statement_id", "left")
+            checked = statement_checks(facts, self.checks, claims)
+            rows = rows.join(checked, "statement_id", "left")
         self.rows = rows
 
     def _qualifier_flags(self, facts: Facts) -> DataFrame:

@@ -57,13 +57,17 @@ def _passes(check: RefCheck, tests: dict[tuple[str, str | None], str]) -> Column
     return verdict
 
 
-def statement_checks(facts: Facts, checks: Sequence[RefCheck]) -> DataFrame:
+def statement_checks(
+    facts: Facts, checks: Sequence[RefCheck], statements: DataFrame
+) -> DataFrame:
     """(statement_id, ok0, ok1, ...): whether a single node passes each check.
 
-    All checks share one pass over the snaks and one over the nodes. Nodes may
-    be shared by very many statements, so the join on the node is spread.
+    All checks share one pass over the snaks and one over the nodes. Nodes of
+    other ``statements`` go first: of all a graph's references few are in question.
+    Nodes may be shared by very many statements, so the join on the node is spread.
     """
-    nodes = facts.reference_nodes
+    ids = statements.select("statement_id")
+    nodes = facts.reference_nodes.join(ids, "statement_id", "left_semi")
     flags = _node_flags(facts, checks)
     if flags is not None:
         hot = {"reference_id": facts.hot("reference_nodes", "reference_id")}

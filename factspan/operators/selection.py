@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from factspan.facts import Facts, has_value
 from factspan.operators.skew import lookup_join
 
+# Selections up to this many entities are broadcast to the scans of the fact tables.
+NARROW_SELECTION = 100_000
+
 
 def select_entities(facts: Facts, selector: DataFrame | str) -> DataFrame:
     """The selected entities, as often as the selector yields them."""
@@ -61,16 +64,14 @@ def follow_path(
     facts: Facts,
     path: Sequence[str],
     column: str = "value",
-    among: DataFrame | None = None,
+    start: Facts | None = None,
 ) -> DataFrame:
     """Distinct (entity_id, value) at the end of a chain of properties.
 
-    ``column`` is what the last step yields; ``among`` restricts the start to
-    the entities of a frame.
+    ``column`` is what the last step yields; ``start`` has the facts of the
+    first step, where they are cut down to some entities.
     """
-    start = facts
-    if among is not None:
-        start = replace(facts, claims=facts.claims.join(among, "entity_id", "left_semi"))
+    start = start or facts
     *inner, last = path
     if not inner:
         return truthy_edges(start, last, column)
@@ -94,6 +95,26 @@ def follow_path(
     return edges
 
 
+def among(facts: Facts, ids: DataFrame) -> Facts:
+    """Facts about the entities of ``ids`` only; references stay whole."""
+    tables = {
+        name: getattr(facts, name).join(ids, "entity_id", "left_semi")
+        for name in ("claims", "terms", "sitelinks")
+    }
+    return replace(facts, **tables, _hot={})
+
+
+def narrowed(facts: Facts, ids: DataFrame, limit: int = NARROW_SELECTION) -> Facts:
+    """Facts cut down to ``ids`` at the scan, if these are few; else the facts as they are.
+
+    The count is checked, so the broadcast is bounded by ``limit`` ids. With
+    more of them the aggregated flags meet the selection in a shuffle join instead.
+    """
+    if ids.limit(limit + 1).count() > limit:
+        return facts
+    return among(facts, F.broadcast(ids))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one in local mode only."""
     context = spark.sparkContext

@@ -25,7 +25,11 @@ from factspan.operators.grouping import (
     top_groups,
 )
 from factspan.operators.presence import flag_name, pair_presence, presence
-from factspan.operators.selection import ensure_checkpoint_dir, select_entities
+from factspan.operators.selection import (
+    ensure_checkpoint_dir,
+    narrowed,
+    select_entities,
+)
 from factspan.operators.skew import lookup_join
 from factspan.spec import Column, Dashboard, EmptyGroupingError, GroupBy, follows_group
 
@@ -36,9 +40,10 @@ NO_GROUP_KEY, TOTALS_KEY = "None", ""
 class Coverage:
     """The plan of one or more dashboards.
 
-    Two frames feed several branches: the entities with their flags, and the raw
-    group counts. Each is computed once and checkpointed to the shared folder, so
-    no branch repeats the pass over the facts, also when executors are lost.
+    Three frames feed several branches: the selection, the entities with their
+    flags, and the raw group counts. Each is computed once and checkpointed to the
+    shared folder, so no branch repeats the pass over the facts, also when
+    executors are lost.
     """
 
     def __init__(self, facts: Facts, dashboards: Dashboard | Sequence[Dashboard]):
@@ -58,6 +63,7 @@ class Coverage:
         sites = any(d.group_by.kind == "site" and d.groups for d in self.dashboards)
         self._projects = facts.project_table() if sites else None
         self._kept: dict[str, DataFrame] = {}
+        self._near: Facts | None = None
 
     def _keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
@@ -72,8 +78,18 @@ class Coverage:
         wanted = dict.fromkeys(d.group_by for d in self.dashboards if d.row_no_group)
         return {by: f"grouped{i}" for i, by in enumerate(wanted)}
 
+    def near(self) -> Facts:
+        """The facts of the selected entities, if these are few; else all facts."""
+        if self._near is None:
+            ids = self.selected().select("entity_id").distinct()
+            self._near = narrowed(self.facts, ids)
+        return self._near
+
     def selected(self) -> DataFrame:
         """(dashboard, entity_id, times): the selection, with its multiplicity."""
+        return self._keep("selected", self._selected)
+
+    def _selected(self) -> DataFrame:
         parts = [
             select_entities(self.facts, d.selector).select(
                 F.lit(d.name).alias("dashboard"), "entity_id"
@@ -89,10 +105,12 @@ class Coverage:
 
     def _entities(self) -> DataFrame:
         marks = self._grouping_marks()
-        edges = {name: group_edges(self.facts, by) for by, name in marks.items()}
+        edges = {
+            name: group_edges(self.facts, by, self.near()) for by, name in marks.items()
+        }
         rows = self.selected()
         if self.columns or edges:
-            found = presence(self.facts, self.columns, edges)
+            found = presence(self.near(), self.columns, edges)
             rows = rows.join(found, "entity_id", "left")
         flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in self.cells]
         grouped = F.lit(True)
@@ -114,12 +132,12 @@ class Coverage:
         parts = []
         for i, (_, sharing) in enumerate(self._edge_sets().items()):
             first = sharing[0]
-            edges = group_edges(self.facts, first.group_by)
+            edges = group_edges(self.facts, first.group_by, self.near())
             edges = restrict_groups(edges, first, self._projects)
             # A year is never equal to a statement's value.
             matched = tied and first.group_by.kind != "year"
             if matched:
-                own = pair_presence(self.facts, self.columns)
+                own = pair_presence(self.near(), self.columns)
                 edges = edges.join(own, ["entity_id", "group"], "left")
             flags = [
                 (F.coalesce(F.col(n), F.lit(False)) if matched else F.lit(False)).alias(f"own_{n}")
@@ -155,7 +173,7 @@ class Coverage:
             entities = entities.drop("edge_set")
         hot: dict[str, None] = {}
         for d in (sharing[0] for sharing in sets):
-            hot.update(dict.fromkeys(hot_entities(self.facts, d.group_by)))
+            hot.update(dict.fromkeys(hot_entities(self.near(), d.group_by)))
         rows = lookup_join(
             pairs, entities, keys, "inner", ["group"], self.facts.skew, {"entity_id": list(hot)}
         )

@@ -13,7 +13,12 @@ from factspan.functions.values import year_bin
 from factspan.operators.grouping import UNKNOWN_KEY, group_edges, resolve_kind
 from factspan.operators.presence import StatementTests
 from factspan.operators.references import shown_references
-from factspan.operators.selection import select_entities, with_labels
+from factspan.operators.selection import (
+    ensure_checkpoint_dir,
+    narrowed,
+    select_entities,
+    with_labels,
+)
 from factspan.operators.skew import lookup_join
 from factspan.plans.coverage import NO_GROUP_KEY, TOTALS_KEY
 from factspan.spec import (
@@ -50,11 +55,13 @@ def row_from_key(dashboard: Dashboard, key: str) -> Row:
 
 
 class DrillDown:
-    """Lists for the cells of one dashboard; all methods return lazy DataFrames."""
+    """Lists for the cells of one dashboard."""
 
     def __init__(self, facts: Facts, dashboard: Dashboard):
         self.facts = facts
         self.dashboard = resolve_kind(facts, dashboard)
+        self._members: dict[Row, DataFrame] = {}
+        self._near: dict[Row, Facts] = {}
 
     def row(self, key: str | Row) -> Row:
         return key if isinstance(key, Row) else row_from_key(self.dashboard, key)
@@ -72,8 +79,20 @@ class DrillDown:
         return edges.filter(group == row.key)
 
     def members(self, key: str | Row) -> DataFrame:
-        """Distinct selected entities of a row."""
+        """Distinct selected entities of a row, computed once and checkpointed."""
         row = self.row(key)
+        if row not in self._members:
+            ensure_checkpoint_dir(self.facts.spark)
+            self._members[row] = self._find_members(row).checkpoint()
+        return self._members[row]
+
+    def near(self, row: Row) -> Facts:
+        """The facts of the row's members, if these are few; else all facts."""
+        if row not in self._near:
+            self._near[row] = narrowed(self.facts, self.members(row))
+        return self._near[row]
+
+    def _find_members(self, row: Row) -> DataFrame:
         selected = select_entities(self.facts, self.dashboard.selector).distinct()
         if row.kind == "totals":
             return selected
@@ -110,23 +129,26 @@ class DrillDown:
     def _of_members(self, rows: DataFrame, row: Row, column: Column) -> DataFrame:
         tied = follows_group(column)
         scope, keys = self._scope(row, tied)
-        hot = {"entity_id": self._hot_entities(column)}
+        hot = {"entity_id": self._hot_entities(column, row)}
         spread = [c for c in rows.columns if c not in keys] or rows.columns
         rows = self._fitting(rows, row, tied)
         found = lookup_join(rows, scope, keys, "left_semi", spread, self.facts.skew, hot)
         return found.drop("group")
 
-    def _hot_entities(self, column: Column) -> list:
-        """Entities that hold a large share of the column's rows."""
+    def _hot_entities(self, column: Column, row: Row) -> list:
+        """Members that hold a large share of the column's rows."""
+        near = self.near(row)
         if isinstance(column, Text):
-            return self.facts.hot("terms", "entity_id")
+            return near.hot("terms", "entity_id")
         if isinstance(column, SiteLink):
-            return self.facts.hot("sitelinks", "entity_id")
-        return self.facts.hot("claims", "entity_id", [column.property])
+            return near.hot("sitelinks", "entity_id")
+        return near.hot("claims", "entity_id", [column.property])
 
-    def _hot_ids(self, column: Column, names: list[str]) -> dict[str, list]:
+    def _hot_ids(self, column: Column, row: Row, names: list[str]) -> dict[str, list]:
         """Hot ids of the shown columns, for their labels."""
-        facts, hot = self.facts, {"entity_id": self._hot_entities(column)}
+        if names == ["entity_id"]:
+            return {}
+        facts, hot = self.near(row), {"entity_id": self._hot_entities(column, row)}
         if "value" in names and isinstance(column, Qualifier):
             hot["value"] = facts.hot("qualifiers", "value", [column.qualifier])
         elif "value" in names and isinstance(column, Property | Referenced):
@@ -147,7 +169,7 @@ class DrillDown:
         """Distinct (entity, values) of the members that have the column, with labels."""
         column, row = self._column(column), self.row(key)
         rows = self._positive_rows(column, row).distinct()
-        return self._labelled(rows, column, lang)
+        return self._labelled(rows, column, row, lang)
 
     def negative(self, column: Column | str, key: str | Row, lang: str = "en") -> DataFrame:
         """Distinct members that lack the column, with labels.
@@ -161,22 +183,22 @@ class DrillDown:
         else:
             tied = follows_group(column)
             scope, keys = self._scope(row, tied)
-            having = self._fitting(self._not_missing(column), row, tied)
+            having = self._fitting(self._not_missing(column, self.near(row)), row, tied)
             rows = scope.join(having.select(*keys).distinct(), keys, "left_anti")
             rows = rows.select("entity_id")
-        return self._labelled(rows.distinct(), column, lang)
+        return self._labelled(rows.distinct(), column, row, lang)
 
-    def _labelled(self, rows: DataFrame, column: Column, lang: str) -> DataFrame:
+    def _labelled(self, rows: DataFrame, column: Column, row: Row, lang: str) -> DataFrame:
         ids = [c for c in rows.columns if c != "snak_type"]
-        return with_labels(rows, self.facts, ids, lang, self._hot_ids(column, ids))
+        return with_labels(rows, self.facts, ids, lang, self._hot_ids(column, row, ids))
 
     def _positive_rows(self, column: Column, row: Row) -> DataFrame:
-        facts = self.facts
+        facts = self.near(row)
         if isinstance(column, Property):
             claims = facts.claims.filter(F.col("property") == column.property)
             return self._of_members(claims.select("entity_id", "value").distinct(), row, column)
         if isinstance(column, Qualifier):
-            rows = self._qualified(column)
+            rows = self._qualified(column, facts)
             rows = rows.select("entity_id", "group", "value", "snak_type").distinct()
             return self._of_members(rows, row, column)
         if isinstance(column, Referenced):
@@ -192,9 +214,8 @@ class DrillDown:
         rows = links.select("entity_id", F.col("title").alias("value")).distinct()
         return self._of_members(rows, row, column)
 
-    def _not_missing(self, column: Column) -> DataFrame:
+    def _not_missing(self, column: Column, facts: Facts) -> DataFrame:
         """Entities (with ``group`` for tied columns) that the negative list leaves out."""
-        facts = self.facts
         if isinstance(column, Property):
             # Some best-rank statement (value or "none") exists exactly if any
             # statement is not deprecated.
@@ -202,38 +223,38 @@ class DrillDown:
                 (F.col("property") == column.property) & (F.col("rank") != "deprecated")
             ).select("entity_id")
         if isinstance(column, Qualifier):
-            return self._qualified(column).select("entity_id", "group")
+            return self._qualified(column, facts).select("entity_id", "group")
         if isinstance(column, Text):
             return facts.terms.filter(_is_term(column)).select("entity_id")
         assert isinstance(column, SiteLink)
         links = facts.sitelinks.filter(F.col("project_url") == column.url)
         return links.select("entity_id")
 
-    def _qualified(self, column: Qualifier) -> DataFrame:
+    def _qualified(self, column: Qualifier, facts: Facts) -> DataFrame:
         """(entity_id, group, value, snak_type): qualifiers, "no value" ones included.
 
         ``group`` is the statement's main value; a statement without one stays,
         unless the column asks for a value.
         """
-        claims = self.facts.claims.filter(F.col("property") == column.property)
+        claims = facts.claims.filter(F.col("property") == column.property)
         if column.value:
             claims = claims.filter(has_value())
             if not follows_group(column):
                 claims = claims.filter(F.col("value") == column.value)
         claims = claims.select("statement_id", "entity_id", F.col("value").alias("group"))
-        found = self.facts.qualifiers.filter(F.col("property") == column.qualifier)
+        found = facts.qualifiers.filter(F.col("property") == column.qualifier)
         found = found.select("statement_id", "value", "snak_type").distinct()
         spread = ["value", "snak_type"]
-        hot = {"statement_id": self.facts.hot("qualifiers", "statement_id", [column.qualifier])}
+        hot = {"statement_id": facts.hot("qualifiers", "statement_id", [column.qualifier])}
         return lookup_join(
-            found, claims, ["statement_id"], "inner", spread, self.facts.skew, hot
+            found, claims, ["statement_id"], "inner", spread, facts.skew, hot
         )
 
     # References
 
     def _statements(self, column: Referenced, row: Row) -> DataFrame:
         """Statements of the property: value, what matches and what is unsourced."""
-        tests = StatementTests(self.facts, [column])
+        tests = StatementTests(self.near(row), [column])
         rows = tests.rows.select(
             "entity_id",
             "statement_id",
@@ -257,7 +278,7 @@ class DrillDown:
         bad = rows.filter("bad").select(*keys).distinct()
         shown = rows.filter(F.col("matches") & has_value())
         shown = shown.select("entity_id", "value", "statement_id", "group")
-        hot = {"entity_id": self._hot_entities(column)}
+        hot = {"entity_id": self._hot_entities(column, row)}
         good = lookup_join(
             shown, bad, keys, "left_anti", ["statement_id"], self.facts.skew, hot
         )
@@ -287,7 +308,7 @@ class DrillDown:
         elif tied and row.kind in ("none", "totals", "site"):
             values = values.filter("bad")
         values = values.select(*dict.fromkeys([*keys, "value"])).distinct()
-        hot = {"entity_id": self._hot_entities(column)}
+        hot = {"entity_id": self._hot_entities(column, row)}
         found = lookup_join(values, lacking, keys, "inner", ["value"], self.facts.skew, hot)
         bare = lacking.join(values.select(*keys).distinct(), keys, "left_anti")
         listed = found.unionByName(bare, allowMissingColumns=True)
