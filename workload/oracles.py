@@ -563,6 +563,12 @@ def _page(old: str = "stats_for_no_group", middle: str = "'old {{Q|1}}'") -> str
     return _PAGE.replace("OLD", old).replace("MIDDLE", middle)
 
 
+_BELOW = """
+with recursive below as (
+  select {0}::bigint as n union
+  select c_custkey from customer join below on floor(c_custkey / 8) = below.n
+  where c_custkey > 0) """
+
 HAS_COLUMN = {
     "coverage_property": "P1",
     "coverage_qualifier": "P1/P2",
@@ -601,19 +607,11 @@ ORACLES = (
         "select_entities_sql": sql(
             "select entity_id from f_claims where property = 'P3' and value = 'Q7'"
         ),
-        "class_closure_set": """
-with recursive below as (
-  select 1 as n union
-  select n_nationkey from nation join below on floor(n_nationkey / 2) = below.n
-  where n_nationkey > 0)
-select 'Q' || cast(n as varchar) as class_id from below""",
-        "class_closure_members": """
-with recursive below as (
-  select 3 as n union
-  select n_nationkey from nation join below on floor(n_nationkey / 2) = below.n
-  where n_nationkey > 0)
-select 'c' || cast(c_custkey as varchar) as entity_id
-from customer join below on c_nationkey = below.n""",
+        "class_closure_set": _BELOW.format(1)
+        + "select 'c' || cast(n as varchar) as class_id from below",
+        "class_closure_members": _BELOW.format(3)
+        + "select 'o' || cast(o_orderkey as varchar) as entity_id "
+        "from orders join below on o_custkey = below.n",
         "truthy_values": sql(
             "select entity_id, statement_id, rank, snak_type, value from truthy "
             "where property = 'P1'"

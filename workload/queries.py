@@ -98,13 +98,14 @@ def select_entities_sql(spark, sf_dir):
 
 @query
 def class_closure_set(spark, sf_dir):
-    """Nations below Q1 in the tree, with the customers' claims as the facts."""
-    return class_closure(star_facts(spark, sf_dir), "Q1", "P6")
+    """Customers below c1 in the tree of customers."""
+    return class_closure(star_facts(spark, sf_dir), "c1", "P6")
 
 
 @query
 def class_closure_members(spark, sf_dir):
-    return entities_of_class(star_facts(spark, sf_dir), "Q3", "P7", "P6")
+    """Orders of customers below c3."""
+    return entities_of_class(star_facts(spark, sf_dir), "c3", "P11", "P6")
 
 
 @query

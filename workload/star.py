@@ -6,8 +6,8 @@ customers ``c1``, documents ``d1``, nations ``Q1``, regions ``Q1001``.
 Properties: P1 nation of the supplier, one statement per order and line number,
 with ranks, unknown values and "no value"; P3 nation of an order's customer;
 P4 order dates of a customer; P5 region of a nation; P6 parent in a tree of
-nations; P7 nation of a customer; P8 short code of a nation; P9 as P3 with unknown
-values; P10 a wide range of years. Qualifier P2 of P1 is its tax. The nodes of a
+customers; P7 nation of a customer; P8 short code of a nation; P9 as P3 with unknown
+values; P10 a wide range of years; P11 customer of an order. Qualifier P2 of P1 is its tax. The nodes of a
 statement are its line items, with snaks P248 or P143 (return flag) and P854 or
 P813 (line status).
 """
@@ -105,9 +105,9 @@ from ({_STATEMENTS}) s""",
             ),
             _plain_claims(
                 "P6",
-                _NATION,
-                "'Q' || cast(cast(floor(n_nationkey / 2) as bigint) as varchar(20))",
-                "{nation} where n_nationkey > 0",
+                _CUSTOMER,
+                "'c' || cast(cast(floor(c_custkey / 8) as bigint) as varchar(20))",
+                "{customer} where c_custkey > 0",
             ),
             _plain_claims("P7", _CUSTOMER, _HOME, "{customer}"),
             _plain_claims(
@@ -132,6 +132,9 @@ from ({_STATEMENTS}) s""",
                 type="time",
                 year="o_orderkey % 400 - 150",
             ),
+            _plain_claims(
+                "P11", _ORDER, "'c' || cast(o_custkey as varchar(20))", "{orders}"
+            ),
         ]
     ),
     "qualifiers": f"""
