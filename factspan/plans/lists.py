@@ -12,7 +12,12 @@ from factspan.facts import Facts, has_value
 from factspan.functions.markup import is_external
 from factspan.functions.values import is_unknown, year_bin
 from factspan.operators.grouping import UNKNOWN_KEY, group_edges, hot_entities, resolve_kind
-from factspan.operators.selection import labels, select_entities, truthy
+from factspan.operators.selection import (
+    NARROW_SELECTION,
+    labels,
+    select_entities,
+    truthy,
+)
 from factspan.operators.skew import lookup_join
 from factspan.spec import Dashboard, Property, Qualifier, Referenced, Text
 
@@ -85,6 +90,17 @@ def _field_values(facts: Facts, dashboard: Dashboard, lang: str) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
+def _of_groups(facts: Facts, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distinct edges of the wanted groups; a report's rows are few, which is checked."""
+    if wanted.limit(NARROW_SELECTION + 1).count() <= NARROW_SELECTION:
+        return edges.join(F.broadcast(wanted), "group_key", "left_semi").distinct()
+    hot = {"group_key": facts.skew.hot_keys(edges, "group_key") if facts.skew else []}
+    found = lookup_join(
+        edges, wanted, ["group_key"], "left_semi", ["entity_id"], facts.skew, hot
+    )
+    return found.distinct()
+
+
 def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataFrame:
     """Distinct (group_key, entity_id) of the report rows in ``groups``."""
     dashboard = resolve_kind(facts, dashboard)
@@ -101,7 +117,7 @@ def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataF
     else:
         key = key.otherwise(group)
     edges = edges.select("entity_id", key.alias("group_key"))
-    edges = edges.join(groups.select("group_key"), "group_key", "left_semi").distinct()
+    edges = _of_groups(facts, edges, groups.select("group_key").distinct())
     selected = select_entities(facts, dashboard.selector).distinct()
     hot = {"entity_id": hot_entities(facts, dashboard.group_by)}
     return lookup_join(

@@ -19,11 +19,9 @@ from factspan.operators.grouping import per_dashboard
 from factspan.plans.coverage import Coverage
 from factspan.spec import Dashboard
 
-# Largest groups first, then the "no grouping" row, then the totals.
-ROW_ORDER = ("section", "-count", "group_key")
-
 
 def ordered(lines: DataFrame) -> DataFrame:
+    """Largest groups first, then the "no grouping" row, then the totals."""
     return lines.orderBy("dashboard", "section", F.col("count").desc(), "group_key")
 
 

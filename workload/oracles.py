@@ -603,20 +603,20 @@ ORACLES = (
     }
     | DRILLS
     | {
-        "select_entities_bag": BIG_LINES,
+        "select_entities": BIG_LINES,
         "select_entities_sql": sql(
             "select entity_id from f_claims where property = 'P3' and value = 'Q7'"
         ),
         "class_closure_set": _BELOW.format(1)
         + "select 'c' || cast(n as varchar) as class_id from below",
-        "class_closure_members": _BELOW.format(3)
+        "class_closure": _BELOW.format(3)
         + "select 'o' || cast(o_orderkey as varchar) as entity_id "
         "from orders join below on o_custkey = below.n",
         "truthy_values": sql(
             "select entity_id, statement_id, rank, snak_type, value from truthy "
             "where property = 'P1'"
         ),
-        "strip_prefix_ids": sql(
+        "strip_prefix": sql(
             "select entity_id, value as local_id from f_claims where property = 'P3'"
         ),
         "label_fallback": sql("select entity_id, label from labels"),
@@ -727,7 +727,7 @@ from orders group by 1""",
             "union all select 'no groups', 'no groups found'"
         ),
         "member_lists_missing": coverage(ORDERS, HOME, totals=False, body=_LISTED),
-        "member_list_rows": coverage(ORDERS, HOME, totals=False, body=_LIST_ROWS),
+        "member_lists": coverage(ORDERS, HOME, totals=False, body=_LIST_ROWS),
         "extract_dashboard_params": f"""
 {_FIELDS}
 union all

@@ -38,7 +38,8 @@ SITES = GroupBy(kind="site")
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register a query under its name; a trailing underscore only avoids a clash."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -86,7 +87,7 @@ def counts(lines: DataFrame, **cells: str) -> DataFrame:
 
 
 @query
-def select_entities_bag(spark, sf_dir):
+def select_entities_(spark, sf_dir):
     return select_entities(star_facts(spark, sf_dir), selection(spark, sf_dir, "big_lines"))
 
 
@@ -103,7 +104,7 @@ def class_closure_set(spark, sf_dir):
 
 
 @query
-def class_closure_members(spark, sf_dir):
+def class_closure_(spark, sf_dir):
     """Orders of customers below c3."""
     return entities_of_class(star_facts(spark, sf_dir), "c3", "P11", "P6")
 
@@ -115,7 +116,7 @@ def truthy_values(spark, sf_dir):
 
 
 @query
-def strip_prefix_ids(spark, sf_dir):
+def strip_prefix_(spark, sf_dir):
     claims = star_facts(spark, sf_dir).claims.filter("property = 'P3'")
     iri = F.concat(F.lit(ENTITY_PREFIX), "value")
     return claims.select("entity_id", strip_prefix(iri, ENTITY_PREFIX).alias("local_id"))
@@ -558,7 +559,7 @@ def member_lists_missing(spark, sf_dir):
 
 
 @query
-def member_list_rows(spark, sf_dir):
+def member_lists_(spark, sf_dir):
     plan = _linked_plan(spark, sf_dir, "P1,P1/P2,Dde")
     groups = _groups_without_page(spark, sf_dir, plan)
     return member_lists(plan.facts, plan.dashboards[0], groups)
