@@ -65,24 +65,29 @@ def written(rows: DataFrame, partition_by: str | None = None) -> DataFrame:
 _FILTER_ROWS = 1 << 17
 
 
-def likely(rows: DataFrame, keys: list[Column], wanted: DataFrame) -> DataFrame:
-    """Rows whose key may be in ``wanted``, a frame of just the key columns.
+def with_maybe(rows: DataFrame, keys: list[Column], wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false if their key is surely not in ``wanted``.
 
-    A bit map of fixed size (2^17 longs) is broadcast, so its size doesn't
-    depend on the data. It lets some others through and loses none: an exact
-    join has to follow. It spares that join the shuffle of most other rows.
+    ``wanted`` has just the key columns. A bit map of fixed size (2^17 longs) is
+    broadcast, so its size doesn't depend on the data. Some other rows pass and
+    none is lost: an exact join has to follow, which is spared the shuffle of
+    most rows that match nothing.
     """
-    word = lambda h: F.pmod(h, F.lit(_FILTER_ROWS)).cast("int")
-    hashed = wanted.select(F.xxhash64(*[F.col(c) for c in wanted.columns]).alias("h"))
-    bits = hashed.select(
-        word(F.col("h")).alias("_word"),
-        F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("b"),
-    )
-    bits = bits.groupBy("_word").agg(F.bit_or("b").alias("_bits"))
-    marked = rows.withColumn("_hash", F.xxhash64(*keys)).withColumn("_word", word(F.col("_hash")))
-    met = marked.join(F.broadcast(bits), "_word")
-    inside = F.expr("(shiftrightunsigned(_bits, cast(shiftrightunsigned(_hash, 58) as int)) & 1L) = 1")
-    return met.filter(inside).drop("_hash", "_word", "_bits")
+    word = F.pmod(F.col("_hash"), F.lit(_FILTER_ROWS)).cast("int").alias("_word")
+    hashed = wanted.select(F.xxhash64(*[F.col(c) for c in wanted.columns]).alias("_hash"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(_hash, 58) as int))")
+    bits = hashed.select(word, bit.alias("_bit")).groupBy("_word")
+    bits = bits.agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_hash", F.xxhash64(*keys)).select("*", word)
+    met = marked.join(F.broadcast(bits), "_word", "left")
+    inside = "(shiftrightunsigned(_bits, cast(shiftrightunsigned(_hash, 58) as int)) & 1L) = 1"
+    maybe = F.coalesce(F.expr(inside), F.lit(False))
+    return met.withColumn("_maybe", maybe).drop("_hash", "_word", "_bits")
+
+
+def likely(rows: DataFrame, keys: list[Column], wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in ``wanted``; see :func:`with_maybe`."""
+    return with_maybe(rows, keys, wanted).filter("_maybe").drop("_maybe")
 
 
 # Words

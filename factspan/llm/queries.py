@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factspan.llm.neardup import near_duplicates
+from factspan.llm.runindex import without_repeats
+from factspan.llm.substring import without_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,4 +18,19 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+def op7_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_passages(table(spark, sf_dir, "documents"), length=50)
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return rows.select("doc_id", "n_words", "n_removed", digest)
+
+
+def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_repeats(table(spark, sf_dir, "documents"), length=400)
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op4_minhash_near_dedup, op7_seed_extend_dedup, op10_run_index_dedup)
+}
