@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, partition_by: str | None = None) -> DataFrame:
+def written(rows: DataFrame) -> DataFrame:
     """``rows`` as a parquet table in the shared folder, read back.
 
     It cuts the lineage and outlives executors; readers fetch only the columns
@@ -52,8 +52,7 @@ def written(rows: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = rows.sparkSession
     path = shared_folder(spark)
     schema = rows.schema
-    write = rows.write.partitionBy(partition_by) if partition_by else rows.write
-    write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

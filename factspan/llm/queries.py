@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factspan.llm.hmm import language_scores
 from factspan.llm.neardup import near_duplicates
 from factspan.llm.runindex import without_repeats
 from factspan.llm.substring import without_passages
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"), folds=5, fold=1)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -32,5 +37,10 @@ def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_minhash_near_dedup, op7_seed_extend_dedup, op10_run_index_dedup)
+    for f in (
+        op3_hidden_markov_scores,
+        op4_minhash_near_dedup,
+        op7_seed_extend_dedup,
+        op10_run_index_dedup,
+    )
 }
