@@ -36,4 +36,107 @@ from documents d join reach r on r.node = d.doc_id left join sizes z on z.doc_id
 group by d.doc_id
 """
 
-ORACLES = {"op4_minhash_near_dedup": _NEAR_DEDUP}
+_PASSAGES = f"""
+with words as (
+    select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 49], ' ') as s
+    from words, unnest(range(1, len(w) - 48)) as t(i)
+), firsts as (
+    select s, min(doc_id) as low from windows group by s
+), hits as (
+    select doc_id, i from windows join firsts using (s) where low < doc_id
+), places as (
+    select doc_id, i, w[i] as word from words, unnest(range(1, len(w) + 1)) as t(i)
+), judged as (
+    select p.doc_id, p.i, p.word,
+           coalesce(max(h.i) over (partition by p.doc_id order by p.i), -50) >= p.i - 49 as gone
+    from places p left join hits h on h.doc_id = p.doc_id and h.i = p.i
+), cut as (
+    select doc_id, count(*) filter (gone) as n_removed,
+           coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept
+    from judged group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from words left join cut using (doc_id)
+"""
+
+_MIXTURE = r"""
+with sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+           md5('mix:' || doc_id::varchar) as key
+    from documents
+), sources as (
+    select source, sum(size)::bigint as source_size from sized group by source
+), named as (
+    select *, 2 * source_size as cap,
+           case (row_number() over (order by source nulls last) - 1) % 3
+                when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight
+    from sources
+), shared as (
+    select *, cap / weight as ratio,
+           (sum(source_size) over () * 150 / 100 - coalesce(sum(cap) over w, 0))
+           / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as share
+    from named
+    window w as (order by cap / weight, source nulls last
+                 rows between unbounded preceding and 1 preceding)
+), level as (
+    select min(share) filter (share <= ratio) as level from shared
+), targets as (
+    select source, source_size,
+           least(cap::double, coalesce(level * weight, cap::double)) as target
+    from shared, level
+), placed as (
+    select *, coalesce(sum(size) over (
+        partition by source order by key, doc_id
+        rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    from sized
+)
+select doc_id, size::bigint as size, source_size, target,
+       (greatest(0, least(size, floor(target)::bigint - start))
+        + greatest(0, least(size, floor(target)::bigint - source_size - start)))::bigint as taken
+from placed p join targets t on p.source is not distinct from t.source
+"""
+
+_BYTES = """
+with raw as (
+    select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents
+), windows as (
+    select doc_id, i, md5(substr(h, (2 * i + 1)::bigint, 800)) as s
+    from raw, unnest(range(0, len(h) // 2 - 399)) as t(i)
+), repeated as (
+    select s from windows group by s having count(*) > 1
+), hits as (
+    select doc_id, i from windows semi join repeated using (s)
+), starts as (
+    select *, i - coalesce(lag(i) over w, -1000) > 400 as new
+    from hits window w as (partition by doc_id order by i)
+), numbered as (
+    select *, sum(new::int) over (partition by doc_id order by i) as run from starts
+), runs as (
+    select doc_id, run, min(i) as a, max(i) + 400 as b from numbered group by doc_id, run
+), gaps as (
+    select doc_id, coalesce(lag(b) over w, 0) as a, a as b
+    from runs window w as (partition by doc_id order by run)
+    union all
+    select doc_id, max(b), null from runs group by doc_id
+), cut as (
+    select doc_id, string_agg(
+        substr(h, (2 * a + 1)::bigint, (2 * (coalesce(b, len(h) // 2) - a))::bigint), '' order by a) as kept
+    from gaps join raw using (doc_id) group by doc_id
+), counted as (
+    select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by doc_id
+)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, h))) as kept_sha256
+from raw left join counted using (doc_id) left join cut using (doc_id)
+"""
+
+ORACLES = {
+    "op4_minhash_near_dedup": _NEAR_DEDUP,
+    "op7_seed_extend_dedup": _PASSAGES,
+    "op8_source_mixture": _MIXTURE,
+    "op10_run_index_dedup": _BYTES,
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspan.llm.hmm import language_scores
+from factspan.llm.mixture import mixed_to_weights
 from factspan.llm.neardup import near_duplicates
 from factspan.llm.runindex import without_repeats
 from factspan.llm.substring import without_passages
@@ -29,6 +30,11 @@ def op7_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", digest)
 
 
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed_to_weights(table(spark, sf_dir, "documents"), (5, 2, 1), percent=150, most=2)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(table(spark, sf_dir, "documents"), length=400)
     digest = F.sha2("kept", 256).alias("kept_sha256")
@@ -41,6 +47,7 @@ QUERIES = {
         op3_hidden_markov_scores,
         op4_minhash_near_dedup,
         op7_seed_extend_dedup,
+        op8_source_mixture,
         op10_run_index_dedup,
     )
 }
