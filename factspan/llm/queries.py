@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from factspan.llm.hmm import language_scores
 from factspan.llm.mixture import mixed_to_weights
 from factspan.llm.neardup import near_duplicates
+from factspan.llm.quality import quality_scores
 from factspan.llm.runindex import without_repeats
 from factspan.llm.substring import without_passages
+from factspan.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
+
+
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_scores(docs, labels, folds=5, fold=0, threshold=0.3)
+
+
 def op3_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"), folds=5, fold=1)
 
@@ -44,6 +55,8 @@ def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_block_top_k,
+        op2_additive_quality,
         op3_hidden_markov_scores,
         op4_minhash_near_dedup,
         op7_seed_extend_dedup,
