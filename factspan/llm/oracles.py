@@ -136,10 +136,10 @@ from raw left join counted using (doc_id) left join cut using (doc_id)
 
 _TOP_K = """
 with ints as (
-    select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as v
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v
     from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
     select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
     from ints q join ints c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
