@@ -151,10 +151,60 @@ with ints as (
 select * from ranked where rank <= 20
 """
 
+_LEAKS = f"""
+with texts as (
+    select 'd' as kind, doc_id as id, text from documents
+    union all select 'i', item_id, text from benchmark
+), words as (
+    select kind, id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} as w
+    from texts
+), shingles as (
+    select distinct kind, id, array_to_string(w[i:i + 4], ' ') as s
+    from words, unnest(range(1, len(w) - 3)) as t(i)
+), sizes as (
+    select id, count(*) as n from shingles where kind = 'i' group by id
+)
+select d.id as doc_id, i.id as item_id, any_value(n) as n_shingles, count(*) as n_shared
+from shingles d join shingles i on d.kind = 'd' and i.kind = 'i' and d.s = i.s
+join sizes z on z.id = i.id
+group by d.id, i.id
+having 100 * count(*) >= 80 * any_value(n)
+"""
+
+_PERSPECTIVES = """
+with turns as (
+    select distinct conv_id, turn, turn // 64 as piece,
+           replace(replace(coalesce(nullif(trim(role), ''), 'unknown'), '&', '&amp;'), '<|', '&lt;|')
+               as role,
+           replace(replace(coalesce(text, ''), '&', '&amp;'), '<|', '&lt;|') as text
+    from conversations
+), speakers as (
+    select distinct conv_id, role as speaker from turns where role <> 'system'
+), shown as (
+    select conv_id, speaker, piece, turn, role, text, role = speaker as own,
+           '<|im_start|>' || case when role = 'system' then role when role = speaker
+               then 'assistant' else 'user name=' || role end || chr(10) as header
+    from turns join speakers using (conv_id)
+), placed as (
+    select *, header || text || '<|im_end|>' || chr(10) as line,
+           coalesce(sum(length(header) + length(text) + 11) over (
+               partition by conv_id, speaker, piece order by turn, role, text
+               rows between unbounded preceding and 1 preceding), 0) + length(header) as start
+    from shown
+)
+select conv_id, speaker, piece, count(*) as n_turns,
+       string_agg(line, '' order by turn, role, text) as rendered,
+       coalesce(string_agg(start::bigint || '-' || (start + length(text) + 10)::bigint, ','
+                order by turn, role, text) filter (own), '') as mask
+from placed group by conv_id, speaker, piece
+"""
+
 ORACLES = {
     "op1_block_top_k": _TOP_K,
     "op4_minhash_near_dedup": _NEAR_DEDUP,
+    "op6_benchmark_leaks": _LEAKS,
     "op7_seed_extend_dedup": _PASSAGES,
     "op8_source_mixture": _MIXTURE,
+    "op9_chat_perspectives": _PERSPECTIVES,
     "op10_run_index_dedup": _BYTES,
 }

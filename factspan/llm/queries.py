@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factspan.llm.chat import perspectives
+from factspan.llm.decontaminate import leaks
 from factspan.llm.hmm import language_scores
 from factspan.llm.mixture import mixed_to_weights
 from factspan.llm.neardup import near_duplicates
@@ -12,6 +14,7 @@ from factspan.llm.quality import quality_scores
 from factspan.llm.runindex import without_repeats
 from factspan.llm.substring import without_passages
 from factspan.llm.topk import top_k
+from factspan.llm.toxicity import severities
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_passages(table(spark, sf_dir, "documents"), length=50)
     digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -46,6 +57,13 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = perspectives(table(spark, sf_dir, "conversations"))
+    shown = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"]))
+    mask = F.array_join(shown, ",").alias("mask")
+    return views.select("conv_id", "speaker", "piece", "n_turns", "rendered", mask)
+
+
 def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(table(spark, sf_dir, "documents"), length=400)
     digest = F.sha2("kept", 256).alias("kept_sha256")
@@ -59,8 +77,11 @@ QUERIES = {
         op2_additive_quality,
         op3_hidden_markov_scores,
         op4_minhash_near_dedup,
+        op5_ordinal_toxicity,
+        op6_benchmark_leaks,
         op7_seed_extend_dedup,
         op8_source_mixture,
+        op9_chat_perspectives,
         op10_run_index_dedup,
     )
 }
