@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], percent: int, most:
         F.sum("weight").over(before), F.lit(0.0)
     )
     placed = capped.withColumn("ratio", ratio).withColumn("share", left / weights_left)
-    level = F.min(F.when(F.col("share") <= F.col("ratio"), F.col("share"))).over(everything)
+    level = F.max(F.when(F.col("share") <= F.col("ratio"), F.col("share"))).over(everything)
     target = F.least(
         F.col("cap").cast("double"),
         F.coalesce(level * F.col("weight"), F.col("cap").cast("double")),

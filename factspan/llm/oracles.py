@@ -40,14 +40,15 @@ _PASSAGES = f"""
 with words as (
     select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents
 ), windows as (
-    select doc_id, i, array_to_string(w[i:i + 49], ' ') as s
-    from words, unnest(range(1, len(w) - 48)) as t(i)
+    select doc_id, unnest(range(1, len(w) - 48)) as i,
+           unnest([array_to_string(w[i:i + 49], ' ') for i in range(1, len(w) - 48)]) as s
+    from words
 ), firsts as (
     select s, min(doc_id) as low from windows group by s
 ), hits as (
     select doc_id, i from windows join firsts using (s) where low < doc_id
 ), places as (
-    select doc_id, i, w[i] as word from words, unnest(range(1, len(w) + 1)) as t(i)
+    select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from words
 ), judged as (
     select p.doc_id, p.i, p.word,
            coalesce(max(h.i) over (partition by p.doc_id order by p.i), -50) >= p.i - 49 as gone
@@ -82,7 +83,7 @@ with sized as (
     window w as (order by cap / weight, source nulls last
                  rows between unbounded preceding and 1 preceding)
 ), level as (
-    select min(share) filter (share <= ratio) as level from shared
+    select max(share) filter (share <= ratio) as level from shared
 ), targets as (
     select source, source_size,
            least(cap::double, coalesce(level * weight, cap::double)) as target
@@ -103,8 +104,10 @@ _BYTES = """
 with raw as (
     select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents
 ), windows as (
-    select doc_id, i, md5(substr(h, (2 * i + 1)::bigint, 800)) as s
-    from raw, unnest(range(0, len(h) // 2 - 399)) as t(i)
+    select doc_id, unnest(range(0, len(h) // 2 - 399)) as i,
+           unnest([md5(substr(h, (2 * i + 1)::bigint, 800))
+                   for i in range(0, len(h) // 2 - 399)]) as s
+    from raw
 ), repeated as (
     select s from windows group by s having count(*) > 1
 ), hits as (
@@ -159,8 +162,9 @@ with texts as (
     select kind, id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} as w
     from texts
 ), shingles as (
-    select distinct kind, id, array_to_string(w[i:i + 4], ' ') as s
-    from words, unnest(range(1, len(w) - 3)) as t(i)
+    select distinct kind, id,
+           unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) as s
+    from words
 ), sizes as (
     select id, count(*) as n from shingles where kind = 'i' group by id
 )
