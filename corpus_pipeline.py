@@ -1,26 +1,84 @@
-"""A corpus pipeline: each stage works on all that the one before it kept."""
+"""A corpus pipeline: each stage works on all that the one before it kept.
+
+Toxic documents go, one of each group of near copies stays, passages that an earlier
+document has are cut, documents with benchmark items go, and the sources are mixed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factspan.llm.common import written
+from factspan.llm.common import with_maybe, written
+from factspan.llm.decontaminate import without_leaks
+from factspan.llm.mixture import mixed_to_weights
 from factspan.llm.neardup import near_duplicates
+from factspan.llm.runindex import without_repeats
+from factspan.llm.toxicity import without_toxic
+
+# Bytes that a passage has to share with an earlier document to be cut: a little
+# less than fifty words of running text.
+PASSAGE_BYTES = 240
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier toxic than not go."""
+    return without_toxic(docs, _table(spark, sf_dir, "labels"), threshold=0.6)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
-    found = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    copies = written(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
+    told = with_maybe(docs, [F.col("doc_id").cast("long")], copies)
+    near = told.filter("_maybe").join(copies, "doc_id", "left_anti")
+    return told.filter("not _maybe").select(docs.columns).union(near.select(docs.columns))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has are cut; emptied documents go."""
+    given = docs.withColumn("_null", F.col("text").isNull())
+    carry = [c for c in given.columns if c not in ("doc_id", "text")]
+    cut = without_repeats(given, PASSAGE_BYTES, first=True, whole_characters=True, carry=carry)
+    cut = cut.filter("n_removed = 0 or n_removed < n_bytes").select(
+        "doc_id", F.col("kept").cast("string").alias("text"), "n_removed", "row.*"
+    )
+    whole = cut.withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    whole = whole.withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))
+    )
+    return whole.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the words it takes of each."""
+    return mixed_to_weights(docs).filter("taken > 0")
+
 
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+]
 
-STAGES = [("near_dedup", near_dedup)]
+# The toxicity model is not to be had in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; each stage's table is written before the next reads it."""
+    docs = _table(spark, sf_dir, "documents")
     *inner, (_, last) = STAGES
     for _, stage in inner:
         docs = written(stage(spark, docs, sf_dir))

@@ -19,7 +19,7 @@ chance collisions of 64-bit hashes).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,10 +221,10 @@ def repeated_windows(
     found = written(likely(all_found, [F.col("anchor")], shared))
     where = F.struct("rank", "uid1", "uid2", "start", "n", "off")
     classes = found.groupBy("anchor", "around").agg(
-        F.min(where).alias("at"), F.sum("weight").alias("total")
+        F.min(where).alias("at"), F.max("rank").alias("high"), F.sum("weight").alias("total")
     )
     classes = written(
-        classes.select("anchor", "around", "total", "at.*").withColumnRenamed("rank", "low")
+        classes.select("anchor", "around", "total", "high", "at.*").withColumnRenamed("rank", "low")
     )
     differ = (F.count(F.lit(1)) > 1) & (
         (F.min("low") < F.max("low")) if first else F.min("total") == 1
@@ -245,36 +245,40 @@ def repeated_windows(
         own = ["uid1 as anchor", "uid2 as around", "start as at", "n"]
         parts.append(split.selectExpr(*own))
     marks = written(parts[0] if len(parts) == 1 else parts[0].union(parts[1]))
-    known = found.join(classes.select("anchor", "around", "low", "total"), ["anchor", "around"])
+    listed = marks.groupBy("anchor", "around").agg(
+        F.collect_list(F.struct("at", "n")).alias("marks")
+    )
+    told = classes.join(listed, ["anchor", "around"], "left").select(
+        "anchor", "around", "low", "total", "high", "marks"
+    )
+    decided = F.col("high") > F.col("low") if first else F.col("total") > 1
+    told = told.filter(decided | F.col("marks").isNotNull())
     whole = F.col("rank") > F.col("low") if first else F.col("total") > 1
-    full = known.filter(whole).select("uid1", "uid2", "start", "n")
-    some = known.filter(~whole).drop("n").join(marks, ["anchor", "around"])
-    some = some.select("uid1", "uid2", (F.col("start") + F.col("at")).alias("start"), "n")
-    return full.union(some)
+    moved = lambda m: F.struct((F.col("start") + m["at"]).alias("start"), m["n"].alias("n"))
+    runs = F.when(whole, F.array(F.struct("start", "n"))).otherwise(F.transform("marks", moved))
+    known = found.join(told, ["anchor", "around"])
+    return known.select("uid1", "uid2", F.inline(runs))
 
 
 # Texts
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with a key for each text; null texts are empty, null ids last."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(LARGEST)).alias("uid1"),
-        F.xxhash64("text").alias("uid2"),
-        "text",
-    )
-
-
 def marked_texts(
-    docs: DataFrame, kind: Kind, length: int, first: bool
+    docs: DataFrame, kind: Kind, length: int, first: bool, carry: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """The texts that may have repeated windows, with them in ``marks``, and the others.
 
-    Both have (doc_id, text). Only the former are shuffled; some have no marks.
+    Both have (doc_id, text, row); ``row`` has the columns to ``carry`` along. Null texts
+    are empty, null ids rank last. A text's key is its id with a hash of it. Only the
+    former texts are shuffled; some of them have no marks.
     """
-    rows = keyed(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row")
+    ).select(
+        F.coalesce("doc_id", F.lit(LARGEST)).alias("uid1"), F.xxhash64("text").alias("uid2"), "*"
+    )
     units = rows.select(
         "uid1",
         "uid2",
@@ -286,8 +290,10 @@ def marked_texts(
     keys = ["uid1", "uid2"]
     listed = found.groupBy(keys).agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     told = with_maybe(rows, [F.col(c) for c in keys], found.select(keys))
-    near = told.filter("_maybe").join(listed, keys, "left").select("doc_id", "text", "marks")
-    return near, told.filter("not _maybe").select("doc_id", "text")
+    near = told.filter("_maybe").join(listed, keys, "left")
+    return near.select("doc_id", "text", "row", "marks"), told.filter("not _maybe").select(
+        "doc_id", "text", "row"
+    )
 
 
 def covered(marks: pa.ListScalar, length: int) -> list[tuple[int, int]]:

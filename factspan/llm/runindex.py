@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factspan.llm.common import Rolling, mixed, sliced
 from factspan.llm.repeats import Kind, covered, marked_texts
@@ -165,22 +166,42 @@ def _least_of_equal(rank: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.nd
 BYTES = Kind(_symbols, _store, _symbols, matched)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, first: bool = False) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans): documents without repeated byte strings.
+def _whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs without the characters that they begin or end in the middle of."""
+    inner = []
+    for start, stop in runs:
+        while start < stop and data[start] & 0xC0 == 0x80:
+            start += 1
+        while start < stop < len(data) and data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        if start < stop:
+            inner.append((start, stop))
+    return inner
+
+
+def without_repeats(
+    docs: DataFrame,
+    length: int = 400,
+    first: bool = False,
+    whole_characters: bool = False,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """(doc_id, kept, n_bytes, n_removed, n_spans, row): documents without repeated bytes.
 
     Each byte of the UTF-8 text is removed that lies in a string of ``length`` bytes
     which also starts anywhere else, in the same document too; matches never cross
     documents, and all is judged on the input. With ``first`` only strings that
     start in a document with a smaller doc_id are removed, so one copy stays.
-    ``kept`` is binary, as a cut may split a character; ``n_spans`` counts the
-    maximal removed runs.
+    ``kept`` is binary, as a cut may split a character, unless cuts are held to
+    ``whole_characters``; ``n_spans`` counts the maximal removed runs. ``row`` has the
+    columns to ``carry`` along.
 
     Null texts are empty. Rows without doc_id count as the last ones. Rows that
     repeat a doc_id are documents of their own, but none is smaller than another;
     equal rows are copies. Other columns are ignored; an empty table gives an empty
     result.
     """
-    near, far = marked_texts(docs, BYTES, length, first)
+    near, far = marked_texts(docs, BYTES, length, first, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -188,27 +209,22 @@ def without_repeats(docs: DataFrame, length: int = 400, first: bool = False) ->
                 flat, ends = _bytes(batch.column("text"))
                 flat = flat.tobytes()
                 kept, removed, spans = [], [], []
-                for row, marks in enumerate(batch.column("marks")):
-                    own = flat[ends[row] : ends[row + 1]]
+                for place, marks in enumerate(batch.column("marks")):
+                    own = flat[ends[place] : ends[place + 1]]
                     runs = covered(marks, length)
+                    runs = _whole_characters(own, runs) if whole_characters else runs
                     cuts = [0, *(x for span in runs for x in span), len(own)]
-                    left = b"".join(
-                        own[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)
-                    )
+                    left = b"".join(own[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                     kept.append(left)
                     removed.append(len(own) - len(left))
                     spans.append(len(runs))
-                counts = [np.diff(ends), removed, spans]
+                counts = [pa.array(c, pa.int64()) for c in (np.diff(ends), removed, spans)]
+                columns = [batch.column("doc_id"), pa.array(kept, pa.binary()), *counts]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(kept, pa.binary()),
-                        *(pa.array(c, pa.int64()) for c in counts),
-                    ],
-                    ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
+                    [*columns, batch.column("row")],
+                    ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "row"],
                 )
 
-    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
     none = F.lit(0).cast("long")
     same = far.select(
         "doc_id",
@@ -216,5 +232,7 @@ def without_repeats(docs: DataFrame, length: int = 400, first: bool = False) ->
         F.octet_length("text").cast("long").alias("n_bytes"),
         none.alias("n_removed"),
         none.alias("n_spans"),
+        "row",
     )
-    return near.mapInArrow(run, schema).union(same)
+    nullable = [T.StructField(f.name, f.dataType, True) for f in same.schema]
+    return near.mapInArrow(run, T.StructType(nullable)).union(same)

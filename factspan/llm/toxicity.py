@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factspan.llm.common import sliced, split_words, written
 
@@ -193,6 +194,10 @@ def _trained(docs: DataFrame, labels: DataFrame, rows: int, grades: int) -> Ordi
     return fitted(np.repeat(np.arange(n), sizes), *flat, label, names, grades)
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+
+
 def severities(
     docs: DataFrame,
     labels: DataFrame,
@@ -213,7 +218,7 @@ def severities(
     both kinds every text gets the same. Other columns are ignored; an empty table
     gives an empty result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    plain = _plain(docs)
     model = _trained(plain, labels, training_rows, grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,3 +238,28 @@ def severities(
                 )
 
     return plain.mapInArrow(run, "doc_id long, toxicity double, severity double, grade int")
+
+
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.6,
+    grades: int = GRADES,
+    training_rows: int = TRAINING_ROWS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose ``toxicity`` is below the threshold.
+
+    The model is that of :func:`severities`; rows without doc_id are judged by their
+    text like others.
+    """
+    model = _trained(_plain(docs), labels, training_rows, grades)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole):
+                row, feature, count = _counts(batch, model.features)
+                toxicity = model.chances(row, feature, count, batch.num_rows)[:, 0]
+                yield batch.filter(pa.array(toxicity < threshold))
+
+    return docs.mapInArrow(run, schema)
