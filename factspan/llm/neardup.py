@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factspan.llm.common import (
@@ -24,6 +24,9 @@ from factspan.llm.components import connected_components
 # 32 bands of 4 ranks: two sets of similarity 0.8 share no band once in 2 * 10^7.
 BANDS, ROWS = 32, 4
 
+# Sets in a block of a family, and shingles that are multiplied at a time.
+_BLOCK, _COLUMNS = 512, 4096
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, 257, dtype=np.uint64) * _GOLDEN
 
@@ -158,69 +161,206 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return fit.select(a.alias("a"), b.alias("b")).distinct()
 
 
+class _Links:
+    """Links found so far, and the candidate pairs that need no further check."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def check(self, met: DataFrame) -> None:
+        pairs = _ordered(met, self.percent)
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = written(pairs)
+        found = _verified(pairs, self.sets, self.percent)
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self.links = written(found if self.links is None else self.links.union(found))
+
+    def labelled(self, crowd: DataFrame) -> DataFrame:
+        if self.links is None or self.links.isEmpty():
+            return crowd.withColumn("component", F.col("x.node"))
+        labels = connected_components(self.links).withColumnRenamed("node", "_node")
+        joined = crowd.join(labels, F.col("x.node") == F.col("_node"), "left").drop("_node")
+        return joined.withColumn("component", F.coalesce("component", "x.node"))
+
+    def open_part(self, crowd: DataFrame) -> DataFrame:
+        """Members (bucket, x, led, component) of buckets that may still hide a link.
+
+        A member that has led was compared with all others, so only pairs of members
+        that haven't matter, if they are in different components.
+        """
+        labelled = self.labelled(crowd)
+        waiting = F.when(~F.col("led"), F.col("component"))
+        state = labelled.groupBy("bucket").agg(
+            F.min(waiting).alias("low"), F.max(waiting).alias("high")
+        )
+        still = state.filter("low <> high").select("bucket")
+        return written(labelled.join(still, "bucket", "left_semi"))
+
+    def round(self, crowd: DataFrame, slots: int) -> DataFrame:
+        """Compare members with up to ``slots`` leaders of their bucket.
+
+        Leaders are spread over components first: a component that has a bucket's
+        other members as leaders need not lead itself.
+        """
+        inner = 1
+        while inner * inner * 4 <= slots:
+            inner *= 2
+        slot = F.concat_ws(
+            "/",
+            F.pmod(F.xxhash64("component", F.lit(slots)), F.lit(slots // inner)),
+            F.pmod(F.xxhash64("x.node", F.lit(slots)), F.lit(inner)),
+        )
+        crowd = crowd.withColumn("slot", slot)
+        leaders = crowd.filter("not led").groupBy("bucket", "slot")
+        leaders = written(leaders.agg(F.min(F.struct("x", "component")).alias("leader")))
+        met = crowd.drop("slot").join(leaders.drop("slot"), "bucket")
+        met = met.filter("component <> leader.component")
+        self.check(met.select("x", F.col("leader.x").alias("y")))
+        chosen = leaders.select("bucket", "slot", F.col("leader.x.node").alias("chosen"))
+        leads = F.col("led") | (F.col("x.node") == F.col("chosen"))
+        return crowd.join(chosen, ["bucket", "slot"], "left").select(
+            "bucket", "x", F.coalesce(leads, F.lit(False)).alias("led")
+        )
+
+
+def _families(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
+    """(node, family) of the members that share a rare shingle with another; None without any.
+
+    Sets that have ``percent`` of their shingles in common differ in the rest; so
+    among one more than that rest, in any common order, there is a shared one. In
+    the order of rarity few others share it. Shingles that no other member has come
+    first, and a member with too many of them is similar to no other. So similar
+    members are always in one family, and most others in none.
+    """
+    own = sets.withColumn("key", F.xxhash64("shingles"))
+    size = F.size("shingles").cast("long")
+    flat = own.join(members, "node", "left_semi").select(
+        "node", "key", size.alias("n"), F.explode("shingles").alias("shingle")
+    )
+    often = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    whole = Window.partitionBy("node", "key")
+    place = F.row_number().over(whole.orderBy("often", "shingle"))
+    met = flat.join(often, "shingle").select(
+        "*", place.alias("place"), F.count(F.lit(1)).over(whole).alias("m")
+    )
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = met.filter(F.col("place") + F.col("n") - F.col("m") <= needed)
+    rare = written(kept.select("shingle", "node").distinct())
+    least = rare.groupBy("shingle").agg(F.min("node").alias("a"))
+    pairs = rare.withColumnRenamed("node", "b").join(least, "shingle").select("a", "b")
+    pairs = written(pairs.filter("a <> b").distinct())
+    if pairs.isEmpty():
+        return None
+    return connected_components(pairs).withColumnRenamed("component", "family")
+
+
+def _links_in(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of different components among some sets, by products of incidences."""
+    component = table.column("component").to_numpy()
+    if not len(component) or (component == component[0]).all():
+        return []
+    node = table.column("node").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    tokens = lists.flatten().to_numpy()
+    _, column, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    shared = often[column] > 1
+    column, owner = column[shared], owner[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(n), len(n)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        part = np.zeros((len(n), _COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    union = n[:, None] + n[None, :] - common
+    similar = (common * 100 >= union * percent) & (component[:, None] < component[None, :])
+    return [(int(node[i]), int(node[j])) for i, j in np.argwhere(similar)]
+
+
+def _links_of_families(
+    sets: DataFrame, labelled: DataFrame, families: DataFrame, percent: int
+) -> DataFrame:
+    """All links between different components of a family's members.
+
+    A family is compared block by block: no task gets more than two blocks, however
+    large the family is, and only links leave it. Small families share tasks.
+    """
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    packs = max(1, families.count() // _BLOCK)
+    pack = F.pmod(F.xxhash64("family"), F.lit(packs))
+    rows = families.join(sizes, "family").withColumn("blocks", blocks)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.select(
+        "node",
+        (F.col("blocks") > 1).alias("large"),
+        F.when(F.col("blocks") > 1, F.col("family")).otherwise(pack).alias("part"),
+        own.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    rows = rows.join(labelled, "node").join(sets, "node").select(
+        "large",
+        "part",
+        F.least("block", "other").alias("one"),
+        F.greatest("block", "other").alias("two"),
+        "node",
+        "component",
+        "shingles",
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        links = _links_in(table.combine_chunks(), percent)
+        columns = [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)]
+        return pa.table(dict(zip(("a", "b"), columns, strict=True)))
+
+    found = rows.groupBy("large", "part", "one", "two").applyInArrow(run, "a long, b long")
+    return found.distinct()
+
+
 def similar_links(
     docs: DataFrame, sketched: DataFrame, width: int, percent: int
 ) -> DataFrame | None:
     """Links (a, b) that join all similar documents of different sets; None without any.
 
-    Documents that share a band are candidates. No bucket is paired in full:
-    each round picks leaders in each bucket and checks the bucket's members
-    against them: the least node first, then up to 8, 64, ... of those that
-    have not led yet. Members that are already in one component need no further
-    check, so a bucket of thousands of copies is closed after a round. A bucket
-    stays open until all its members are in one component or all have been
-    compared with each other, so no link that could unite two components is
-    missed.
+    Documents that share a band are candidates. No bucket is paired in full: its
+    members are compared with its least node, then, unless that put them all into
+    one component, with up to eight others. What remains open are buckets of many
+    texts with a large part in common but below the threshold. Their members are
+    dealt anew into families by their rarest shingles, an exact filter that parts
+    such texts, and families are compared in full, block by block. So no link that
+    could unite two components is missed.
     """
     some = sketched.filter("n_shingles > 0 and doc_id is not null")
     first = some.groupBy("print1", "print2").agg(F.min("doc_id").alias("doc_id"))
     nodes = some.join(first, ["print1", "print2", "doc_id"], "left_semi")
     member = F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     members = nodes.select(member.alias("x"), F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("x").alias("leader"), F.max("x.node").alias("last"))
-    ends = ends.filter(F.col("leader.node") != F.col("last")).drop("last")
-    crowd = written(members.join(ends, "bucket"))
+    ends = members.groupBy("bucket").agg(F.min("x.node").alias("a"), F.max("x.node").alias("b"))
+    crowd = members.join(ends.filter("a <> b").select("bucket"), "bucket", "left_semi")
+    crowd = written(crowd.withColumn("led", F.lit(False)))
     if crowd.isEmpty():
         return None
     ids = crowd.select(F.col("x.node").alias("doc_id")).distinct()
-    sets = written(_sets_of(docs, ids, width))
-    tested = written(_ordered(crowd.withColumn("y", F.col("leader")), percent))
-    links = written(_verified(tested, sets, percent))
-    crowd = crowd.withColumn("led", F.col("x.node") == F.col("leader.node")).drop("leader")
-    slots = 8
-    while True:
-        if links.isEmpty():
-            labelled = crowd.withColumn("component", F.col("x.node"))
-        else:
-            labels = connected_components(links).withColumnRenamed("node", "_node")
-            labelled = crowd.join(labels, F.col("x.node") == F.col("_node"), "left")
-            own = F.coalesce("component", "x.node")
-            labelled = labelled.withColumn("component", own).drop("_node")
-        state = labelled.groupBy("bucket").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.sum(F.when(F.col("led"), 0).otherwise(1)).alias("waiting"),
-        )
-        open_ones = state.filter("low <> high and waiting > 1").select("bucket")
-        slot = F.pmod(F.xxhash64("x.node", F.lit(slots)), F.lit(slots))
-        labelled = written(labelled.join(open_ones, "bucket", "left_semi").withColumn("slot", slot))
-        if labelled.isEmpty():
-            return links
-        leaders = labelled.filter("not led").groupBy("bucket", "slot")
-        leaders = leaders.agg(F.min(F.struct("x", "component")).alias("leader"))
-        met = labelled.drop("slot").join(leaders.drop("slot"), "bucket")
-        met = met.filter("component <> leader.component").select("x", F.col("leader.x").alias("y"))
-        fresh = written(_ordered(met, percent).join(tested, ["a", "b"], "left_anti"))
-        more = _verified(fresh, sets, percent)
-        links = written(links.union(more))
-        tested = tested.union(fresh)
-        chosen = leaders.select("bucket", "slot", F.col("leader.x.node").alias("chosen"))
-        leads = F.col("led") | (F.col("x.node") == F.col("chosen"))
-        crowd = labelled.join(chosen, ["bucket", "slot"], "left").select(
-            "bucket", "x", F.coalesce(leads, F.lit(False)).alias("led")
-        )
-        crowd = written(crowd)
-        slots *= 8
+    found = _Links(written(_sets_of(docs, ids, width)), percent)
+    crowd = found.round(found.labelled(crowd), 1)
+    crowd = found.open_part(crowd)
+    if crowd.isEmpty():
+        return found.links
+    crowd = found.open_part(found.round(crowd, 8))
+    if crowd.isEmpty():
+        return found.links
+    left = written(crowd.select(F.col("x.node").alias("node"), "component").distinct())
+    families = _families(found.sets, left.select("node"), percent)
+    if families is None:
+        return found.links
+    return found.links.union(_links_of_families(found.sets, left, families, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
