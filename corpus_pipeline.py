@@ -40,18 +40,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has are cut; emptied documents go."""
-    given = docs.withColumn("_null", F.col("text").isNull())
-    carry = [c for c in given.columns if c not in ("doc_id", "text")]
-    cut = without_repeats(given, PASSAGE_BYTES, first=True, whole_characters=True, carry=carry)
-    cut = cut.filter("n_removed = 0 or n_removed < n_bytes").select(
-        "doc_id", F.col("kept").cast("string").alias("text"), "n_removed", "row.*"
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    given = docs.select(
+        "doc_id", "text", F.struct(*others, F.col("text").isNull().alias("_null")).alias("_rest")
     )
-    whole = cut.withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    whole = whole.withColumn(
-        "n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))
+    cut = without_repeats(
+        given, PASSAGE_BYTES, first=True, whole_characters=True, carry=["_rest"]
     )
-    return whole.select(docs.columns)
+    cut = cut.filter("n_removed = 0 or n_removed < n_bytes")
+    rest = F.col("row")["_rest"]
+    text = F.when(~rest["_null"], F.col("kept").cast("string"))
+    length = F.length(F.col("kept").cast("string")).cast(docs.schema["n_chars"].dataType)
+    new = {
+        "doc_id": F.col("doc_id"),
+        "text": text,
+        "n_chars": F.when(F.col("n_removed") > 0, length).otherwise(rest["n_chars"]),
+    }
+    return cut.select(*[new.get(c, rest[c]).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
