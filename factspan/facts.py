@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,29 +27,6 @@ SCHEMAS = {
 }
 
 
-@dataclass(frozen=True)
-class SkewPolicy:
-    """How many-to-one joins treat keys that hold a large share of the rows.
-
-    One row in ``sample_every`` (by hash) is counted per key; the ``top`` keys
-    with at least ``min_sampled`` sampled rows are spread over ``slices``
-    tasks. Only the physical spread depends on it, never the result.
-    """
-
-    sample_every: int = 100
-    min_sampled: int = 1000
-    top: int = 256
-    slices: int = 64
-
-    def hot_keys(self, rows: DataFrame, column: str) -> list:
-        """At most ``top`` keys of ``column`` that hold many rows; null counts as a key."""
-        sampled = F.pmod(F.xxhash64(*rows.columns), F.lit(self.sample_every)) == 0
-        counted = rows.filter(sampled).groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
-        large = counted.filter(F.col("_rows") >= self.min_sampled)
-        top = large.orderBy(F.col("_rows").desc(), column).limit(self.top)
-        return [row[0] for row in top.select(column).collect()]
-
-
 @dataclass(frozen=True)
 class Facts:
     claims: DataFrame
@@ -61,8 +38,6 @@ class Facts:
     projects: DataFrame
     unknown_prefix: str = UNKNOWN_PREFIX
     entity_prefix: str = ENTITY_PREFIX
-    skew: SkewPolicy | None = field(default_factory=SkewPolicy)
-    _hot: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -71,24 +46,6 @@ class Facts:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
 
-    def with_skew(self, skew: SkewPolicy | None) -> Facts:
-        return replace(self, skew=skew, _hot={})
-
-    def hot(self, table: str, column: str, properties: Sequence[str] | None = None) -> list:
-        """Hot keys of a fact table's column, looked up once and kept.
-
-        ``properties`` narrows the table to the rows a join is about.
-        """
-        if self.skew is None:
-            return []
-        key = (table, column, tuple(sorted(set(properties or ()))))
-        if key not in self._hot:
-            rows = getattr(self, table)
-            if properties is not None:
-                rows = rows.filter(F.col("property").isin(*key[2]))
-            self._hot[key] = self.skew.hot_keys(rows, column)
-        return self._hot[key]
-
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows) -> Facts:
         """Facts from small row lists; tables not given are empty."""
@@ -122,12 +79,15 @@ class Facts:
             else:
                 table.write.mode(mode).parquet(f"{path}/{name}")
 
-    def project_table(self) -> dict[str, tuple[str, str]]:
-        """Project code -> (url, item): a small dimension that configuration needs."""
-        rows = self.projects.limit(100_001).collect()
-        if len(rows) > 100_000:
-            raise ValueError("the project dimension holds more than 100,000 rows")
-        return {row.code: (row.url, row.item) for row in rows}
+    def project_table(self, codes: Iterable[str] | None = None) -> dict[str, tuple[str, str]]:
+        """Project code -> (url, item), of the ``codes`` a configuration names.
+
+        Without ``codes`` the whole dimension is fetched: for small ones only.
+        """
+        rows = self.projects
+        if codes is not None:
+            rows = rows.filter(F.col("code").isin(*codes))
+        return {row.code: (row.url, row.item) for row in rows.collect()}
 
 
 def has_value(snak_type="snak_type"):

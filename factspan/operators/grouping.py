@@ -22,8 +22,8 @@ from factspan.spec import (
 )
 
 MAX_YEAR_BINS = 100
-# Spans 1, 10, ... 10^11: the widest puts any year a claim can hold into two bins.
-_SPAN_EXPONENTS = range(12)
+# Spans 1, 10, ... 10^18: the widest puts all years a claim can hold into 20 bins.
+_SPAN_EXPONENTS = range(19)
 _KIND_OF_TYPE = {"item": "item", "time": "year"}
 
 UNKNOWN_KEY = "UNKNOWN_VALUE"
@@ -89,15 +89,6 @@ def group_edges(facts: Facts, by: GroupBy, near: Facts | None = None) -> DataFra
     return rows.distinct()
 
 
-def hot_entities(facts: Facts, by: GroupBy) -> list:
-    """Entities that hold a large share of the grouping's edges."""
-    if by.edges is not None:
-        return facts.skew.hot_keys(by.edges, "entity_id") if facts.skew else []
-    if by.kind == "site":
-        return facts.hot("sitelinks", "entity_id")
-    return facts.hot("claims", "entity_id", by.path[:1])
-
-
 def restrict_groups(
     edges: DataFrame, dashboard: Dashboard, projects: dict | None = None
 ) -> DataFrame:
@@ -106,13 +97,24 @@ def restrict_groups(
     return edges.filter(F.col("group").isin(*named)) if named else edges
 
 
-def top_groups(groups: DataFrame, limit: int, dashboards: int = 1) -> DataFrame:
-    """The ``limit`` largest groups of each dashboard; ties go by group key."""
-    order = [F.col("count").desc(), F.col("group").asc_nulls_first()]
-    if dashboards == 1:
-        return groups.orderBy(*order).limit(limit)
-    place = F.row_number().over(Window.partitionBy("dashboard").orderBy(*order))
-    return groups.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+def top_groups(groups: DataFrame, limits: dict[str, int | None], prefix: str) -> DataFrame:
+    """The largest groups of each dashboard that has a limit; ties go by group key.
+
+    Unknown groups are one row of the report later, so they neither count nor go.
+    """
+    if not any(limits.values()):
+        return groups
+    unknown = is_unknown(F.col("group"), prefix)
+    known = groups.filter(~unknown)
+    order = [F.col("count").desc(), F.col("group")]
+    if len(limits) == 1:
+        (limit,) = limits.values()
+        top = known.orderBy(*order).limit(limit)
+    else:
+        place = F.row_number().over(Window.partitionBy("dashboard").orderBy(*order))
+        most = per_dashboard({name: limit or 2**31 - 1 for name, limit in limits.items()})
+        top = known.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+    return top.unionByName(groups.filter(unknown))
 
 
 def fold_unknown(

@@ -74,16 +74,17 @@ class StatementTests:
         claims = facts.claims.filter(F.col("property").isin(*properties))
         rows = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
         if self.qualifiers:
-            rows = rows.join(self._qualifier_flags(facts), "statement_id", "left")
+            rows = rows.join(self._qualifier_flags(facts, claims), "statement_id", "left")
         if self.checks:
             checked = statement_checks(facts, self.checks, claims)
             rows = rows.join(checked, "statement_id", "left")
         self.rows = rows
 
-    def _qualifier_flags(self, facts: Facts) -> DataFrame:
+    def _qualifier_flags(self, facts: Facts, claims: DataFrame) -> DataFrame:
         rows = facts.qualifiers.filter(
             F.col("property").isin(*self.qualifiers) & has_value()
         )
+        rows = rows.join(claims.select("statement_id"), "statement_id", "left_semi")
         flags = [
             F.max(F.col("property") == prop).alias(f"q{i}")
             for i, prop in enumerate(self.qualifiers)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts
-from factspan.operators.skew import lookup_join
+from factspan.operators.tables import written
 from factspan.spec import (
     FIRST_REFERENCE_PROPERTIES,
     LAST_REFERENCE_PROPERTIES,
@@ -57,6 +58,13 @@ def _passes(check: RefCheck, tests: dict[tuple[str, str | None], str]) -> Column
     return verdict
 
 
+def _snaks_of(facts: Facts, nodes: DataFrame) -> Facts:
+    """The facts with the snaks of these nodes only."""
+    wanted = nodes.select("reference_id").distinct()
+    snaks = facts.reference_snaks.join(wanted, "reference_id", "left_semi")
+    return replace(facts, reference_snaks=snaks)
+
+
 def statement_checks(
     facts: Facts, checks: Sequence[RefCheck], statements: DataFrame
 ) -> DataFrame:
@@ -64,16 +72,13 @@ def statement_checks(
 
     All checks share one pass over the snaks and one over the nodes. Nodes of
     other ``statements`` go first: of all a graph's references few are in question.
-    Nodes may be shared by very many statements, so the join on the node is spread.
+    Snaks of other nodes go before they are reduced to flags.
     """
     ids = statements.select("statement_id")
     nodes = facts.reference_nodes.join(ids, "statement_id", "left_semi")
-    flags = _node_flags(facts, checks)
+    flags = _node_flags(_snaks_of(facts, nodes), checks)
     if flags is not None:
-        hot = {"reference_id": facts.hot("reference_nodes", "reference_id")}
-        nodes = lookup_join(
-            nodes, flags, ["reference_id"], "left", ["statement_id"], facts.skew, hot
-        )
+        nodes = nodes.join(flags, ["reference_id"], "left")
     tests = _snak_tests(checks)
     verdicts = [F.max(_passes(c, tests)).alias(f"ok{i}") for i, c in enumerate(checks)]
     return nodes.groupBy("statement_id").agg(*verdicts)
@@ -96,15 +101,7 @@ def shown_by_priority(facts: Facts) -> DataFrame:
         rank.otherwise(len(FIRST_REFERENCE_PROPERTIES)).alias("_class"),
     )
     best = snaks.groupBy("reference_id").agg(F.min("_class").alias("_class"))
-    shown = lookup_join(
-        snaks,
-        best,
-        ["reference_id", "_class"],
-        "left_semi",
-        ["ref_property", "ref_value"],
-        facts.skew,
-        {"reference_id": facts.hot("reference_snaks", "reference_id")},
-    )
+    shown = snaks.join(best, ["reference_id", "_class"], "left_semi")
     return shown.drop("_class").distinct()
 
 
@@ -116,9 +113,7 @@ def _values_of(facts: Facts, prop: str, name: str) -> DataFrame:
 def _with_node_values(
     facts: Facts, rows: DataFrame, values: DataFrame, how: str
 ) -> DataFrame:
-    spread = [c for c in rows.columns if c != "reference_id"]
-    hot = {"reference_id": facts.hot("reference_nodes", "reference_id")}
-    return lookup_join(rows, values, ["reference_id"], how, spread, facts.skew, hot)
+    return rows.join(values, ["reference_id"], how)
 
 
 def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFrame:
@@ -130,18 +125,10 @@ def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFram
     priority = check.mode in ("any", "good")
     if not priority and not open_properties:
         return rows
-    hot = {"statement_id": facts.hot("reference_nodes", "statement_id")}
     statements = rows.select("statement_id").distinct()
     # A statement's own rows are few per node; the statement side is unique.
-    nodes = lookup_join(
-        facts.reference_nodes,
-        statements,
-        ["statement_id"],
-        "left_semi",
-        ["reference_id"],
-        facts.skew,
-        hot,
-    )
+    nodes = written(facts.reference_nodes.join(statements, ["statement_id"], "left_semi"))
+    facts = _snaks_of(facts, nodes)
     if priority:
         nodes = _with_node_values(facts, nodes, shown_by_priority(facts), "left")
     elif check.mode == "all_of":
@@ -159,5 +146,4 @@ def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFram
             nodes = _with_node_values(facts, nodes, _values_of(facts, prop, names[-1]), "left")
         nodes = nodes.withColumn("ref_value", F.coalesce(*names)).drop(*names)
     shown = nodes.drop("reference_id").distinct()
-    spread = [c for c in shown.columns if c != "statement_id"] or ["statement_id"]
-    return lookup_join(shown, rows, ["statement_id"], "inner", spread, facts.skew, hot)
+    return shown.join(rows, ["statement_id"], "inner")

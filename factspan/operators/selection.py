@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts, has_value
-from factspan.operators.skew import lookup_join
-
-# Selections up to this many entities are broadcast to the scans of the fact tables.
-NARROW_SELECTION = 100_000
-
+from factspan.operators.tables import written
 
 def select_entities(facts: Facts, selector: DataFrame | str) -> DataFrame:
     """The selected entities, as often as the selector yields them."""
@@ -42,15 +38,7 @@ def truthy(facts: Facts, properties: Sequence[str] | None = None) -> DataFrame:
     preferred = claims.filter(F.col("rank") == "preferred")
     outranked = preferred.select("entity_id", "property").distinct()
     normal = claims.filter(F.col("rank") == "normal")
-    kept = lookup_join(
-        normal,
-        outranked,
-        ["entity_id", "property"],
-        "left_anti",
-        ["statement_id"],
-        facts.skew,
-        {"entity_id": facts.hot("claims", "entity_id", properties)},
-    )
+    kept = normal.join(outranked, ["entity_id", "property"], "left_anti")
     return preferred.unionByName(kept)
 
 
@@ -82,15 +70,7 @@ def follow_path(
         step = truthy_edges(facts, prop, ends).select(
             F.col("entity_id").alias("_via"), F.col("value").alias("_next")
         )
-        edges = lookup_join(
-            edges.withColumnRenamed("value", "_via"),
-            step,
-            ["_via"],
-            "inner",
-            ["entity_id"],
-            facts.skew,
-            {"_via": facts.hot("claims", "value", [steps[place - 1]])},
-        )
+        edges = edges.withColumnRenamed("value", "_via").join(step, ["_via"], "inner")
         edges = edges.select("entity_id", F.col("_next").alias("value")).distinct()
     return edges
 
@@ -101,57 +81,24 @@ def among(facts: Facts, ids: DataFrame) -> Facts:
         name: getattr(facts, name).join(ids, "entity_id", "left_semi")
         for name in ("claims", "terms", "sitelinks")
     }
-    return replace(facts, **tables, _hot={})
-
-
-def narrowed(facts: Facts, ids: DataFrame, limit: int = NARROW_SELECTION) -> Facts:
-    """Facts cut down to ``ids`` at the scan, if these are few; else the facts as they are.
-
-    The count is checked, so the broadcast is bounded by ``limit`` ids. With
-    more of them the aggregated flags meet the selection in a shuffle join instead.
-    """
-    if ids.limit(limit + 1).count() > limit:
-        return facts
-    return among(facts, F.broadcast(ids))
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one in local mode only."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="factspan-checkpoint-")
-    context.setCheckpointDir(folder)
+    return replace(facts, **tables)
 
 
 def class_closure(facts: Facts, root: str, subclass_of: str) -> DataFrame:
     """``root`` and everything below it, as a set of ``class_id``.
 
-    One join per level of the tree; each level is checkpointed, so lineage
-    stays short and cycles end the loop.
+    One join per level of the tree; each level is written, so lineage stays short
+    and cycles end the loop.
     """
-    ensure_checkpoint_dir(facts.spark)
     edges = truthy_edges(facts, subclass_of).select(
         F.col("entity_id").alias("class_id"), F.col("value").alias("parent")
     )
-    edges = edges.checkpoint()
+    edges = written(edges)
     reached = frontier = facts.spark.sql("select :root as class_id", {"root": root})
     while True:
-        below = lookup_join(
-            edges,
-            frontier.withColumnRenamed("class_id", "parent"),
-            ["parent"],
-            "left_semi",
-            ["class_id"],
-            facts.skew,
-            {"parent": facts.hot("claims", "value", [subclass_of])},
-        )
+        below = edges.join(frontier.withColumnRenamed("class_id", "parent"), ["parent"], "left_semi")
         below = below.select("class_id").distinct().join(reached, "class_id", "left_anti")
-        frontier = below.checkpoint()
+        frontier = written(below)
         if frontier.isEmpty():
             return reached
         reached = reached.union(frontier)
@@ -163,8 +110,7 @@ def entities_of_class(
     """Entities of ``root`` or a class below it; one row per class edge."""
     closure = class_closure(facts, root, subclass_of)
     edges = truthy_edges(facts, instance_of).withColumnRenamed("value", "class_id")
-    hot = {"class_id": facts.hot("claims", "value", [instance_of])}
-    found = lookup_join(edges, closure, ["class_id"], "inner", ["entity_id"], facts.skew, hot)
+    found = edges.join(closure, ["class_id"], "inner")
     return found.select("entity_id")
 
 
@@ -181,20 +127,20 @@ def labels(facts: Facts, lang: str = "en") -> DataFrame:
 
 
 def with_labels(
-    rows: DataFrame,
-    facts: Facts,
-    columns: Sequence[str],
-    lang: str = "en",
-    hot: Mapping[str, Sequence] | None = None,
+    rows: DataFrame, facts: Facts, columns: Sequence[str], lang: str = "en"
 ) -> DataFrame:
-    """Add ``<column>_label`` for each id column; ``hot`` has the hot ids of a column."""
-    known = labels(facts, lang)
+    """Add ``<column>_label`` for each id column; only labels of these ids are read.
+
+    The rows feed a join for each column, so they are written first.
+    """
+    rows = written(rows)
+    ids = reduce(DataFrame.union, [rows.select(F.col(c).alias("entity_id")) for c in columns])
+    terms = facts.terms.join(ids.distinct(), "entity_id", "left_semi")
+    known = written(labels(replace(facts, terms=terms), lang))
     order = [c for c in rows.columns if c not in columns]
     for column in columns:
         name = "entity_label" if column == "entity_id" else f"{column}_label"
         order += [column, name]
         lookup = known.select(F.col("entity_id").alias(column), F.col("label").alias(name))
-        others = [c for c in rows.columns if c != column] or rows.columns
-        mine = {column: (hot or {}).get(column, [])}
-        rows = lookup_join(rows, lookup, [column], "left", others, facts.skew, mine)
+        rows = rows.join(lookup, [column], "left")
     return rows.select(*order)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts
-from factspan.operators.grouping import group_kinds
+from factspan.operators.grouping import frame_kind, group_kinds
 from factspan.operators.selection import select_entities
+from factspan.operators.tables import written
 from factspan.plans.coverage import Coverage
-from factspan.spec import Dashboard, SpecError
+from factspan.spec import Dashboard, SpecError, UnsupportedGroupingError
 
 
 @dataclass(frozen=True)
@@ -45,9 +47,15 @@ def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard
         kinds = {row.property: row.group_kind for row in wanted.collect()}
     resolved: list[Dashboard | str] = []
     for d in dashboards:
-        if d.group_by.kind or d.group_by.edges is not None:
+        if d.group_by.kind:
             resolved.append(d)
             continue
+        if d.group_by.edges is not None:
+            try:
+                resolved.append(d.with_kind(frame_kind(d.group_by.edges)))
+            except UnsupportedGroupingError as error:
+                resolved.append(str(error))
+            continue
         prop = d.group_by.path[-1]
         if prop not in kinds:
             resolved.append(f"no values for {prop}")
@@ -58,6 +66,27 @@ def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard
     return resolved
 
 
+def _that_run(
+    facts: Facts, dashboards: Sequence[Dashboard]
+) -> tuple[list[Dashboard], list[tuple[str, str]]]:
+    """The dashboards whose selection and edges can be computed, and why others can't.
+
+    What was computed is kept, so it isn't computed again.
+    """
+    good, failed = [], []
+    for d in dashboards:
+        try:
+            found = replace(d, selector=written(select_entities(facts, d.selector)))
+            if d.group_by.edges is not None:
+                edges = d.group_by.edges.select("entity_id", "group")
+                found = replace(found, group_by=replace(d.group_by, edges=written(edges)))
+            good.append(found)
+        except (PySparkException, Py4JJavaError) as error:
+            lines = [x for x in str(error).splitlines() if x.strip()]
+            failed.append((d.name, lines[0] if lines else type(error).__name__))
+    return good, failed
+
+
 def plan_all(
     facts: Facts, dashboards: Sequence[Dashboard], errors: DataFrame | None = None
 ) -> Batch:
@@ -80,6 +109,16 @@ def plan_all(
     if not good:
         return Batch(None, rows)
     coverage = Coverage(facts, good)
+    try:
+        coverage.counted_groups()
+    except (PySparkException, Py4JJavaError):
+        good, failed = _that_run(facts, good)
+        rows = rows.unionByName(
+            facts.spark.createDataFrame(failed, "dashboard string, error string")
+        )
+        if not good:
+            return Batch(None, rows)
+        coverage = Coverage(facts, good)
     names = facts.spark.createDataFrame([(d.name,) for d in good], "dashboard string")
     empty = names.join(coverage.reported(), "dashboard", "left_anti")
     empty = empty.withColumn("error", F.lit("no groups found"))

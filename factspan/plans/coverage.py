@@ -17,7 +17,6 @@ from factspan.operators.grouping import (
     decorate,
     fold_unknown,
     group_edges,
-    hot_entities,
     per_dashboard,
     rebin_years,
     resolve_kind,
@@ -25,12 +24,8 @@ from factspan.operators.grouping import (
     top_groups,
 )
 from factspan.operators.presence import flag_name, pair_presence, presence
-from factspan.operators.selection import (
-    ensure_checkpoint_dir,
-    narrowed,
-    select_entities,
-)
-from factspan.operators.skew import lookup_join
+from factspan.operators.selection import among, select_entities
+from factspan.operators.tables import written
 from factspan.spec import Column, Dashboard, EmptyGroupingError, GroupBy, follows_group
 
 SECTION_GROUPS, SECTION_NO_GROUP, SECTION_TOTALS = 0, 1, 2
@@ -41,7 +36,7 @@ class Coverage:
     """The plan of one or more dashboards.
 
     Three frames feed several branches: the selection, the entities with their
-    flags, and the raw group counts. Each is computed once and checkpointed to the
+    flags, and the raw group counts. Each is computed once and written to the
     shared folder, so no branch repeats the pass over the facts, also when
     executors are lost.
     """
@@ -67,8 +62,7 @@ class Coverage:
 
     def _keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
-            ensure_checkpoint_dir(self.facts.spark)
-            self._kept[name] = build().checkpoint()
+            self._kept[name] = written(build())
         return self._kept[name]
 
     # Entities
@@ -79,10 +73,10 @@ class Coverage:
         return {by: f"grouped{i}" for i, by in enumerate(wanted)}
 
     def near(self) -> Facts:
-        """The facts of the selected entities, if these are few; else all facts."""
+        """The facts of the selected entities."""
         if self._near is None:
             ids = self.selected().select("entity_id").distinct()
-            self._near = narrowed(self.facts, ids)
+            self._near = among(self.facts, ids)
         return self._near
 
     def selected(self) -> DataFrame:
@@ -171,12 +165,7 @@ class Coverage:
         if len(sets) == 1:
             pairs = pairs.drop("edge_set")
             entities = entities.drop("edge_set")
-        hot: dict[str, None] = {}
-        for d in (sharing[0] for sharing in sets):
-            hot.update(dict.fromkeys(hot_entities(self.near(), d.group_by)))
-        rows = lookup_join(
-            pairs, entities, keys, "inner", ["group"], self.facts.skew, {"entity_id": list(hot)}
-        )
+        rows = pairs.join(entities, keys, "inner")
         sums = []
         for name, column in self.columns.items():
             flag = F.col(f"own_{name}") if follows_group(column) else F.col(name)
@@ -200,14 +189,13 @@ class Coverage:
     def groups(self) -> DataFrame:
         """Group rows as reported: kept, folded, decorated and rebinned."""
         counted = self.counted_groups()
-        limits = {d.limit for d in self.dashboards}
-        if len(limits) > 1:
-            raise ValueError("dashboards of one plan must share their group limit")
-        kept = top_groups(self._above_threshold(), limits.pop(), len(self.dashboards))
+        limits = {d.name: d.limit for d in self.dashboards}
+        prefix = self.facts.unknown_prefix
+        kept = top_groups(self._above_threshold(), limits, prefix)
         kinds = {d.name: d.group_by.kind for d in self.dashboards}
         many_unknown = "item" in kinds.values()
         groups = fold_unknown(
-            kept, counted if many_unknown else None, self.cells, self.facts.unknown_prefix
+            kept, counted if many_unknown else None, self.cells, prefix
         )
         kind = F.when(F.col("title").isNull(), "unknown").otherwise(per_dashboard(kinds))
         groups = groups.withColumn("kind", kind)

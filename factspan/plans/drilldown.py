@@ -9,17 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts, has_value
-from factspan.functions.values import year_bin
+from factspan.functions.values import is_unknown, year_bin
 from factspan.operators.grouping import UNKNOWN_KEY, group_edges, resolve_kind
 from factspan.operators.presence import StatementTests
 from factspan.operators.references import shown_references
-from factspan.operators.selection import (
-    ensure_checkpoint_dir,
-    narrowed,
-    select_entities,
-    with_labels,
-)
-from factspan.operators.skew import lookup_join
+from factspan.operators.selection import among, follow_path, select_entities, with_labels
+from factspan.operators.tables import written
 from factspan.plans.coverage import NO_GROUP_KEY, TOTALS_KEY
 from factspan.spec import (
     Column,
@@ -72,24 +67,23 @@ class DrillDown:
         edges = group_edges(self.facts, self.dashboard.group_by)
         group = F.col("group")
         if row.kind == "unknown":
-            return edges.filter(group.startswith(self.facts.unknown_prefix))
+            return edges.filter(is_unknown(group, self.facts.unknown_prefix))
         if row.kind == "year":
             year = group.try_cast("bigint")
             return edges.filter(year_bin(year, row.span) == F.lit(int(row.key)))
         return edges.filter(group == row.key)
 
     def members(self, key: str | Row) -> DataFrame:
-        """Distinct selected entities of a row, computed once and checkpointed."""
+        """Distinct selected entities of a row, computed once and written."""
         row = self.row(key)
         if row not in self._members:
-            ensure_checkpoint_dir(self.facts.spark)
-            self._members[row] = self._find_members(row).checkpoint()
+            self._members[row] = written(self._find_members(row))
         return self._members[row]
 
     def near(self, row: Row) -> Facts:
-        """The facts of the row's members, if these are few; else all facts."""
+        """The facts of the row's members."""
         if row not in self._near:
-            self._near[row] = narrowed(self.facts, self.members(row))
+            self._near[row] = among(self.facts, self.members(row))
         return self._near[row]
 
     def _find_members(self, row: Row) -> DataFrame:
@@ -110,8 +104,13 @@ class DrillDown:
         """
         members = self.members(row)
         if tied and row.kind == "unknown":
-            edges = self._edges_of(row).join(members, "entity_id", "left_semi")
-            return edges, ["entity_id", "group"]
+            by = self.dashboard.group_by
+            edges = self._edges_of(row)
+            if by.kind == "year" and by.edges is None:
+                # The year of an unknown date is null; its value is the unknown's own id.
+                edges = follow_path(self.facts, by.path).withColumnRenamed("value", "group")
+                edges = edges.filter(F.col("group").startswith(self.facts.unknown_prefix))
+            return edges.join(members, "entity_id", "left_semi"), ["entity_id", "group"]
         return members, ["entity_id"]
 
     def _fitting(self, rows: DataFrame, row: Row, tied: bool) -> DataFrame:
@@ -129,37 +128,10 @@ class DrillDown:
     def _of_members(self, rows: DataFrame, row: Row, column: Column) -> DataFrame:
         tied = follows_group(column)
         scope, keys = self._scope(row, tied)
-        hot = {"entity_id": self._hot_entities(column, row)}
-        spread = [c for c in rows.columns if c not in keys] or rows.columns
         rows = self._fitting(rows, row, tied)
-        found = lookup_join(rows, scope, keys, "left_semi", spread, self.facts.skew, hot)
+        found = rows.join(scope, keys, "left_semi")
         return found.drop("group")
 
-    def _hot_entities(self, column: Column, row: Row) -> list:
-        """Members that hold a large share of the column's rows."""
-        near = self.near(row)
-        if isinstance(column, Text):
-            return near.hot("terms", "entity_id")
-        if isinstance(column, SiteLink):
-            return near.hot("sitelinks", "entity_id")
-        return near.hot("claims", "entity_id", [column.property])
-
-    def _hot_ids(self, column: Column, row: Row, names: list[str]) -> dict[str, list]:
-        """Hot ids of the shown columns, for their labels."""
-        if names == ["entity_id"]:
-            return {}
-        facts, hot = self.near(row), {"entity_id": self._hot_entities(column, row)}
-        if "value" in names and isinstance(column, Qualifier):
-            hot["value"] = facts.hot("qualifiers", "value", [column.qualifier])
-        elif "value" in names and isinstance(column, Property | Referenced):
-            hot["value"] = facts.hot("claims", "value", [column.property])
-        for name in names:
-            if name == "ref_property":
-                hot[name] = facts.hot("reference_snaks", "property")
-            elif name.startswith("ref_"):
-                hot[name] = facts.hot("reference_snaks", "value")
-        return hot
-
     # Columns
 
     def _column(self, column: Column | str) -> Column:
@@ -169,7 +141,7 @@ class DrillDown:
         """Distinct (entity, values) of the members that have the column, with labels."""
         column, row = self._column(column), self.row(key)
         rows = self._positive_rows(column, row).distinct()
-        return self._labelled(rows, column, row, lang)
+        return self._labelled(rows, lang)
 
     def negative(self, column: Column | str, key: str | Row, lang: str = "en") -> DataFrame:
         """Distinct members that lack the column, with labels.
@@ -186,11 +158,11 @@ class DrillDown:
             having = self._fitting(self._not_missing(column, self.near(row)), row, tied)
             rows = scope.join(having.select(*keys).distinct(), keys, "left_anti")
             rows = rows.select("entity_id")
-        return self._labelled(rows.distinct(), column, row, lang)
+        return self._labelled(rows.distinct(), lang)
 
-    def _labelled(self, rows: DataFrame, column: Column, row: Row, lang: str) -> DataFrame:
+    def _labelled(self, rows: DataFrame, lang: str) -> DataFrame:
         ids = [c for c in rows.columns if c != "snak_type"]
-        return with_labels(rows, self.facts, ids, lang, self._hot_ids(column, row, ids))
+        return with_labels(rows, self.facts, ids, lang)
 
     def _positive_rows(self, column: Column, row: Row) -> DataFrame:
         facts = self.near(row)
@@ -244,11 +216,7 @@ class DrillDown:
         claims = claims.select("statement_id", "entity_id", F.col("value").alias("group"))
         found = facts.qualifiers.filter(F.col("property") == column.qualifier)
         found = found.select("statement_id", "value", "snak_type").distinct()
-        spread = ["value", "snak_type"]
-        hot = {"statement_id": facts.hot("qualifiers", "statement_id", [column.qualifier])}
-        return lookup_join(
-            found, claims, ["statement_id"], "inner", spread, facts.skew, hot
-        )
+        return found.join(claims, ["statement_id"], "inner")
 
     # References
 
@@ -278,10 +246,7 @@ class DrillDown:
         bad = rows.filter("bad").select(*keys).distinct()
         shown = rows.filter(F.col("matches") & has_value())
         shown = shown.select("entity_id", "value", "statement_id", "group")
-        hot = {"entity_id": self._hot_entities(column, row)}
-        good = lookup_join(
-            shown, bad, keys, "left_anti", ["statement_id"], self.facts.skew, hot
-        )
+        good = shown.join(bad, keys, "left_anti")
         good = self._of_members(good, row, column)
         shown = shown_references(self.facts, column.check, good)
         first = ["entity_id", "value"]
@@ -308,8 +273,7 @@ class DrillDown:
         elif tied and row.kind in ("none", "totals", "site"):
             values = values.filter("bad")
         values = values.select(*dict.fromkeys([*keys, "value"])).distinct()
-        hot = {"entity_id": self._hot_entities(column, row)}
-        found = lookup_join(values, lacking, keys, "inner", ["value"], self.facts.skew, hot)
+        found = values.join(lacking, keys, "inner")
         bare = lacking.join(values.select(*keys).distinct(), keys, "left_anti")
         listed = found.unionByName(bare, allowMissingColumns=True)
         return listed.select("entity_id", "value")

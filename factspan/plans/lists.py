@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from factspan.facts import Facts, has_value
 from factspan.functions.markup import is_external
 from factspan.functions.values import is_unknown, year_bin
-from factspan.operators.grouping import UNKNOWN_KEY, group_edges, hot_entities, resolve_kind
+from factspan.operators.grouping import UNKNOWN_KEY, group_edges, resolve_kind
 from factspan.operators.selection import (
-    NARROW_SELECTION,
     labels,
     select_entities,
     truthy,
 )
-from factspan.operators.skew import lookup_join
 from factspan.spec import Dashboard, Property, Qualifier, Referenced, Text
 
 
@@ -82,25 +80,11 @@ def _field_values(facts: Facts, dashboard: Dashboard, lang: str) -> DataFrame:
             found = facts.qualifiers.filter(F.col("property") == column.qualifier)
             found = found.filter(has_value()).select("statement_id", "value").distinct()
             owners = claims.select("statement_id", "entity_id")
-            hot = {"statement_id": facts.hot("qualifiers", "statement_id", [column.qualifier])}
-            rows = lookup_join(
-                found, owners, ["statement_id"], "inner", ["value"], facts.skew, hot
-            )
+            rows = found.join(owners, ["statement_id"], "inner")
             parts.append(rows.select("entity_id", F.lit(column.key).alias("field"), "value"))
     return reduce(DataFrame.union, parts).distinct()
 
 
-def _of_groups(facts: Facts, edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distinct edges of the wanted groups; a report's rows are few, which is checked."""
-    if wanted.limit(NARROW_SELECTION + 1).count() <= NARROW_SELECTION:
-        return edges.join(F.broadcast(wanted), "group_key", "left_semi").distinct()
-    hot = {"group_key": facts.skew.hot_keys(edges, "group_key") if facts.skew else []}
-    found = lookup_join(
-        edges, wanted, ["group_key"], "left_semi", ["entity_id"], facts.skew, hot
-    )
-    return found.distinct()
-
-
 def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataFrame:
     """Distinct (group_key, entity_id) of the report rows in ``groups``."""
     dashboard = resolve_kind(facts, dashboard)
@@ -117,12 +101,10 @@ def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataF
     else:
         key = key.otherwise(group)
     edges = edges.select("entity_id", key.alias("group_key"))
-    edges = _of_groups(facts, edges, groups.select("group_key").distinct())
+    wanted = groups.select("group_key").distinct()
+    edges = edges.join(wanted, "group_key", "left_semi").distinct()
     selected = select_entities(facts, dashboard.selector).distinct()
-    hot = {"entity_id": hot_entities(facts, dashboard.group_by)}
-    return lookup_join(
-        edges, selected, ["entity_id"], "left_semi", ["group_key"], facts.skew, hot
-    )
+    return edges.join(selected, ["entity_id"], "left_semi")
 
 
 def member_lists(
@@ -145,6 +127,5 @@ def member_lists(
     )
     values = _field_values(facts, dashboard, lang)
     keys = ["entity_id", "field"]
-    hot = {"entity_id": hot_entities(facts, dashboard.group_by)}
-    found = lookup_join(members, values, keys, "left", ["group_key"], facts.skew, hot)
+    found = members.join(values, keys, "left")
     return found.select("group_key", "entity_id", "position", "field", "value")

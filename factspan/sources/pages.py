@@ -14,22 +14,73 @@ from factspan.spec import PARAM_RENAMES, Dashboard, SpecError, dashboard_from_pa
 START_TEMPLATE = "Property dashboard"
 END_TEMPLATE = "Property dashboard end"
 ESCAPED_PIPE = "{{!}}"
-MAX_DASHBOARDS = 100_000
 
-# Template text without its braces; one template may be nested inside.
+# Nested templates, as deep as anyone nests them in one parameter.
 _NESTED = r"\{\{[^{}]*+\}\}"
-_INNER = rf"(?:[^{{}}]++|{_NESTED}|\{{(?!\{{)|\}}(?!\}}))*+"
+for _ in range(4):
+    _NESTED = rf"\{{\{{(?:[^{{}}]++|{_NESTED}|\{{(?!\{{)|\}}(?!\}}))*+\}}\}}"
 
+# What a template's text is made of: comments, verbatim parts, brackets, bars, the rest.
+_TOKENS = (
+    r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|<]+|."
+)
+_COMMENT = r"(?:\s*<!--[\s\S]*?-->)*\s*"
 
-def _block(start: str) -> str:
-    """The start template with its parameters as group 1."""
-    return rf"\{{\{{\s*{literal_regex(start)}\s*(\|{_INNER}|)\}}\}}"
+
+def _named(title: str) -> str:
+    """A page name as wikis read it: first letter in either case, ``_`` for a space."""
+    first, *others = title.split()
+    start = f"[{first[0].lower()}{first[0].upper()}]{literal_regex(first[1:])}"
+    return r"[\s_]*" + r"[ _]+".join([start, *map(literal_regex, others)])
+
+
+def _opening(title: str) -> str:
+    return rf"\{{\{{{_COMMENT}{_named(title)}{_COMMENT}(?=\||\}}\}})"
 
 
 def has_markers(text: Column, start: str = START_TEMPLATE, end: str = END_TEMPLATE) -> Column:
     """Whether a page has both markers."""
-    closing = rf"\{{\{{\s*{literal_regex(end)}\s*(\||\}}\}})"
-    return text.rlike(_block(start)) & text.rlike(closing)
+    return text.rlike(_opening(start)) & text.rlike(_opening(end))
+
+
+def _arguments(text: Column, start: str) -> Column:
+    """(closed, parts): the first template's text, parted at its own bars.
+
+    A running depth tells the template's own bars and end from those of templates
+    and links inside it, however deep these are. Comments are dropped, verbatim
+    parts are kept as they are.
+    """
+    found = F.regexp_substr(text, F.lit(rf"{_opening(start)}[\s\S]*"))
+    body = F.regexp_replace(found, rf"\A{_opening(start)}", "")
+    tokens = F.regexp_extract_all(body, F.lit(_TOKENS), F.lit(0))
+    zero = F.struct(
+        F.lit(0).alias("depth"),
+        F.lit("").alias("text"),
+        F.expr("cast(array() as array<string>)").alias("parts"),
+        F.lit(False).alias("closed"),
+    )
+
+    def further(state: Column, token: Column) -> Column:
+        outer = state["depth"] == 0
+        opens, closes = token.isin("{{", "[["), token.isin("}}", "]]")
+        end, bar = outer & (token == "}}"), outer & (token == "|")
+        kept = F.when(token.startswith("<!--"), "").otherwise(token)
+        step = F.when(opens, 1).when(closes & ~outer, -1).otherwise(0)
+        longer = F.concat(state["parts"], F.array(state["text"]))
+        moved = F.struct(
+            (state["depth"] + step).alias("depth"),
+            F.when(end | bar, "").otherwise(F.concat(state["text"], kept)).alias("text"),
+            F.when(end | bar, longer).otherwise(state["parts"]).alias("parts"),
+            end.alias("closed"),
+        )
+        return F.when(state["closed"], state).otherwise(moved)
+
+    return F.aggregate(tokens, zero, further)
+
+
+def _read(pages: DataFrame, page: str, text: str, start: str, end: str) -> DataFrame:
+    marked = pages.filter(has_markers(F.col(text), start, end))
+    return marked.select(F.col(page).alias("page"), _arguments(F.col(text), start).alias("read"))
 
 
 def dashboard_params(
@@ -42,14 +93,11 @@ def dashboard_params(
     """(page, field, value): parameters of each page's first dashboard.
 
     Escaped pipes become pipes, names are trimmed, empty names dropped; the last
-    of several parameters with one name wins. Pages need both markers.
+    of several parameters with one name wins. Pages need both markers. Pages whose
+    template does not end are in :func:`unreadable_pages`.
     """
-    marked = pages.filter(has_markers(F.col(text), start, end))
-    # Pipes of nested templates, links and escapes do not part parameters.
-    params = F.split(
-        F.regexp_extract(text, _block(start), 1), r"\|(?![^\[\]{}]*(?:\]\]|\}\}))"
-    )
-    rows = marked.select(F.col(page).alias("page"), F.posexplode(params).alias("pos", "param"))
+    closed = _read(pages, page, text, start, end).filter("read.closed")
+    rows = closed.select("page", F.posexplode("read.parts").alias("pos", "param"))
     pair = F.split("param", "=", 2)
     value = F.coalesce(F.get(pair, F.lit(1)), F.lit(""))
     rows = rows.select(
@@ -61,6 +109,18 @@ def dashboard_params(
     return rows.groupBy("page", "field").agg(F.max_by("value", "pos").alias("value"))
 
 
+def unreadable_pages(
+    pages: DataFrame,
+    page: str = "page",
+    text: str = "text",
+    start: str = START_TEMPLATE,
+    end: str = END_TEMPLATE,
+) -> DataFrame:
+    """(page, error) of the pages whose dashboard template does not end."""
+    broken = _read(pages, page, text, start, end).filter("not read.closed")
+    return broken.select("page", F.lit("the dashboard template does not end").alias("error"))
+
+
 def rename_params(params: DataFrame) -> DataFrame:
     """Present names for deprecated parameters; a present name given as well wins."""
     field = F.col("field")
@@ -75,9 +135,7 @@ def migrate_text(text: Column, start: str = START_TEMPLATE) -> Column:
     """Rename deprecated parameters inside start templates, nowhere else."""
     params = rf"(?:\|(?:[^{{}}|]++|{_NESTED})*+)*?"
     for old, new in PARAM_RENAMES.items():
-        pattern = (
-            rf"(\{{\{{\s*{literal_regex(start)}\s*{params}\|\s*){literal_regex(old)}(\s*=)"
-        )
+        pattern = rf"({_opening(start)}{params}\|\s*){literal_regex(old)}(\s*=)"
         text = F.regexp_replace(text, pattern, rf"$1{new}$2")
     return text
 
@@ -116,15 +174,12 @@ def load_dashboards(
 ) -> tuple[list[Dashboard], DataFrame]:
     """Valid dashboards, and (page, error) rows for the others.
 
-    Configuration is needed on the driver to build the plan; more than
-    ``MAX_DASHBOARDS`` dashboards are refused rather than cut.
+    Configuration is needed on the driver to build the plan.
     """
     spark = params.sparkSession
     entries = F.map_from_entries(F.collect_list(F.struct("field", "value")))
     by_page = params.groupBy("page").agg(entries.alias("params"))
-    rows = by_page.orderBy("page").limit(MAX_DASHBOARDS + 1).collect()
-    if len(rows) > MAX_DASHBOARDS:
-        raise SpecError(f"more than {MAX_DASHBOARDS} dashboards")
+    rows = by_page.orderBy("page").collect()
     dashboards, errors = [], []
     for row in rows:
         try:

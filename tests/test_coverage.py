@@ -232,20 +232,24 @@ def year_lines(spark, counts, **options):
     return {r.group_key: r for r in rows}
 
 
-def test_years_are_rebinned_beyond_a_hundred_groups(spark):
-    rows = year_lines(spark, {y: (5, 0) for y in [3, *range(1903, 2027)]}, threshold=1)
-    assert len(rows) == 14
-    assert rows["0/10"]["count"] == 5
-    assert rows["1900/10"]["count"] == 35
-
-
-def test_rebinning_adds_counts_cells_and_moves_the_link(spark):
-    years = {y: (1, 1) for y in range(1800, 1900)}
-    years |= {1995: (10, 5), 1996: (8, 4), 2001: (12, 6)}
-    rows = year_lines(spark, years, threshold=1, link=link_from_text("Foo/{id}"))
-    assert (rows["1990/10"]["count"], rows["1990/10"]["c0"]) == (18, 9)
-    assert rows["1990/10"]["group_link"] == "Foo/1990"
-    assert rows["2000/10"]["span"] == 10
+def test_years_are_rebinned_when_bins_are_too_many(spark):
+    rows = year_lines(spark, {y: (2, 1) for y in range(1700, 1850, 1)}, threshold=1)
+    assert {r["span"] for r in rows.values()} == {10} and len(rows) == 15
+    assert all((r["count"], r["c0"]) == (20, 10) for r in rows.values())
+
+
+def test_a_bin_has_the_link_of_its_start(spark):
+    years = {y: (3, 0) for y in range(1500, 1600)} | {1642: (7, 2), 1649: (4, 4)}
+    rows = year_lines(spark, years, threshold=1, link=link_from_text("Reports on {id}"))
+    assert rows["1640/10"]["group_link"] == "Reports on 1640"
+    assert (rows["1640/10"]["count"], rows["1640/10"]["c0"]) == (11, 6)
+
+
+def test_years_of_the_whole_range_of_bigint(spark):
+    years = {k * 10**12: (1, 1) for k in range(1, 300)} | {9 * 10**18: (1, 0), -(9 * 10**18): (1, 0)}
+    rows = year_lines(spark, years, threshold=1)
+    assert sum(r["count"] for r in rows.values()) == 301
+    assert all(k and r["span"] for k, r in rows.items()) and len(rows) <= 100
 
 
 def test_a_hundred_years_stay(spark):

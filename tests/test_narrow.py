@@ -1,35 +1,35 @@
-"""Cutting the facts down to a small selection never changes a result."""
+"""The facts are cut down to the selection, whatever its size, before anything is aggregated."""
 
 from factspan import Dashboard, GroupBy, columns_from_text
-from factspan.operators import selection
-from factspan.plans import coverage, drilldown, report
+from factspan.operators.selection import among
 from factspan.plans.coverage import Coverage
 from factspan.plans.drilldown import DrillDown
-from tests.test_brute_force import KEYS, random_graph
 from tests.graph import bag
+from tests.test_brute_force import KEYS, random_graph
+
 
+def board(spark, chosen):
+    columns = columns_from_text(KEYS)
+    return Dashboard(bag(spark, *chosen), GroupBy(("P17",), "item"), columns, threshold=1)
 
-def test_narrow_and_wide_selections_agree(spark, monkeypatch):
+
+def test_facts_of_others_do_not_matter(spark):
     g, chosen = random_graph(7)
     facts = g.facts(spark)
-    board = Dashboard(
-        bag(spark, *chosen),
-        GroupBy(("P17",), "item"),
-        columns_from_text(KEYS),
-        threshold=1,
-        row_no_group=True,
-    )
+    plan = Coverage(facts, board(spark, chosen))
+    kept = plan.near()
+    inside = {r.entity_id for r in kept.claims.select("entity_id").collect()}
+    assert inside <= set(chosen)
+    again = Coverage(among(facts, bag(spark, *set(chosen))), board(spark, chosen))
+    assert sorted(map(repr, plan.lines().collect())) == sorted(map(repr, again.lines().collect()))
 
-    def results():
-        frames = [report.long_report(Coverage(facts, board))]
-        drill = DrillDown(facts, board)
-        for key in ("P1/P2", "P1/S248", "P1/?grouping/S*"):
-            frames += [drill.positive(key, "Q1"), drill.negative(key, "")]
-        return [sorted(map(repr, f.collect())) for f in frames]
 
-    narrow = results()
-    assert selection.narrowed(facts, board.selector, 10_000) is not facts
-    assert selection.narrowed(facts, board.selector, 10) is facts
-    for module in (coverage, drilldown):
-        monkeypatch.setattr(module, "narrowed", lambda facts, ids: facts)
-    assert results() == narrow
+def test_one_plan_for_selections_of_any_size(spark):
+    """Each drill-down joins the fact tables to the members before it reduces them."""
+    g, chosen = random_graph(3)
+    facts = g.facts(spark)
+    for some in (chosen, chosen[:2]):
+        drill = DrillDown(facts, board(spark, some))
+        for key in ("P1/P2", "P1/S248"):
+            text = drill.negative(key, "Q1")._jdf.queryExecution().optimizedPlan().toString()
+            assert text.count("LeftSemi") >= 2

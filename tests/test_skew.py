@@ -1,21 +1,27 @@
-"""Spreading hot keys changes where rows go, never the result."""
+"""Hot keys are split at run time; that changes where rows go, never the result."""
 
 import pytest
 
-from factspan import Dashboard, GroupBy, SkewPolicy, columns_from_text
+from factspan import Dashboard, GroupBy, columns_from_text
 from factspan.operators.selection import (
     class_closure,
     entities_of_class,
     follow_path,
     truthy_edges,
 )
-from factspan.operators.skew import lookup_join
 from factspan.plans import report
 from factspan.plans.coverage import Coverage
 from factspan.plans.drilldown import DrillDown
 from tests.graph import Graph, bag
 
-EAGER = SkewPolicy(sample_every=1, min_sampled=2, top=8, slices=4)
+# Any partition of some bytes counts as skewed, and none is broadcast.
+EAGER = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.01",
+}
 
 
 def skewed_graph():
@@ -39,8 +45,15 @@ def skewed_graph():
 
 def both(spark, run):
     facts = skewed_graph().facts(spark)
-    spread, plain = run(facts.with_skew(EAGER)), run(facts.with_skew(None))
-    found, wanted = (sorted(map(repr, f.collect())) for f in (spread, plain))
+    wanted = sorted(map(repr, run(facts).collect()))
+    before = {key: spark.conf.get(key, None) for key in EAGER}
+    try:
+        for key, value in EAGER.items():
+            spark.conf.set(key, value)
+        found = sorted(map(repr, run(facts).collect()))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     assert found == wanted
     return found
 
@@ -49,32 +62,6 @@ def selector(spark):
     return bag(spark, "hot", "hot", *[f"e{i}" for i in range(40)])
 
 
-def test_hot_keys_are_found_and_few(spark):
-    facts = skewed_graph().facts(spark).with_skew(EAGER)
-    assert "hot" in facts.hot("claims", "entity_id", ["P17"])
-    assert "shared" in facts.hot("reference_nodes", "reference_id")
-    assert len(facts.hot("claims", "entity_id")) <= EAGER.top
-    assert facts.with_skew(None).hot("claims", "entity_id") == []
-    # Small tables have none under the usual policy.
-    assert facts.with_skew(SkewPolicy()).hot("claims", "entity_id") == []
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(spark, how):
-    rows = spark.createDataFrame(
-        [(k, i) for i in range(30) for k in ("a", "b", None, f"k{i}")], "k string, i int"
-    )
-    lookup = spark.createDataFrame(
-        [("a", 1), ("a", 2), ("b", 3), ("k5", 4), (None, 5)], "k string, v int"
-    )
-    hot = {"k": EAGER.hot_keys(rows, "k")}
-    assert set(hot["k"]) >= {"a", "b", None}
-    spread = lookup_join(rows, lookup, ["k"], how, ["i"], EAGER, hot)
-    assert "_slot" not in spread.columns
-    plain = rows.join(lookup, ["k"], how)
-    assert sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect()))
-
-
 def test_coverage(spark):
     keys = "P1,P1/P2,P1/S*,P1/S248,P1/?grouping/P2,P1/?grouping/S*"
     board = Dashboard(

@@ -10,18 +10,16 @@ from factspan.sources import bindings, pages, sinks
 from factspan.spec import SpecError
 from tests.graph import Graph
 
-PAGE = """
-Head
+PAGE = """Intro text.
 {{Property dashboard
-|properties=P136:genre,P404
-|grouping_property=P400
-|row_no_group=1
-|selector=from {claims} where property = 'P31'
-|grouping_link=Reports/Platform
+| selector = select entity_id from {claims} where property = 'P50'
+| grouping_link = Lists/{Lfr}
+| properties = P577/S*, Dsv
+| grouping_property = P495
 }}
-foo
+old report
 {{Property dashboard end}}
-Bottom
+Closing text.
 """
 
 
@@ -36,28 +34,59 @@ def params_of(spark, text):
     return {r.field: r.value for r in found}
 
 
+def dashboard(inside, name="Property dashboard"):
+    return "{{%s%s}} x {{Property dashboard end}}" % (name, inside)
+
+
 def test_params_of_a_page(spark):
-    text = PAGE.replace("from {claims} where property = 'P31'", "a {{!}} b=c {{Q|5}} [[x|y]]")
-    assert params_of(spark, text) == {
-        "properties": "P136:genre,P404",
-        "grouping_property": "P400",
-        "row_no_group": "1",
-        "selector": "a | b=c {{Q|5}} [[x|y]]",
-        "grouping_link": "Reports/Platform",
+    assert params_of(spark, PAGE) == {
+        "selector": "select entity_id from {claims} where property = 'P50'",
+        "grouping_link": "Lists/{Lfr}",
+        "properties": "P577/S*, Dsv",
+        "grouping_property": "P495",
     }
 
 
-def test_params_on_one_line_repeated_and_empty(spark):
-    text = "{{Property dashboard|a=1| a = 2 |=x|b|c=}} {{Property dashboard end}}"
-    assert params_of(spark, text) == {"a": "2", "b": "", "c": ""}
+@pytest.mark.parametrize(
+    ("inside", "wanted"),
+    [
+        ("|p=7|q = 8 |p= 9|=r|s|t=", {"p": "9", "q": "8", "s": "", "t": ""}),
+        ("|p=u {{!}} v=w", {"p": "u | v=w"}),
+        ("|p={{a|{{b|c={{d|e}}}}}}|q=1", {"p": "{{a|{{b|c={{d|e}}}}}}", "q": "1"}),
+        ("|p=[[f|g{{h|i=1}}j]]|q=2", {"p": "[[f|g{{h|i=1}}j]]", "q": "2"}),
+        ("<!-- note | x=1 -->|p=1<!-- | z=2 -->|q=2", {"p": "1", "q": "2"}),
+        ("|p=<nowiki>k|l}}</nowiki>|q=3", {"p": "<nowiki>k|l}}</nowiki>", "q": "3"}),
+        ("|p={k} ]] }|q=4", {"p": "{k} ]] }", "q": "4"}),
+    ],
+)
+def test_params_with_anything_inside(spark, inside, wanted):
+    assert params_of(spark, dashboard(inside)) == wanted
+
+
+@pytest.mark.parametrize(
+    "name", ["property dashboard", "Property_dashboard", " Property  dashboard ", "property_dashboard\n"]
+)
+def test_names_as_wikis_read_them(spark, name):
+    assert params_of(spark, dashboard("|p=1", name)) == {"p": "1"}
+
+
+def test_other_templates_are_not_dashboards(spark):
+    assert params_of(spark, dashboard("|p=1", "Property dashboards")) == {}
+    assert params_of(spark, dashboard("|p=1", "My property dashboard")) == {}
+
+
+def test_pages_that_cannot_be_read_are_errors(spark):
+    good, broken = dashboard("|p=1"), "{{Property dashboard|p={{x}} {{Property dashboard end}}"
+    found = texts(spark, good, broken, "no dashboard", None)
+    assert [r.page for r in pages.unreadable_pages(found).collect()] == [1]
+    assert {r.page for r in pages.dashboard_params(found).collect()} == {0}
 
 
 def test_first_dashboard_counts_and_both_markers_are_needed(spark):
-    one = "{{Property dashboard|a=1}}"
-    assert params_of(spark, one) == {}
+    assert params_of(spark, "{{Property dashboard|p=1}}") == {}
     assert params_of(spark, "{{Property dashboard end}}") == {}
-    both = one + "{{Property dashboard|a=2}}{{Property dashboard end}}"
-    assert params_of(spark, both) == {"a": "1"}
+    two = "{{Property dashboard|p=3}} {{Property dashboard|p=4}}{{Property dashboard end}}"
+    assert params_of(spark, two) == {"p": "3"}
 
 
 def migrated(spark, text):
@@ -67,16 +96,15 @@ def migrated(spark, text):
 @pytest.mark.parametrize(
     ("old", "new"),
     [
-        ("|stats_for_no_group=1\n", "|row_no_group=1\n"),
-        ("|a=[[x]]\n| stats_for_no_group = 1\n", "|a=[[x]]\n| row_no_group = 1\n"),
-        ("|a={{Q|5}}\n|stats_for_no_group=1\n", "|a={{Q|5}}\n|row_no_group=1\n"),
-        ("|row_no_group=1\n", "|row_no_group=1\n"),
-        ("|my_stats_for_no_group=1\n", "|my_stats_for_no_group=1\n"),
+        ("|q=2|stats_for_no_group= 0", "|q=2|row_no_group= 0"),
+        ("|q={{a|{{b|c}}}}|stats_for_no_group=0|r=1", "|q={{a|{{b|c}}}}|row_no_group=0|r=1"),
+        ("|no_stats_for_no_group=0", "|no_stats_for_no_group=0"),
+        ("|q=stats_for_no_group", "|q=stats_for_no_group"),
     ],
 )
 def test_migration_inside_the_template(spark, old, new):
-    page = "see |stats_for_no_group=1 \n{{Property dashboard\n%s}}\nt |stats_for_no_group=2"
-    assert migrated(spark, page % old) == page % new
+    around = "{{Other|stats_for_no_group=5}} %s and |stats_for_no_group=6"
+    assert migrated(spark, around % dashboard(old)) == around % dashboard(new)
 
 
 def spliced(spark, text, report_text):
@@ -84,12 +112,14 @@ def spliced(spark, text, report_text):
     return pages.splice_reports(texts(spark, text), reports, start="Property dashboard")
 
 
-@pytest.mark.parametrize("selector", ["wd:Q7889", "{{!}}"])
-def test_report_is_put_between_the_markers(spark, selector):
-    page = PAGE.replace("from {claims} where property = 'P31'", selector)
-    wanted = page.replace("\nfoo\n", "\nb$1a\\1r\n")
-    assert spliced(spark, page, "b$1a\\1r").first().text == wanted
-    assert spliced(spark, page + page, "b$1a\\1r").first().text == wanted + page
+@pytest.mark.parametrize("link", ["Lists/{Lfr}", "a {{!}} b"])
+@pytest.mark.parametrize("new", ["plain", "$0 \\2 {{x}}"])
+def test_report_is_put_between_the_markers(spark, link, new):
+    page = PAGE.replace("Lists/{Lfr}", link)
+    wanted = page.replace("\nold report\n", f"\n{new}\n")
+    assert spliced(spark, page, new).first().text == wanted
+    again = page.replace("Intro", "Second")
+    assert spliced(spark, page + again, new).first().text == wanted + again
 
 
 def test_pages_without_markers_or_report_stay(spark):

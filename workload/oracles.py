@@ -141,7 +141,7 @@ def coverage(
     threshold: int = 1,
     no_group: bool = False,
     totals: bool = True,
-    limit: int = 1000,
+    limit: int | None = None,
     only: str = "true",
     body: str | None = None,
 ) -> str:
@@ -173,7 +173,7 @@ select e.grp, count(distinct s.entity_id) as count {"".join(group_cells)}
 from sel s join edges e on e.entity_id = s.entity_id where {only} group by e.grp"""
     ctes["kept"] = (
         f"select * from raw where count >= {threshold} "
-        f"order by count desc, grp nulls first limit {limit}"
+        + (f"order by count desc, grp limit {limit}" if limit else "")
     )
     parts = [f"select 0 as section, grp as group_key, count {''.join(names)} from kept"]
     if no_group:

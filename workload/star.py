@@ -132,6 +132,17 @@ from ({_STATEMENTS}) s""",
                 type="time",
                 year="o_orderkey % 400 - 150",
             ),
+            _plain_claims(
+                "P12",
+                _ORDER,
+                f"case when o_orderkey % 13 = 0 then {_UNKNOWN} || {_ORDER} "
+                "else cast(cast(o_orderdate as date) as varchar(10)) end",
+                "{orders}",
+                type="time",
+                snak="case when o_orderkey % 13 = 0 then 'somevalue' else 'value' end",
+                time="case when o_orderkey % 13 <> 0 then o_orderdate end",
+                year="case when o_orderkey % 13 <> 0 then cast(year(o_orderdate) as bigint) end",
+            ),
             _plain_claims(
                 "P11", _ORDER, "'c' || cast(o_custkey as varchar(20))", "{orders}"
             ),
@@ -153,7 +164,7 @@ select reference_id, case status when 'F' then 'P854' else 'P813' end as propert
     "terms": f"""
 select 'd' || cast(doc_id as varchar(20)) as entity_id,
   case when n_chars > 1000 then 'description' else 'label' end as kind,
-  case when lang = 'es' then 'mul' else lang end as lang, substr(text, 1, 40) as text
+  case when lang = 'es' then 'mul' else lang end as lang, text
 from {{documents}}
 union all
 select {_NATION}, 'label', case when n_nationkey % 3 = 0 then 'mul' else 'en' end, n_name
@@ -161,7 +172,7 @@ from {{nation}}""",
     "sitelinks": """
 select 'd' || cast(page_id as varchar(20)) as entity_id,
   'https://' || split_part(url, '/', 4) || '.example.org/' as project_url, url as title
-from {pages} where page_id in (select doc_id from {documents})""",
+from {pages}""",
     "projects": """
 select distinct lang || 'wiki' as code, 'https://' || lang || '.example.org/' as url,
   'Q9' || cast(ascii(lang) as varchar(20)) as item from {documents}""",
