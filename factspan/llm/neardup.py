@@ -320,7 +320,9 @@ def _links_of_families(
         columns = [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)]
         return pa.table(dict(zip(("a", "b"), columns, strict=True)))
 
-    found = rows.groupBy("large", "part", "one", "two").applyInArrow(run, "a long, b long")
+    keys = ["large", "part", "one", "two"]
+    dealt = rows.repartition(max(4, 2 * packs), *keys)
+    found = dealt.groupBy(*keys).applyInArrow(run, "a long, b long")
     return found.distinct()
 
 

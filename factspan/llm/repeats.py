@@ -44,8 +44,9 @@ from factspan.llm.common import (
 MOST_CLASSES = 64
 # Classes that a task gets in all.
 BLOCK_CLASSES = 1024
-# Windows that a task looks at in one go; longer texts go in overlapping parts.
-PART = 1 << 22
+# Bytes of texts and windows that a task looks at in one go, as each byte may take
+# a dozen 64-bit numbers; longer texts go in overlapping parts.
+PART = 1 << 20
 
 # (symbols, ends): the symbols of some units in a row, and where each unit ends.
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -128,7 +129,7 @@ def _occurrences(units: DataFrame, symbols: Symbols, k: int, length: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _OCCURRENCE.split(", ")]
         for whole in batches:
-            for batch in sliced(whole, "content"):
+            for batch in sliced(whole, "content", PART):
                 flat, ends = symbols(batch.column("content"))
                 for part, cuts, unit, offset in _parts(flat, ends, length):
                     found = anchors(part, cuts, k, length)
@@ -157,7 +158,7 @@ def _contents(units: DataFrame, wanted: DataFrame, kind: Kind, raw: bool, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "content"):
+            for batch in sliced(whole, "content", PART):
                 flat, ends = read(batch.column("content"))
                 lists = batch.column("c")
                 classes = lists.flatten()
@@ -183,6 +184,8 @@ def _compared(classes: DataFrame, kind: Kind, k: int, length: int, first: bool)
     """(anchor, around, at, n): runs of windows of a class that another class has."""
     blocks = max(1, -(-classes.count() // BLOCK_CLASSES))
     dealt = classes.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
+    # A given number of tasks, as they have much to do for few bytes.
+    dealt = dealt.repartition(max(1, blocks // 4), "block")
 
     def run(table: pa.Table) -> pa.Table:
         rows, at, n = kind.engine(table, length, k, first)
