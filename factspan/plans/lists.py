@@ -17,7 +17,7 @@ from factspan.operators.selection import (
     select_entities,
     truthy,
 )
-from factspan.spec import Dashboard, Property, Qualifier, Referenced, Text
+from factspan.spec import Dashboard, Property, Qualifier, Referenced, Text, follows_group
 
 
 def groups_to_list(
@@ -46,17 +46,24 @@ def groups_to_list(
     return inside.join(pages, "group_link", "left_anti")
 
 
+# What a list shows first; fields of other kinds follow in the order of the columns.
+_FIELD_RANKS = {"label": 0, "description": 1}
+
+
 def list_fields(dashboard: Dashboard) -> list[str]:
     """What a list shows: labels first, then descriptions, then the rest; no site links."""
     fields = [c.list_field for c in dashboard.columns if c.list_field]
-    shown = [f for f in fields if f.startswith("label")] or ["label"]
-    shown += [f for f in fields if f.startswith("description")]
-    shown += [f for f in fields if f not in shown]
-    return list(dict.fromkeys(shown))
+    kinds = {field.split("/")[0] for field in fields}
+    fields += [] if "label" in kinds else ["label"]
+    rank = lambda field: _FIELD_RANKS.get(field.split("/")[0], len(_FIELD_RANKS))
+    return sorted(dict.fromkeys(fields), key=rank)
 
 
 def _field_values(facts: Facts, dashboard: Dashboard, lang: str) -> DataFrame:
-    """Distinct (entity_id, field, value) of all listed fields."""
+    """Distinct (entity_id, field, value, group_key) of all listed fields.
+
+    ``group_key`` is the group a value belongs to, for columns tied to the group.
+    """
     parts = []
     texts = [c for c in dashboard.columns if isinstance(c, Text)]
     if not any(c.kind == "label" for c in texts):
@@ -75,14 +82,17 @@ def _field_values(facts: Facts, dashboard: Dashboard, lang: str) -> DataFrame:
     for column in dashboard.columns:
         if isinstance(column, Qualifier):
             claims = facts.claims.filter(F.col("property") == column.property)
-            if column.value:
+            if column.value and not follows_group(column):
                 claims = claims.filter(F.col("value") == column.value)
             found = facts.qualifiers.filter(F.col("property") == column.qualifier)
             found = found.filter(has_value()).select("statement_id", "value").distinct()
-            owners = claims.select("statement_id", "entity_id")
+            owner = F.col("value") if follows_group(column) else F.lit(None).cast("string")
+            owners = claims.select("statement_id", "entity_id", owner.alias("group_key"))
             rows = found.join(owners, ["statement_id"], "inner")
-            parts.append(rows.select("entity_id", F.lit(column.key).alias("field"), "value"))
-    return reduce(DataFrame.union, parts).distinct()
+            field = F.lit(column.key).alias("field")
+            parts.append(rows.select("entity_id", field, "value", "group_key"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.distinct()
 
 
 def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataFrame:
@@ -126,6 +136,14 @@ def member_lists(
         "group_key", "entity_id", F.inline(places)
     )
     values = _field_values(facts, dashboard, lang)
-    keys = ["entity_id", "field"]
-    found = members.join(values, keys, "left")
-    return found.select("group_key", "entity_id", "position", "field", "value")
+    if "group_key" not in values.columns:
+        values = values.withColumn("group_key", F.lit(None).cast("string"))
+    tied = [c.list_field for c in dashboard.columns if follows_group(c) and c.list_field]
+    follows = F.col("field").isin(*tied)
+    free = members.filter(~follows).join(
+        values.filter(~follows).drop("group_key"), ["entity_id", "field"], "left"
+    )
+    own = members.filter(follows).join(
+        values.filter(follows), ["entity_id", "field", "group_key"], "left"
+    )
+    return free.unionByName(own).select("group_key", "entity_id", "position", "field", "value")

@@ -215,6 +215,7 @@ Q7 = in_group(ORDERS, HOME, "e.grp = 'Q7'")
 UNKNOWN = in_group(
     ORDERS, edges("P9"), "starts_with(e.grp, 'http://www.wikidata.org/.well-known/genid/')"
 )
+UNKNOWN_YEAR = f"select distinct entity_id from ({ORDERS}) s where cast(substr(entity_id, 2) as bigint) % 13 = 0"
 ALL_ORDERS = f"select distinct entity_id from ({ORDERS}) s"
 ALL_DOCUMENTS = f"select distinct entity_id from ({DOCUMENTS}) s"
 IN = "entity_id in (select entity_id from members)"
@@ -330,6 +331,10 @@ DRILLS = {
     "drill_unknown_group_negative": labelled(
         negative_reference("S*"), "entity_id", "value", members=UNKNOWN
     ),
+    "drill_unknown_year": labelled(P1_VALUES, "entity_id", "value", members=UNKNOWN_YEAR),
+    "drill_unknown_year_negative": labelled(
+        negative_reference("S*"), "entity_id", "value", members=UNKNOWN_YEAR
+    ),
     "drill_no_group": labelled(
         P1_VALUES,
         "entity_id",
@@ -647,6 +652,7 @@ from orders group by 1""",
             only="e.grp in (select url from f_projects where code in ('frwiki', 'dewiki', 'xxwiki'))",
         ),
         "unknown_fold": coverage(ORDERS, edges("P9"), {"sourced": "P1/S*"}, body=_FOLD),
+        "unknown_fold_many": coverage(ORDERS, edges("P1"), {"sourced": "P1/S*"}, body=_FOLD),
         "year_groups": coverage(
             CUSTOMERS, YEARS, {"has_p7": "P7", "has_p4": "P4"}, threshold=20
         ),

@@ -189,6 +189,14 @@ def unknown_fold(spark, sf_dir):
     return counts(plan.lines(), sourced="")
 
 
+@query
+def unknown_fold_many(spark, sf_dir):
+    """More unknown groups than any report lists: each unknown value is one."""
+    by = GroupBy(("P1",), "item")
+    plan = Coverage(star_facts(spark, sf_dir), by_home(spark, sf_dir, "P1/S*", group_by=by))
+    return counts(plan.lines(), sourced="")
+
+
 @query
 def year_groups(spark, sf_dir):
     board = Dashboard(selection(spark, sf_dir, "customers"), YEARS, columns_from_text("P7,P4"))
@@ -504,6 +512,11 @@ def _customers(spark, sf_dir, facts, column):
     return Dashboard(selection(spark, sf_dir, "customers"), YEARS, columns_from_text(column))
 
 
+def _unknown_years(spark, sf_dir, facts, column):
+    by = GroupBy(("P12",), "year")
+    return Dashboard(selection(spark, sf_dir, "orders"), by, columns_from_text(column))
+
+
 DRILLS = {
     "drill_positive_property": (_orders, "P1", "Q7", True),
     "missing_property": (_orders, "P1", "", False),
@@ -520,6 +533,8 @@ DRILLS = {
     "drill_negative_reference_scoped": (_orders, "P1/P2/S*", "Q7", False),
     "drill_unknown_group": (_unknown, "P1", "UNKNOWN_VALUE", True),
     "drill_unknown_group_negative": (_unknown, "P1/S*", "UNKNOWN_VALUE", False),
+    "drill_unknown_year": (_unknown_years, "P1", "UNKNOWN_VALUE", True),
+    "drill_unknown_year_negative": (_unknown_years, "P1/S*", "UNKNOWN_VALUE", False),
     "drill_no_group": (_orders, "P1", "None", True),
     "drill_totals": (_orders, "P1", "", True),
     "drill_year_span": (_customers, "P7", "1990/10", True),
