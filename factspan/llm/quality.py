@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.common import id_remainder, sliced, split_words, written
+from factspan.llm.common import id_remainder, least_by_hash, sliced, split_words, written
 
 # Labelled rows that the model is fitted on, at most: those with the least hash.
 TRAINING_ROWS = 20_000
@@ -250,8 +250,8 @@ def quality_scores(
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max("quality").alias("quality"))
     learnt = found.filter("not held_out").join(known, "doc_id")
-    order = [F.xxhash64("doc_id"), "doc_id", "x"]
-    sample = learnt.orderBy(*order).limit(training_rows).select("x", "quality").toPandas()
+    sample = written(least_by_hash(learnt, "doc_id", training_rows))
+    sample = sample.select("x", "quality").toPandas()
     x = np.array(sample["x"].tolist()).reshape(-1, len(FEATURES))
     model = fitted(x, (sample["quality"].to_numpy() > 0).astype(float))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import sliced, split_words, written
+from factspan.llm.common import least_by_hash, sliced, split_words, written
 
 # Labelled rows that the model is fitted on, at most: those with the least hash.
 TRAINING_ROWS = 16_000
@@ -168,7 +168,7 @@ def _trained(docs: DataFrame, labels: DataFrame, rows: int, grades: int) -> Ordi
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     # Which rows are taken needs no texts; these are then fetched for the few.
-    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    chosen = written(least_by_hash(known, "doc_id", rows))
     sample = written(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     names = _telling(sample, n, toxic) if 0 < toxic < n else []
