@@ -59,6 +59,20 @@ def written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and nothing reads any more.
+
+    The files of shuffles that led to them go too, once the driver has collected
+    what referred to them.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        spark._jvm.System.gc()
+
+
 # Pre-filter
 
 _FILTER_ROWS = 1 << 17

@@ -1,15 +1,16 @@
 """A hidden Markov language model, trained by Baum-Welch counts over all partitions.
 
-States emit classes of tokens; a token has its class's share of the unigram
-probability. Frequent words are classes of their own, other words share a class
-with those of the same ending, so the tables that tasks get have a fixed size.
-With equal states the model is the unigram base itself; what it gains comes from
-the latent states alone.
+Every word of the training documents has state counts of its own. They are rows of
+a table, summed up by word and joined to the dictionary of each chunk of documents,
+so the vocabulary has no limit and no task or driver holds all of it. The rounds
+that find a starting point work on classes of words: frequent ones by themselves,
+others by their endings. With equal states the model is the unigram base itself;
+what it gains comes from the latent states alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,15 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.common import id_remainder, sliced, split_words, written
+from factspan.llm.common import dropped, id_remainder, sliced, split_words, written
 
-# Frequent words and word endings that are classes of their own.
+# Frequent words and word endings that are classes of their own in the first rounds.
 FREQUENT, ENDINGS = 2048, 2048
 END, UNKNOWN = FREQUENT + ENDINGS, FREQUENT + ENDINGS + 1
 CLASSES = FREQUENT + ENDINGS + 2
 STATES = 8
-# Rounds over one sixteenth of the training documents each, then rounds over all.
+# Rounds by class over one sixteenth of the training documents each, then rounds by
+# word over all.
 SLICES, SHORT_ROUNDS, FULL_ROUNDS = 16, 8, 2
+# Tokens that each word has besides its own, in the states' shares of all tokens.
+PRIOR = 2.0
 # Bytes of text whose words share a dictionary; tokens that are trained on together.
 CHUNK_BYTES, PIECE, BATCH_TOKENS = 24 << 20, 256, 1 << 20
 
@@ -99,54 +103,53 @@ def _classes(known: DataFrame) -> DataFrame:
     own = known.sparkSession.createDataFrame(rows, "word string, own int")
     ending = F.lit(FREQUENT) + F.pmod(F.xxhash64(F.expr("right(word, 3)")), F.lit(ENDINGS))
     joined = known.join(F.broadcast(own), "word", "left")
-    return joined.select("word", "c", F.coalesce("own", ending).cast("int").alias("class"))
+    kind = F.coalesce("own", ending).cast("int").alias("class")
+    return joined.select("word", "c", kind, F.monotonically_increasing_id().alias("code"))
 
 
-def _coded(found: DataFrame, known: DataFrame, n: int, v: int, ends: int) -> DataFrame:
-    """Each document with its classes, its known tokens and its unigram score."""
-    words = found.select("chunk", F.posexplode("words").alias("pos", "word"))
-    told = words.join(known, "word").select("chunk", "pos", "c", "class")
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, int]:
+    """A chunk's tokens with an end mark after each text, the texts' sizes, the mark's number."""
+    sizes = np.array(row["sizes"][0], np.int64) + 1
+    stops = np.cumsum(sizes)
+    inside = np.ones(int(sizes.sum()), bool)
+    inside[stops - 1] = False
+    codes = np.full(len(inside), row["types"][0], np.int32)
+    unpacked = zstandard.ZstdDecompressor().decompress(row["tokens"][0])
+    codes[inside] = np.frombuffer(unpacked, np.int32)
+    return codes, sizes, row["types"][0]
+
+
+def _by_chunk(found: DataFrame, rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(key, rows of a chunk's dictionary, the chunk)`` for each chunk."""
+    slim = found.selectExpr(
+        "chunk as part", "ids", "held", "sizes", "tokens", "size(words) as types"
+    )
+    return rows.groupBy("chunk").cogroup(slim.groupBy("part")).applyInArrow(run, schema)
+
+
+def _coded(found: DataFrame, places: DataFrame, ends: int) -> DataFrame:
+    """Each training document with its classes."""
 
     def run(key: tuple, numbers: pa.Table, rows: pa.Table) -> pa.Table:
-        unpacker = zstandard.ZstdDecompressor()
         row = rows.slice(0, 1).to_pydict()
-        sizes = np.array(row["sizes"][0], np.int64)
-        types = len(row["words"][0])
-        count = np.zeros(types, np.int64)
-        kind = np.full(types, UNKNOWN, np.uint16)
-        at = numbers.column("pos").to_numpy()
-        count[at] = numbers.column("c").to_numpy()
-        kind[at] = numbers.column("class").to_numpy().astype(np.uint16)
-        tokens = np.frombuffer(unpacker.decompress(row["tokens"][0]), np.int32)
-        stops = np.cumsum(sizes + 1)
-        inside = np.ones(int(sizes.sum()) + len(sizes), bool)
-        inside[stops - 1] = False
-        counted = np.full(len(inside), ends, np.int64)
-        classes = np.full(len(inside), END if ends else UNKNOWN, np.uint16)
-        counted[inside] = count[tokens]
-        classes[inside] = kind[tokens]
-        starts = stops - sizes - 1
-        score = np.log10((counted + 0.5) / (n + 0.5 * (v + 1)))
-        flat = classes.tobytes()
+        codes, sizes, types = _tokens(row)
+        kind = np.full(types + 1, UNKNOWN, np.uint16)
+        kind[types] = END if ends else UNKNOWN
+        kind[numbers.column("pos").to_numpy()] = numbers.column("class").to_numpy()
+        flat = kind[codes].tobytes()
+        stops = np.cumsum(sizes)
+        learnt = np.flatnonzero(~np.array(row["held"][0], bool))
+        spans = zip((stops - sizes)[learnt], stops[learnt], strict=True)
         return pa.table(
             {
-                "doc_id": pa.array(row["ids"][0], pa.int64()),
-                "held_out": pa.array(row["held"][0], pa.bool_()),
-                "n_tokens": sizes + 1,
-                "n_known": np.add.reduceat((counted > 0).astype(np.int64), starts),
-                "base_score": np.add.reduceat(score, starts),
-                "classes": pa.array(
-                    [flat[2 * a : 2 * b] for a, b in zip(starts, stops, strict=True)], pa.binary()
-                ),
+                "doc_id": pa.array(row["ids"][0], pa.int64()).take(pa.array(learnt)),
+                "n_tokens": sizes[learnt],
+                "classes": pa.array([flat[2 * a : 2 * b] for a, b in spans], pa.binary()),
             }
         )
 
-    schema = (
-        "doc_id long, held_out boolean, n_tokens long, n_known long, "
-        "base_score double, classes binary"
-    )
-    slim = found.selectExpr("chunk as part", "ids", "held", "sizes", "tokens", "words")
-    return told.groupBy("chunk").cogroup(slim.groupBy("part")).applyInArrow(run, schema)
+    numbers = places.select("chunk", "pos", "class")
+    return _by_chunk(found, numbers, run, "doc_id long, n_tokens long, classes binary")
 
 
 # Training
@@ -183,7 +186,7 @@ def _unpacked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (
         counts[:a].reshape(2, STATES),
         counts[a:b].reshape(STATES, STATES),
-        counts[b:].reshape(CLASSES, STATES),
+        counts[b:].reshape(-1, STATES),
     )
 
 
@@ -221,16 +224,13 @@ def expected(codes: np.ndarray, start: np.ndarray, size: np.ndarray, later: np.n
         first[kind] = alphas[0][later == kind].sum(axis=0)
     weight, code = np.concatenate(alphas), np.concatenate(seen)
     shown = np.stack(
-        [np.bincount(code, weight[:, s], CLASSES) for s in range(STATES)], axis=1
+        [np.bincount(code, weight[:, s], len(emit)) for s in range(STATES)], axis=1
     )
     return np.concatenate([first.ravel(), (moved * m.move).ravel(), shown.ravel()])
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Some documents' codes with the pieces they are trained in."""
-    codes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16)
-    sizes = batch.column("n_tokens").to_numpy()
-    stops = np.cumsum(sizes)
+def _pieces(codes: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """Codes with the pieces that the documents which stop there are trained in."""
     counts = -(-sizes // PIECE)
     owner = np.repeat(np.arange(len(sizes)), counts)
     turn = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -248,7 +248,9 @@ def baum_welch(sequences: DataFrame, model: Model) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * STATES + STATES * STATES + CLASSES * STATES)
         for batch in batches:
-            for piece in _pieces(batch):
+            codes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16)
+            sizes = batch.column("n_tokens").to_numpy()
+            for piece in _pieces(codes, np.cumsum(sizes), sizes):
                 total += expected(*piece, model)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -262,6 +264,119 @@ def baum_welch(sequences: DataFrame, model: Model) -> Model:
     return estimated(counts, model.mass)
 
 
+# Training by word
+
+
+_COUNTS = [f"n{s}" for s in range(STATES)]
+
+
+@dataclass(frozen=True)
+class WordModel:
+    """What all words have in common; ``known`` is the table of their counts by state.
+
+    A word's weight in a state is its unigram probability times the state's share of
+    its tokens, with ``PRIOR`` tokens in the states' shares of all tokens added; the
+    weights of a state are scaled so that they and the unknown word's sum to 1.
+    """
+
+    start: np.ndarray  # 2 x states
+    move: np.ndarray  # states x states
+    share: np.ndarray  # of all tokens, by state
+    scale: np.ndarray  # by state
+    end: np.ndarray  # emission of the end mark, by state
+    unknown: float
+    total: float  # what counts of unigrams are divided by
+
+    def emissions(self, numbers: pa.Table) -> np.ndarray:
+        lists = numbers.column("n").combine_chunks()
+        n = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, STATES)
+        base = (numbers.column("c").to_numpy() + 0.5) / self.total
+        base = base / (n.sum(axis=1) + PRIOR)
+        return base[:, None] * (n + PRIOR * self.share) * self.scale
+
+
+def word_counts(found: DataFrame, rows: DataFrame, ends: int, local: Callable) -> DataFrame:
+    """(code, c, n): Baum-Welch counts of each word over all training documents, by state.
+
+    ``rows`` has (chunk, pos, code, c) and what ``local`` needs to give (start, move,
+    emissions of these rows, of the end mark). Codes below 0 are starts, moves and
+    the end mark.
+    """
+    special = 2 + STATES
+
+    def run(key: tuple, numbers: pa.Table, chunk: pa.Table) -> pa.Table:
+        row = chunk.slice(0, 1).to_pydict()
+        codes, sizes, types = _tokens(row)
+        start, move, own, end = local(numbers)
+        at = numbers.column("pos").to_numpy()
+        emit = np.zeros((types + 1, STATES))
+        emit[at], emit[types] = own, end
+        m = Model(start, move, emit, emit[:, 0])
+        learnt = ~np.array(row["held"][0], bool)
+        total = np.zeros(STATES * (special + types + 1))
+        for piece in _pieces(codes, np.cumsum(sizes)[learnt], sizes[learnt]):
+            total += expected(*piece, m)
+        total = total.reshape(-1, STATES)
+        few = np.concatenate([total[:special], total[-1:]])
+        n = np.concatenate([few, total[special:-1][at]])
+        code = np.concatenate([-1 - np.arange(special + 1), numbers.column("code").to_numpy()])
+        c = np.concatenate([np.zeros(special, np.int64), [ends], numbers.column("c").to_numpy()])
+        some = n.any(axis=1)
+        columns = [pa.array(code[some]), pa.array(c[some].astype(np.int64))]
+        columns += [pa.array(n[some, s].astype(np.float32)) for s in range(STATES)]
+        return pa.Table.from_arrays(columns, ["code", "c", *_COUNTS])
+
+    schema = "code long, c long, " + ", ".join(f"{x} float" for x in _COUNTS)
+    parts = _by_chunk(found, rows, run, schema)
+    sums = [F.sum(x).cast("float") for x in _COUNTS]
+    return parts.groupBy("code", "c").agg(F.array(*sums).alias("n"))
+
+
+def word_model(counts: DataFrame, ends: int, n: int, v: int) -> WordModel:
+    """The model of Baum-Welch counts by word; only sums by state come to the driver."""
+    total = n + 0.5 * (v + 1)
+    few = np.zeros((3 + STATES, STATES))
+    for row in counts.filter("code < 0").collect():
+        few[-1 - row.code] = row.n
+    counts = counts.select("code", "c", *[F.col("n")[s].cast("double").alias(x) for s, x in enumerate(_COUNTS)])
+    sum_n = sum(F.col(x) for x in _COUNTS)
+    base = (F.col("c") + 0.5) / F.lit(total) / (sum_n + F.lit(PRIOR))
+    sums = counts.filter("code >= 0").select(base.alias("b"), *_COUNTS).agg(
+        F.sum("b"),
+        *[F.sum(x) for x in _COUNTS],
+        *[F.sum(F.col("b") * F.col(x)) for x in _COUNTS],
+    )
+    found = np.array([x or 0.0 for x in sums.first()])
+    held, seen, weighed = found[0], found[1 : 1 + STATES] + few[-1], found[1 + STATES :]
+    share = seen / seen.sum() if seen.sum() > 0 else np.full(STATES, 1 / STATES)
+    unknown = 0.5 / total
+    last = (few[-1] + PRIOR * share) * ((ends + 0.5) / total / (few[-1].sum() + PRIOR))
+    last = last if ends else np.zeros(STATES)
+    whole = weighed + PRIOR * share * held + last
+    scale = (1 - unknown) / np.where(whole > 0, whole, 1)
+    shares = lambda x: (x + 0.1) / (x + 0.1).sum(axis=1, keepdims=True)
+    end = last * scale if ends else np.full(STATES, unknown)
+    return WordModel(shares(few[:2]), shares(few[2:-1]), share, scale, end, unknown, total)
+
+
+def trained_words(
+    found: DataFrame, places: DataFrame, first: Model, ends: int, n: int, v: int
+) -> tuple[WordModel, DataFrame]:
+    """Full rounds from the model of classes on: the model, and ``places`` with counts."""
+    rows, counts = places, None
+    local = lambda t: (
+        first.start, first.move, first.emit[t.column("class").to_numpy()], first.emit[END]
+    )
+    for _ in range(FULL_ROUNDS):
+        before, counts = counts, written(word_counts(found, rows, ends, local))
+        if before is not None:
+            dropped(before)
+        model = word_model(counts, ends, n, v)
+        rows = places.select("chunk", "pos", "code").join(counts, "code")
+        local = lambda t, m=model: (m.start, m.move, m.emissions(t), m.end)
+    return model, rows
+
+
 # Scores
 
 
@@ -285,26 +400,34 @@ def log_likelihoods(codes: np.ndarray, start: np.ndarray, size: np.ndarray, m: M
     return found
 
 
-def _scores(sequences: DataFrame, model: Model) -> DataFrame:
-    usual = np.log10(np.where(model.mass > 0, model.mass, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16)
-            sizes = batch.column("n_tokens").to_numpy()
-            starts = np.cumsum(sizes) - sizes
-            gain = log_likelihoods(codes, starts, sizes, model)
-            gain -= np.add.reduceat(usual[codes], starts)
-            score = pa.array(batch.column("base_score").to_numpy() + gain)
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
-            columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, score], [*names, "score"])
+def _scores(found: DataFrame, rows: DataFrame, model: WordModel, ends: int) -> DataFrame:
+    def run(key: tuple, numbers: pa.Table, chunk: pa.Table) -> pa.Table:
+        row = chunk.slice(0, 1).to_pydict()
+        codes, sizes, types = _tokens(row)
+        at = numbers.column("pos").to_numpy()
+        count = np.zeros(types + 1, np.int64)
+        count[at], count[types] = numbers.column("c").to_numpy(), ends
+        emit = np.full((types + 1, STATES), model.unknown)
+        emit[at], emit[types] = model.emissions(numbers), model.end
+        base = np.log10((count + 0.5) / model.total)
+        starts = np.cumsum(sizes) - sizes
+        m = Model(model.start, model.move, emit, emit[:, 0])
+        return pa.table(
+            {
+                "doc_id": pa.array(row["ids"][0], pa.int64()),
+                "held_out": pa.array(row["held"][0], pa.bool_()),
+                "n_tokens": sizes,
+                "n_known": np.add.reduceat((count > 0).astype(np.int64)[codes], starts),
+                "base_score": np.add.reduceat(base[codes], starts),
+                "score": log_likelihoods(codes, starts, sizes, m),
+            }
+        )
 
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, "
         "base_score double, score double"
     )
-    return sequences.mapInArrow(run, schema)
+    return _by_chunk(found, rows.drop("code"), run, schema)
 
 
 def language_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
@@ -329,7 +452,8 @@ def language_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame
     pairs = found.select(F.explode(F.arrays_zip("words", "counts")).alias("p"))
     totals = pairs.select(F.col("p.words").alias("word"), F.col("p.counts").alias("n"))
     known = totals.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    known = written(_classes(written(known)))
+    plain = written(known)
+    known = written(_classes(plain))
     train = found.select(F.explode("held").alias("held"))
     ends = train.filter("not held").count()
     shares = known.groupBy("class").agg(
@@ -342,12 +466,14 @@ def language_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame
     mass[END] = ends + 0.5 if ends else 0
     mass[UNKNOWN] = 0.5
     mass /= n + 0.5 * (v + 1)
-    sequences = written(_coded(found, known, n, v, ends))
-    training = sequences.filter("not held_out")
+    words = found.select("chunk", F.posexplode("words").alias("pos", "word"))
+    places = written(words.join(known, "word").select("chunk", "pos", "code", "c", "class"))
+    dropped(plain, known)
+    training = written(_coded(found, places, ends))
     part = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SLICES))
-    model = first_model(mass)
+    first = first_model(mass)
     for turn in range(SHORT_ROUNDS):
-        model = baum_welch(training.filter(part == turn), model)
-    for _ in range(FULL_ROUNDS):
-        model = baum_welch(training, model)
-    return _scores(sequences, model).withColumn("train_tokens", F.lit(n).cast("long"))
+        first = baum_welch(training.filter(part == turn), first)
+    dropped(training)
+    model, rows = trained_words(found, places, first, ends, n, v)
+    return _scores(found, rows, model, ends).withColumn("train_tokens", F.lit(n).cast("long"))

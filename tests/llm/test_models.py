@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factspan.llm import topk
+from factspan.llm import hmm, topk
 from factspan.llm.chat import escaped, perspectives, unescaped
 from factspan.llm.hmm import CLASSES, STATES, Model, expected, language_scores, log_likelihoods
 from factspan.llm.mixture import mixed_to_weights
@@ -132,6 +132,23 @@ def test_baum_welch_counts_are_posteriors():
     assert np.allclose(shown[:5], 1, atol=1e-5)
 
 
+def test_words_of_one_ending_have_counts_of_their_own(spark, monkeypatch):
+    """No word is frequent enough for a class: only counts by word tell xabc from yabc."""
+    monkeypatch.setattr(hmm, "FREQUENT", 0)
+    draw = random.Random(6)
+    text = lambda side: " ".join(
+        f"{side}abc" if draw.random() < 0.1 else f"{side}{draw.randrange(30)}" for _ in range(60)
+    )
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, text("xy"[k % 2])) for k, i in enumerate(train)]
+    own = text("x")
+    rows += [(held[0], own), (held[1], own.replace("xabc", "yabc"))]
+    found = {r.doc_id: r for r in language_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gain = [found[i].score - found[i].base_score for i in held]
+    assert own.count("xabc") > 2 and gain[0] > gain[1] + 1
+
+
 # Classifiers
 
 
