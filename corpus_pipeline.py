@@ -16,9 +16,9 @@ from factspan.llm.neardup import near_duplicates
 from factspan.llm.runindex import without_repeats
 from factspan.llm.toxicity import without_toxic
 
-# Bytes that a passage has to share with an earlier document to be cut: a little
-# less than fifty words of running text.
-PASSAGE_BYTES = 240
+# What a passage has to share with an earlier document to be cut: so many bytes, a little
+# less than fifty words of running text, or over fifty words of whatever length.
+PASSAGE_BYTES, PASSAGE_WORDS = 240, 51
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         "doc_id", "text", F.struct(*others, F.col("text").isNull().alias("_null")).alias("_rest")
     )
     cut = without_repeats(
-        given, PASSAGE_BYTES, first=True, whole_characters=True, carry=["_rest"]
+        given,
+        PASSAGE_BYTES,
+        first=True,
+        whole_characters=True,
+        carry=["_rest"],
+        words=PASSAGE_WORDS,
     )
     cut = cut.filter("n_removed = 0 or n_removed < n_bytes")
     rest = F.col("row")["_rest"]

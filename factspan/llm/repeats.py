@@ -267,13 +267,19 @@ def repeated_windows(
 
 
 def marked_texts(
-    docs: DataFrame, kind: Kind, length: int, first: bool, carry: Sequence[str] = ()
+    docs: DataFrame,
+    kind: Kind,
+    length: int,
+    first: bool,
+    carry: Sequence[str] = (),
+    more: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The texts that may have repeated windows, with them in ``marks``, and the others.
 
     Both have (doc_id, text, row); ``row`` has the columns to ``carry`` along. Null texts
     are empty, null ids rank last. A text's key is its id with a hash of it. Only the
-    former texts are shuffled; some of them have no marks.
+    former texts are shuffled; some of them have no marks. ``more`` gives further marks
+    of the units; a range of fewer symbols than ``length`` has an ``n`` below 1.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.struct(*carry) if carry else F.lit(None).cast("boolean")
@@ -289,7 +295,8 @@ def marked_texts(
         F.lit(1).cast("long").alias("weight"),
         F.col("text").alias("content"),
     )
-    found = written(repeated_windows(units, kind, length, first))
+    found = repeated_windows(units, kind, length, first)
+    found = written(found if more is None else found.unionByName(more(units)))
     keys = ["uid1", "uid2"]
     listed = found.groupBy(keys).agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     told = with_maybe(rows, [F.col(c) for c in keys], found.select(keys))

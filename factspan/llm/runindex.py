@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import Rolling, mixed, sliced
+from factspan.llm.common import Rolling, likely, mixed, signed, sliced, written
 from factspan.llm.repeats import Kind, covered, marked_texts
 
 _SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -179,12 +180,68 @@ def _whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[in
     return inner
 
 
+def _short_windows(flat: np.ndarray, ends: np.ndarray, words: int, length: int) -> tuple:
+    """(text, start, stop) of each ``words`` words in a row of less than ``length`` bytes."""
+    gap = (flat == 0x20) | ((flat >= 0x09) & (flat <= 0x0D))
+    begins, closes = ~gap, ~gap
+    begins[1:] &= gap[:-1]
+    closes[:-1] &= gap[1:]
+    # Where one text ends and the next starts, so do their words.
+    inner = ends[(ends > 0) & (ends < len(flat))]
+    begins[inner], closes[inner - 1] = ~gap[inner], ~gap[inner - 1]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    if len(start) < words:
+        start = stop = start[:0]
+    else:
+        start, stop = start[: len(start) - words + 1], stop[words - 1 :]
+    text = np.searchsorted(ends, start, "right") - 1
+    short = (stop - start < length) & (stop <= ends[text + 1])
+    return text[short], start[short], stop[short]
+
+
+def repeated_words(units: DataFrame, words: int, length: int, first: bool) -> DataFrame:
+    """(uid1, uid2, start, n): strings of ``words`` words that also occur elsewhere.
+
+    Only those of less than ``length`` bytes, as longer ones are found by their bytes.
+    Elsewhere is as in :func:`repeated_windows`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "content"):
+                flat, ends = _bytes(batch.column("content"))
+                text, start, stop = _short_windows(flat, ends, words, length)
+                spans = zip(start.tolist(), stop.tolist(), strict=True)
+                data = memoryview(flat)
+                hashes = np.fromiter(
+                    (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in spans), np.uint64, len(start)
+                )
+                names = ["uid1", "uid2", "rank"]
+                columns = [batch.column(c).take(pa.array(text)) for c in names]
+                columns += [
+                    pa.array((start - ends[text]).astype(np.int32)),
+                    pa.array((stop - start - length + 1).astype(np.int32)),
+                    pa.array(signed(hashes)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "start", "n", "key"])
+
+    schema = "uid1 long, uid2 long, rank long, start int, n int, key long"
+    windows = written(units.mapInArrow(run, schema))
+    met = F.min("rank") < F.max("rank") if first else F.count(F.lit(1)) > 1
+    shared = windows.groupBy("key").agg(F.min("rank").alias("low"), met.alias("met"))
+    shared = written(shared.filter("met").select("key", "low"))
+    near = likely(windows, [F.col("key")], shared.select("key")).join(shared, "key")
+    near = near.filter("rank > low") if first else near
+    return near.select("uid1", "uid2", "start", "n")
+
+
 def without_repeats(
     docs: DataFrame,
     length: int = 400,
     first: bool = False,
     whole_characters: bool = False,
     carry: Sequence[str] = (),
+    words: int | None = None,
 ) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans, row): documents without repeated bytes.
 
@@ -194,14 +251,16 @@ def without_repeats(
     start in a document with a smaller doc_id are removed, so one copy stays.
     ``kept`` is binary, as a cut may split a character, unless cuts are held to
     ``whole_characters``; ``n_spans`` counts the maximal removed runs. ``row`` has the
-    columns to ``carry`` along.
+    columns to ``carry`` along. Strings of ``words`` whole words with the white space
+    between them are removed in the same way, if given, however few bytes they have.
 
     Null texts are empty. Rows without doc_id count as the last ones. Rows that
     repeat a doc_id are documents of their own, but none is smaller than another;
     equal rows are copies. Other columns are ignored; an empty table gives an empty
     result.
     """
-    near, far = marked_texts(docs, BYTES, length, first, carry)
+    more = words and (lambda units: repeated_words(units, words, length, first))
+    near, far = marked_texts(docs, BYTES, length, first, carry, more or None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -62,6 +62,24 @@ def test_stages(spark, tmp_path):
     assert whole == {tuple(r) for r in mix.values()}
 
 
+def test_passages_of_short_words_are_cut(spark):
+    """Over 50 words in less than 240 bytes: digits, a repeated word; 50 words stay."""
+    digits = " ".join(str(i * i % 10) for i in range(51))
+    fifty = " ".join(f"{i * i * i % 10}" for i in range(50))
+    same = "la " * 59 + "la"
+    texts = {
+        1: f"{prose(1, 9)}\n{digits}\tend", 2: f"start {digits} {prose(2, 9)}",
+        3: f"{prose(3, 9)} {fifty} a", 4: f"{prose(4, 9)} {fifty} b",
+        5: same, 6: f"é {same}", 7: digits[1:], 8: f"x{digits}",
+    }
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    ).repartition(3)
+    found = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert found == texts | {2: f"start  {prose(2, 9)}", 6: "é "}
+
+
 def test_every_operator_has_a_query():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
