@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -15,6 +16,8 @@ from factspan.operators.grouping import frame_kind, group_kinds
 from factspan.operators.selection import select_entities
 from factspan.operators.tables import written
 from factspan.plans.coverage import Coverage
+from factspan.plans.lists import groups_to_list, member_lists
+from factspan.sources.sinks import write_lists
 from factspan.spec import Dashboard, SpecError, UnsupportedGroupingError
 
 
@@ -32,6 +35,39 @@ class Batch:
         lines = self.coverage.lines()
         return lines.join(self.coverage.reported(), "dashboard", "left_semi")
 
+    def lists(
+        self, existing: DataFrame, foreign_prefixes: Sequence[str] = (), lang: str = "en"
+    ) -> DataFrame:
+        """Member lists, with ``dashboard``, of the dashboards whose link mode is ``create``.
+
+        ``existing`` and ``foreign_prefixes`` are those of :func:`groups_to_list`.
+        """
+        boards = self.coverage.dashboards if self.coverage is not None else []
+        asked = [d for d in boards if d.link_mode == "create"]
+        if not asked:
+            spark = self.errors.sparkSession
+            schema = "dashboard string, group_key string, entity_id string, position int"
+            return spark.createDataFrame([], f"{schema}, field string, value string")
+        lines = self.lines().filter(F.col("dashboard").isin(*[d.name for d in asked]))
+        groups = written(groups_to_list(lines, existing, foreign_prefixes))
+        parts = [
+            member_lists(
+                self.coverage.facts, d, groups.filter(F.col("dashboard") == d.name), lang
+            ).select(F.lit(d.name).alias("dashboard"), "*")
+            for d in asked
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def create_lists(
+        self,
+        existing: DataFrame,
+        path: str,
+        foreign_prefixes: Sequence[str] = (),
+        lang: str = "en",
+    ) -> None:
+        """Write the lists of :meth:`lists`, one folder per dashboard and group."""
+        write_lists(self.lists(existing, foreign_prefixes, lang), path)
+
 
 def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard | str]:
     """Each dashboard with its kind of grouping, or why it has none; one job for all."""

@@ -16,6 +16,10 @@ def write_texts(texts: DataFrame, path: str, column: str = "report", mode: str =
 
 
 def write_lists(lists: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Member lists, one folder per group; a huge group is split over many files."""
-    lists = lists.hint("rebalance", "group_key")
-    lists.write.mode(mode).partitionBy("group_key").parquet(path)
+    """Member lists, one folder per group, inside one per dashboard if they have that column.
+
+    A huge group is split over many files.
+    """
+    keys = [c for c in ("dashboard", "group_key") if c in lists.columns]
+    lists = lists.hint("rebalance", *keys)
+    lists.write.mode(mode).partitionBy(*keys).parquet(path)

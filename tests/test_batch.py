@@ -1,10 +1,13 @@
 """Dashboards that fail leave the others alone; limits and unknown rows of each are its own."""
 
+from dataclasses import replace
+
 from factspan import Dashboard, GroupBy, columns_from_text
 from factspan.plans.batch import plan_all
 from factspan.plans.coverage import Coverage
 from factspan.plans.drilldown import DrillDown
 from factspan.plans.lists import member_lists
+from factspan.spec import dashboard_from_params
 from tests.graph import Graph, bag
 
 BY_COUNTRY = GroupBy(("P17",), "item")
@@ -65,3 +68,23 @@ def test_tied_qualifiers_in_member_lists(spark):
     found = member_lists(facts, board, Coverage(facts, board).lines().filter("section = 0"))
     shown = {(r.group_key, r.value) for r in found.collect() if r.field != "label"}
     assert shown == {("Q1", "one"), ("Q2", "two")}
+
+
+def test_dashboards_that_ask_for_lists_get_them(spark, tmp_path):
+    facts = countries().facts(spark)
+    chosen = bag(spark, *[f"e{i}" for i in range(9)])
+    params = {"grouping_property": "P17", "properties": "P1", "grouping_threshold": "1"}
+    params |= {"selector": "select entity_id from {claims} where property = 'P1'"}
+    params |= {"grouping_link": "Lists/{id}"}
+    boards = [
+        dashboard_from_params(params | {"grouping_link_mode": mode}, name)
+        for mode, name in (("create", "a"), ("link", "b"), ("create", "c"))
+    ]
+    boards[2] = replace(boards[2], selector=chosen.filter("entity_id < 'e4'"))
+    pages = spark.createDataFrame([("Lists/Q1",)], "title string")
+    plan_all(facts, boards).create_lists(pages, str(tmp_path / "lists"))
+    found = spark.read.parquet(str(tmp_path / "lists")).filter("field = 'P1'").collect()
+    assert sorted((r.dashboard, r.group_key, r.entity_id, r.value) for r in found) == sorted(
+        (d, f"Q{i % 3}", f"e{i}", "v") for d, n in (("a", 9), ("c", 4)) for i in range(n) if i % 3 != 1
+    )
+    assert plan_all(facts, boards[1:2]).lists(pages).collect() == []

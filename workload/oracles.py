@@ -734,6 +734,9 @@ from orders group by 1""",
         ),
         "member_lists_missing": coverage(ORDERS, HOME, totals=False, body=_LISTED),
         "member_lists": coverage(ORDERS, HOME, totals=False, body=_LIST_ROWS),
+        "create_lists": "select 'lists' as dashboard, l.* from ("
+        + coverage(ORDERS, HOME, totals=False, body=_LIST_ROWS)
+        + ") l",
         "extract_dashboard_params": f"""
 {_FIELDS}
 union all

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -557,13 +558,17 @@ def _linked_plan(spark, sf_dir, columns: str) -> Coverage:
     return Coverage(star_facts(spark, sf_dir), board)
 
 
-def _groups_without_page(spark, sf_dir, plan: Coverage) -> DataFrame:
-    """Pages exist for every fifth nation; links to nations 24 lie on another site."""
-    existing = run_view(
+def _existing_lists(spark, sf_dir) -> DataFrame:
+    return run_view(
         spark,
         sf_dir,
         "select 'Lists/' || n_name as title from {nation} where n_nationkey % 5 = 0",
     )
+
+
+def _groups_without_page(spark, sf_dir, plan: Coverage) -> DataFrame:
+    """Pages exist for every fifth nation; links to nations 24 lie on another site."""
+    existing = _existing_lists(spark, sf_dir)
     return groups_to_list(plan.lines(), existing, ["Lists/NATION_24"])
 
 
@@ -580,6 +585,15 @@ def member_lists_(spark, sf_dir):
     return member_lists(plan.facts, plan.dashboards[0], groups)
 
 
+@query
+def create_lists(spark, sf_dir):
+    """A batch of two dashboards, one of which asks for lists."""
+    board = _linked_plan(spark, sf_dir, "P1,P1/P2,Dde").dashboards[0]
+    boards = [replace(board, name="lists", link_mode="create"), replace(board, name="links")]
+    batch = plan_all(star_facts(spark, sf_dir), boards)
+    return batch.lists(_existing_lists(spark, sf_dir), ["Lists/NATION_24"])
+
+
 # Pages and result documents
 
 def page_texts(spark, sf_dir) -> DataFrame:
