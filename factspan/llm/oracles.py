@@ -203,6 +203,69 @@ select conv_id, speaker, piece, count(*) as n_turns,
 from placed group by conv_id, speaker, piece
 """
 
+
+
+def _centroids(k: int, rounds: int, width: int, scale: int, seed: int) -> str:
+    """One common table per round: nearest centroids, then their vectors' floored means."""
+    steps = [
+        f"""
+with kept as materialized (
+    select row_number() over () as r, vec_id,
+           list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q
+    from embeddings
+    where len(embedding) = {width} and len(list_filter(embedding, lambda x: isfinite(x))) = {width}
+), m0 as materialized (
+    select row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as c, q as m
+    from kept order by c limit {k}
+)"""
+    ]
+    squares = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (q[i] - m[i]) * (q[i] - m[i])))"
+    for step in range(rounds + 1):
+        steps.append(f""", d{step} as materialized (
+    select r, c, {squares}::bigint as d from kept cross join m{step}
+), a{step} as materialized (
+    select r, (arg_min(c, [d, c]))::int as c, min(d) as d from d{step} group by r
+)""")
+        if step < rounds:
+            steps.append(f""", s{step} as (
+    select c, place, sum(part) as total, count(*) as n
+    from (select c, unnest(q) as part, unnest(range(1, {width + 1})) as place
+          from kept join a{step} using (r)) group by c, place
+), v{step} as (
+    select c, list(((total - ((total % n) + n) % n) // n)::bigint order by place) as m
+    from s{step} group by c
+), m{step + 1} as materialized (
+    select c, coalesce(v{step}.m, m{step}.m) as m from m{step} left join v{step} using (c)
+)""")
+    return "".join(steps) + f"""
+select vec_id, c as cluster, d as distance,
+       (sum(d) over (partition by c))::bigint as cluster_inertia,
+       (sum(d) over ())::bigint as inertia,
+       sha256(array_to_string(m, ',')) as centroid_sha256
+from kept join a{rounds} using (r) join m{rounds} using (c)
+"""
+
+
+# Five hexadecimal digits are four of base 32.
+_ARCHIVES = """
+with payloads as (
+    select page_id, coalesce(html, '') as payload, row_number() over () as r from pages
+), ranked as (
+    select page_id, octet_length(encode(payload)) as size, sha1(payload) as hex,
+           row_number() over (partition by payload order by page_id desc nulls last, r) as place,
+           max(page_id) over (partition by payload) as first
+    from payloads
+)
+select page_id, size::bigint as payload_bytes,
+       array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4),
+           lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::int >> (15 - 5 * j)) & 31)::int, 1)), '')), '')
+           as payload_digest,
+       case when place = 1 then 'response' else 'revisit' end as record_type,
+       case when place > 1 then first end as refers_to
+from ranked
+"""
+
 ORACLES = {
     "op1_block_top_k": _TOP_K,
     "op4_minhash_near_dedup": _NEAR_DEDUP,
@@ -211,4 +274,6 @@ ORACLES = {
     "op8_source_mixture": _MIXTURE,
     "op9_chat_perspectives": _PERSPECTIVES,
     "op10_run_index_dedup": _BYTES,
+    "op11_table_centroids": _centroids(k=8, rounds=10, width=64, scale=1024, seed=3),
+    "op13_warc_archives": _ARCHIVES,
 }

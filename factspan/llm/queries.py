@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factspan.llm.alignment import tokenizer_alignment
+from factspan.llm.centroids import centroid_clusters
 from factspan.llm.chat import perspectives
 from factspan.llm.decontaminate import leaks
 from factspan.llm.hmm import language_scores
@@ -15,6 +17,7 @@ from factspan.llm.runindex import without_repeats
 from factspan.llm.substring import without_passages
 from factspan.llm.topk import top_k
 from factspan.llm.toxicity import severities
+from factspan.llm.warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,26 @@ def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
 
 
+def op11_table_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroid_clusters(
+        table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, seed=3
+    )
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokenizer_alignment(table(spark, sf_dir, "documents"))
+    digest = F.coalesce(F.lower(F.hex("groups")), F.lit("")).alias("groups_sha256")
+    return rows.select(*[c for c in rows.columns if c != "groups"], digest)
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = write_archives(table(spark, sf_dir, "pages"), least_bytes=0)
+    rows = read_archives(index, folder)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +106,8 @@ QUERIES = {
         op8_source_mixture,
         op9_chat_perspectives,
         op10_run_index_dedup,
+        op11_table_centroids,
+        op12_tokenizer_alignment,
+        op13_warc_archives,
     )
 }
