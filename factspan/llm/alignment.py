@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,10 @@ _RESULT = (
 # Vocabularies
 
 
+def _flat(lists: list) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
 def _byte_of_symbol() -> dict[str, int]:
     """Byte-level vocabularies write a printable byte as itself, others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -80,9 +88,10 @@ class Tokenizers:
         self.marked = pa.array(texts, pa.large_binary())
         self.text_sizes = np.array([len(x) for x in texts], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's and B's ids of all texts, one text's after another's."""
         found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found], self.b.encode(texts, num_threads=1)
+        return _flat([e.ids for e in found]), _flat(self.b.encode(texts, num_threads=1))
 
 
 @lru_cache(maxsize=2)
@@ -90,7 +99,19 @@ def tokenizers_in(folder: str) -> Tokenizers:
     return Tokenizers(folder)
 
 
-# Groups and links
+# Groups and links of units
+
+# Both tokenizers end a token before a space between two characters that are no white
+# space: such a place can't lie within a word of A's pattern, and no piece of B has a
+# space after another character. What lies between two such places is a unit: it
+# always has the same tokens, so its groups and links are found once.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+# Units whose tokens a worker remembers, and their characters in all, at most.
+MOST_UNITS, MOST_CHARACTERS = 1 << 18, 1 << 23
+
+# Units encoded in one call of a tokenizer.
+RUN = 64
 
 
 def _joined(table: pa.Array, ids: np.ndarray) -> memoryview:
@@ -103,23 +124,6 @@ def _ends(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row, and how many each text has."""
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for ids in lists for i in ids), np.int64, counts.sum()), counts
-
-
-def _faithful(both: Tokenizers, texts: list[str], a: list, b: list) -> None:
-    """Empty the tokens of texts whose joined bytes differ from a space and the text."""
-    wanted = [b" " + t.encode() if t else b"" for t in texts]
-    for ids, table, sizes in ((a, both.bytes_a, both.sizes_a), (b, both.bytes_b, both.sizes_b)):
-        flat, counts = _flat(ids)
-        data, ends = _joined(table, flat), _ends(sizes[flat])[_ends(counts)]
-        for i, text in enumerate(wanted):
-            if not text or data[ends[i] : ends[i + 1]] != text:
-                a[i], b[i] = [], []
-
-
 def _group_texts(
     both: Tokenizers, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: int
 ) -> tuple[memoryview, np.ndarray]:
@@ -136,61 +140,142 @@ def _group_texts(
     return _joined(both.marked, order), _ends(both.text_sizes[order])[first]
 
 
-def _per_text(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ``text * width + code`` as (text, code, how often)."""
-    distinct, often = np.unique(key, return_counts=True)
-    return distinct // width, distinct % width, often
+# What is known of units: (tokens of A, tokens of B, groups, links, faithful) of each, the
+# texts of their groups, and their links as pairs a * |B| + b in a row.
+_Found = tuple[np.ndarray, list[bytes], np.ndarray]
 
 
-def aligned(both: Tokenizers, texts: list[str]) -> dict[str, np.ndarray | list]:
-    """What a chunk of texts has of each column of the chunk table."""
-    count = len(texts)
-    lists_a, lists_b = both.encode(texts)
-    _faithful(both, texts, lists_a, lists_b)
-    a, n_a = _flat(lists_a)
-    b, n_b = _flat(lists_b)
+def aligned(both: Tokenizers, units: list[str]) -> _Found:
+    """The groups and links of some units, each read with a space before it.
+
+    Units are encoded in runs, joined by their spaces. If any differs from the bytes of
+    its tokens, each half is done by itself, down to that unit.
+    """
+    runs = [" ".join(units[i : i + RUN]) for i in range(0, len(units), RUN)]
+    wanted = (" " + " ".join(runs)).encode()
+    unit_ends = _ends(pc.binary_length(pa.array(units)).to_numpy().astype(np.int64) + 1)
+    a, b = both.encode(runs)
     end_a, end_b = np.cumsum(both.sizes_a[a]), np.cumsum(both.sizes_b[b])
-    # Texts are laid end to end: both tokenizers' last tokens of a text end together.
-    text_ends = _ends(both.sizes_a[a])[_ends(n_a)]
     # Where tokens of both end, a group ends. Where a token of either ends, a link ends:
     # between two such places lies one token of each, and no other link has that place.
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
-    either = np.union1d(end_a, end_b)
+    merged = np.concatenate([end_a, end_b])
+    merged.sort(kind="stable")
+    again = np.concatenate([[False], merged[1:] == merged[:-1]])
+    either, common = merged[~again], merged[again]
+    joined = _joined(both.bytes_a, a) == wanted == _joined(both.bytes_b, b)
+    if not (joined and np.isin(unit_ends[1:], common, assume_unique=True).all()):
+        if len(units) == 1:
+            return np.zeros((1, 5), np.int64), [b""], np.zeros(0, np.int64)
+        half = len(units) // 2
+        parts = zip(aligned(both, units[:half]), aligned(both, units[half:]), strict=True)
+        counts, texts, links = parts
+        return np.concatenate(counts), texts[0] + texts[1], np.concatenate(links)
     group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-    # A text is the texts of its groups, less the last semicolon.
-    group_data, group_ends = _group_texts(both, a, b, group_a, group_b, len(common))
-    bounds = group_ends[np.searchsorted(common, text_ends, "right")]
+    data, group_ends = _group_texts(both, a, b, group_a, group_b, len(common))
+    firsts = [np.searchsorted(ends, unit_ends, "right") for ends in (end_a, end_b, common, either)]
+    bounds = group_ends[firsts[2]].tolist()
+    # A unit's text is that of its groups, less the last semicolon.
+    texts = [bytes(data[x : y - 1]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    id_a, id_b = a[np.searchsorted(end_a, either)], b[np.searchsorted(end_b, either)]
+    counts = np.stack([*map(np.diff, firsts), np.ones(len(units), np.int64)], axis=1)
+    return counts, texts, id_a * len(both.sizes_b) + id_b
+
+
+class Units:
+    """Remembers the groups and links of units; forgets all when there are too many."""
+
+    def __init__(self, both: Tokenizers):
+        self.both = both
+        self.clear()
+
+    def clear(self) -> None:
+        # A unit that is asked for the first time gets the next place.
+        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.characters = 0
+        self.counts, self.texts, self.links = np.zeros((0, 5), np.int64), [], np.zeros(0, np.int64)
+
+    def places(self, units: Iterable[str], count: int) -> np.ndarray:
+        """Where each unit is; those not known yet are aligned first."""
+        if len(self.index) > MOST_UNITS or self.characters > MOST_CHARACTERS:
+            self.clear()
+        known = len(self.index)
+        places = np.fromiter(map(self.index.__getitem__, units), np.int64, count)
+        new = list(islice(self.index, known, None))
+        if new:
+            self.characters += sum(map(len, new))
+            counts, texts, links = aligned(self.both, new)
+            self.counts = np.concatenate([self.counts, counts])
+            self.texts += texts
+            self.links = np.concatenate([self.links, links])
+        return places
+
+
+@lru_cache(maxsize=2)
+def units_in(folder: str) -> Units:
+    return Units(tokenizers_in(folder))
+
+
+# Texts
+
+
+def _summed(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    total = np.zeros((size, *values.shape[1:]), np.int64)
+    np.add.at(total, owner, values)
+    return total
+
+
+def aligned_texts(known: Units, texts: list[str]) -> dict[str, np.ndarray | list]:
+    """What a chunk of texts has of each column of the chunk table."""
+    both, count = known.both, len(texts)
+    split = [_CUT.split(t) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, count)
+    places = known.places(chain.from_iterable(split), sizes.sum())
+    ends = _ends(sizes)
+    text = np.repeat(np.arange(count), sizes)
+    # One unit whose bytes differ makes the text differ.
+    fine = np.ones(count, bool)
+    fine[text[known.counts[places, 4] == 0]] = False
+    kept = fine[text]
+    counts = _summed(text[kept], known.counts[places[kept], :4], count)
     digests = [
-        hashlib.sha256(group_data[x : y - 1]).digest() if y > x else None
-        for x, y in zip(bounds[:-1], bounds[1:], strict=True)
+        hashlib.sha256(b";".join([known.texts[i] for i in places[x:y].tolist()])).digest()
+        if ok and y > x
+        else None
+        for ok, x, y in zip(fine, ends[:-1].tolist(), ends[1:].tolist(), strict=True)
     ]
-    link_a = np.searchsorted(end_a, either)
-    link_b = np.searchsorted(end_b, either)
-    text = np.searchsorted(text_ends, either, "left") - 1
-    id_a, id_b = a[link_a], b[link_b]
-    # The fast path: pairs of ids with equal bytes are counted by A's id alone.
-    plain = both.same[id_a] == id_b
+    # A text's distinct units and how often it has them, then their links.
+    width = max(len(known.texts), 1)
+    distinct, often = np.unique(text[kept] * width + places[kept], return_counts=True)
+    owner, unit = distinct // width, distinct % width
+    link_ends = _ends(known.counts[:, 3])
+    n = known.counts[unit, 3]
+    at = np.repeat(link_ends[unit] - _ends(n)[:-1], n) + np.arange(n.sum())
     width_a, width_b = len(both.sizes_a), len(both.sizes_b)
-    same_doc, same_a, same_n = _per_text(text[plain] * width_a + id_a[plain], width_a)
-    rest = ~plain
-    odd = text[rest] * (width_a * width_b) + id_a[rest] * width_b + id_b[rest]
-    odd_doc, odd_pair, odd_n = _per_text(odd, width_a * width_b)
-    pairs, odd_at, odd_docs = np.unique(odd_pair, return_inverse=True, return_counts=True)
+    keys = np.repeat(owner, n) * (width_a * width_b) + known.links[at]
+    keys, inverse = np.unique(keys, return_inverse=True)
+    links = _summed(inverse, np.repeat(often, n), len(keys))
+    doc, pair = keys // (width_a * width_b), keys % (width_a * width_b)
+    id_a, id_b = pair // width_b, pair % width_b
+    # The fast path: pairs of ids with equal bytes are counted by A's id alone.
+    same = both.same[id_a] == id_b
+    odd = ~same
+    pairs, odd_at, odd_docs = np.unique(pair[odd], return_inverse=True, return_counts=True)
     return {
-        "n_a": n_a,
-        "n_b": n_b,
-        "n_groups": np.diff(np.searchsorted(common, text_ends, "right")),
-        "n_links": np.bincount(text, minlength=count),
+        "n_a": counts[:, 0],
+        "n_b": counts[:, 1],
+        "n_groups": counts[:, 2],
+        "n_links": counts[:, 3],
         "groups": digests,
-        "same_doc": same_doc,
-        "same_a": same_a,
-        "same_n": same_n,
+        "same_doc": doc[same],
+        "same_a": id_a[same],
+        "same_n": links[same],
         "odd_a": pairs // width_b,
         "odd_b": pairs % width_b,
         "odd_docs": odd_docs,
-        "odd_doc": odd_doc,
+        "odd_doc": doc[odd],
         "odd_at": odd_at,
-        "odd_n": odd_n,
+        "odd_n": links[odd],
     }
 
 
@@ -198,12 +283,13 @@ def _chunks(docs: DataFrame, folder: str) -> DataFrame:
     """One row per chunk of texts, with its links counted by text and by pair of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers_in(folder)
+        known = units_in(folder)
         for whole in batches:
             for batch in sliced(whole):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                found = aligned(both, texts)
-                columns = [pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
+                found = aligned_texts(known, texts)
+                ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+                columns = [pa.array([uuid.uuid4().hex]), ids]
                 for name, values in found.items():
                     kind = pa.int64() if name.startswith("n_") else pa.int32()
                     kind = pa.binary() if name == "groups" else kind
@@ -258,7 +344,8 @@ def tokenizer_alignment(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     two, as in all groups of one token each with the usual piece, are counted in vectors
     of the vocabulary's length; other pairs are counted in a table. Chunks of texts have a
     dictionary of their pairs, so a pair is shuffled once a chunk, however many texts
-    have it. ``folder`` has the vocabulary files on every machine.
+    have it. Texts are cut into units that both tokenizers treat alone; a worker aligns a
+    unit once and remembers it. ``folder`` has the vocabulary files on every machine.
 
     Texts that are null, empty, or differ from the joined bytes of their tokens have no
     tokens: zeros. Each row is a text of its own, also if it repeats a doc_id or has none.

@@ -40,7 +40,7 @@ def brute(rows):
         links, groups, n = [], [], (0, 0)
         if text:
             sides, spans = both.encode([text]), []
-            for (ids,), table in zip(sides, tables, strict=True):
+            for ids, table in zip(sides, tables, strict=True):
                 place, found = 0, []
                 for i in ids:
                     found.append((i, place, place + len(table[i])))
