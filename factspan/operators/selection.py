@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from factspan.facts import Facts, has_value
 from factspan.operators.tables import written
 
+
 def select_entities(facts: Facts, selector: DataFrame | str) -> DataFrame:
-    """The selected entities, as often as the selector yields them."""
+    """The selected entities, as often as the selector yields them.
+
+    A text is SQL over the fact tables or a path pattern, see :mod:`factspan.operators.paths`.
+    """
     if isinstance(selector, str):
+        from factspan.operators import paths
+
+        if paths.is_path_text(selector):
+            rows = paths.select_by_path(facts, selector)
+            again = F.explode(F.sequence(F.lit(1).cast("long"), "times"))
+            return rows.select("entity_id", again).select("entity_id")
         named = {k: v for k, v in facts.tables().items() if "{%s}" % k in selector}
         selector = facts.spark.sql(selector, **named)
     return selector.select(F.col("entity_id").cast("string").alias("entity_id"))
@@ -85,23 +95,13 @@ def among(facts: Facts, ids: DataFrame) -> Facts:
 
 
 def class_closure(facts: Facts, root: str, subclass_of: str) -> DataFrame:
-    """``root`` and everything below it, as a set of ``class_id``.
+    """``root`` and everything below it, as a set of ``class_id``."""
+    from factspan.operators import paths
 
-    One join per level of the tree; each level is written, so lineage stays short
-    and cycles end the loop.
-    """
-    edges = truthy_edges(facts, subclass_of).select(
-        F.col("entity_id").alias("class_id"), F.col("value").alias("parent")
-    )
-    edges = written(edges)
-    reached = frontier = facts.spark.sql("select :root as class_id", {"root": root})
-    while True:
-        below = edges.join(frontier.withColumnRenamed("class_id", "parent"), ["parent"], "left_semi")
-        below = below.select("class_id").distinct().join(reached, "class_id", "left_anti")
-        frontier = written(below)
-        if frontier.isEmpty():
-            return reached
-        reached = reached.union(frontier)
+    top = facts.spark.createDataFrame([(root,)], "end string")
+    edges = truthy_edges(facts, subclass_of).toDF("start", "end")
+    below = paths.reaching(edges, top).select(F.col("start").alias("class_id"))
+    return below.union(top).distinct()
 
 
 def entities_of_class(
