@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from factspan.facts import Facts, has_value
 from factspan.functions.values import is_unknown, strip_prefix, year_bin
-from factspan.operators.selection import among, follow_path, labels
+from factspan.operators.selection import among, follow_path, labels, select_entities
+from factspan.operators.steps import Steps, followed
 from factspan.spec import (
     Dashboard,
     EmptyGroupingError,
@@ -50,21 +51,29 @@ def frame_kind(edges: DataFrame) -> str:
 
 
 def resolve_kind(facts: Facts, dashboard: Dashboard) -> Dashboard:
-    """Fill in the kind of grouping; looks at one value where none is declared."""
+    """Fill in the kind of grouping, where none is declared: that of the values its entities have.
+
+    Values of several types go by the first of their names. If no selected entity has a
+    value, all values of the property tell.
+    """
     by = dashboard.group_by
     if by.kind:
         return dashboard
     if by.edges is not None:
         return dashboard.with_kind(frame_kind(by.edges))
-    values = facts.claims.filter(
-        (F.col("property") == by.path[-1]) & (F.col("snak_type") == "value")
-    )
-    found = values.select("value_type").limit(1).collect()
-    if not found:
+    known = F.when(F.col("snak_type") == "value", F.col("value_type"))
+    steps = Steps(facts.spark, {by.text: by.path})
+    starts = select_entities(facts, dashboard.selector).distinct()
+    ends = followed(facts, starts.select(F.lit(by.text).alias("path"), "entity_id"), steps)
+    found = ends.agg(F.min(known)).first()[0]
+    if found is None:
+        last = facts.claims.filter(F.col("property") == by.path[-1])
+        found = last.agg(F.min(known)).first()[0]
+    if found is None:
         raise EmptyGroupingError(f"no values for {by.text}, cannot tell how to group")
-    kind = _KIND_OF_TYPE.get(found[0].value_type)
+    kind = _KIND_OF_TYPE.get(found)
     if kind is None:
-        raise UnsupportedGroupingError(f"{by.text} has values of type {found[0].value_type}")
+        raise UnsupportedGroupingError(f"{by.text} has values of type {found}")
     return dashboard.with_kind(kind)
 
 

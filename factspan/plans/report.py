@@ -78,7 +78,7 @@ def wide_report(coverage: Coverage, dashboard: Dashboard | None = None) -> DataF
     )
 
 
-def _head(d: Dashboard) -> str:
+def report_head(d: Dashboard) -> str:
     """Table opening and header rows."""
     lines = ['{| class="wikitable sortable"']
     width = 3 if d.higher else 2
@@ -130,7 +130,7 @@ def render(coverage: Coverage, template: str = CELL_TEMPLATE) -> DataFrame:
     rows = coverage.lines().select("dashboard", row_order().alias("place"), markup.alias("markup"))
     spark = coverage.facts.spark
     heads = spark.createDataFrame(
-        [(d.name, _head(d)) for d in coverage.dashboards], "dashboard string, head string"
+        [(d.name, report_head(d)) for d in coverage.dashboards], "dashboard string, head string"
     )
     sorted_rows = F.array_sort(F.collect_list(F.struct("place", "markup")))
     body = F.array_join(F.transform(sorted_rows, lambda row: row["markup"]), "")
