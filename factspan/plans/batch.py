@@ -8,7 +8,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts
@@ -16,6 +16,7 @@ from factspan.operators.grouping import frame_kind, group_kinds
 from factspan.operators.selection import select_entities
 from factspan.operators.tables import written
 from factspan.plans.coverage import Coverage
+from factspan.plans.fleet import Fleet
 from factspan.plans.lists import groups_to_list, member_lists
 from factspan.sources.sinks import write_lists
 from factspan.spec import Dashboard, SpecError, UnsupportedGroupingError
@@ -70,16 +71,22 @@ class Batch:
 
 
 def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard | str]:
-    """Each dashboard with its kind of grouping, or why it has none; one job for all."""
-    open_ends = {
-        d.group_by.path[-1]
-        for d in dashboards
-        if d.group_by.kind is None and d.group_by.edges is None
-    }
+    """Each dashboard with its kind of grouping, or why it has none; few jobs for all.
+
+    The values of a dashboard's own entities tell, as in a plan of one dashboard; if there
+    are none, all values of the property do.
+    """
+    undeclared = [d for d in dashboards if d.group_by.kind is None and d.group_by.edges is None]
+    own: dict[str, Row] = {}
     kinds: dict[str, str | None] = {}
-    if open_ends:
+    failed: dict[str, str] = {}
+    if undeclared:
+        fleet = Fleet(facts, undeclared)
+        failed = fleet.failed
+        own = {row.dashboard: row for row in fleet.kinds().collect()}
         # One row per property that some dashboard names.
-        wanted = group_kinds(facts).filter(F.col("property").isin(*sorted(open_ends)))
+        ends = {d.group_by.path[-1] for d in undeclared}
+        wanted = group_kinds(facts).filter(F.col("property").isin(*sorted(ends)))
         kinds = {row.property: row.group_kind for row in wanted.collect()}
     resolved: list[Dashboard | str] = []
     for d in dashboards:
@@ -93,12 +100,17 @@ def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard
                 resolved.append(str(error))
             continue
         prop = d.group_by.path[-1]
-        if prop not in kinds:
+        if d.name in failed:
+            resolved.append(failed[d.name])
+            continue
+        told = own[d.name]
+        kind = told.kind if told.value_type else kinds.get(prop)
+        if not told.value_type and prop not in kinds:
             resolved.append(f"no values for {prop}")
-        elif kinds[prop] is None:
+        elif kind is None:
             resolved.append(f"cannot group by the values of {prop}")
         else:
-            resolved.append(d.with_kind(kinds[prop]))
+            resolved.append(d.with_kind(kind))
     return resolved
 
 

@@ -116,8 +116,9 @@ def _row(d: Dashboard, flags: dict[str, str], template: str) -> Column:
 def render(coverage: Coverage, template: str = CELL_TEMPLATE) -> DataFrame:
     """(dashboard, report): each dashboard's table as one text.
 
-    A report has at most ``limit`` group rows and two more, so its rows fit in
-    one aggregate.
+    All rows of a dashboard meet in one aggregate, so this is for dashboards with a
+    ``limit`` or few groups; :meth:`factspan.plans.fleet.Fleet.texts` gives lines of
+    reports of any size.
     """
     flags = _flag_of(coverage)
     markup = reduce(

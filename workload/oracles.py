@@ -456,6 +456,74 @@ _BATCH = (
 )
 
 
+# A dashboard over the orders of customers below c3; the entities are a bag.
+_TREE = (
+    "select 'o' || cast(o_orderkey as varchar) as entity_id from orders join below "
+    "on o_custkey = below.n"
+)
+_TREE_COLUMNS = {"c0": "P1/S!", "c1": "P1/?grouping/P2"}
+_BELOW_C3 = (
+    "with recursive below as (select 3::bigint as n union select c_custkey from customer "
+    "join below on floor(c_custkey / 8) = below.n where c_custkey > 0) "
+)
+
+
+def _batch_rows(body: str | None) -> list[tuple[str, str, dict[str, str]]]:
+    """(name, report SQL, columns) of the dashboards that have rows."""
+    found = [
+        (name, coverage(selected, edge_sql, columns, threshold=threshold, no_group=no_group, body=body), columns)
+        for name, selected, edge_sql, columns, threshold, no_group in _BATCH
+    ]
+    tree = coverage(_TREE, HOME, _TREE_COLUMNS, threshold=2, no_group=True, body=body)
+    return [*found, ("tree", tree, _TREE_COLUMNS)]
+
+
+_FLEET = _BELOW_C3 + " union all ".join(
+    f"select * from ({multi(name, text, columns)}) x" for name, text, columns in _batch_rows(None)
+)
+_OUTCOMES = _BELOW_C3 + " union all ".join(
+    [
+        f"select '{name}' as dashboard, 'reported' as outcome, cast(null as varchar) as error, n as groups "
+        f"from ({text}) x"
+        for name, text, _ in _batch_rows("select count(*) as n from report where section = 0")
+    ]
+    + [
+        "select 'no values', 'empty', 'no values for P99', 0",
+        "select 'no groups', 'empty', 'no groups found', 0",
+        "select 'broken', 'failed', 'failed', 0",
+    ]
+)
+_KINDS = " union all ".join(
+    f"""
+select '{name}' as dashboard, case min(value_type) when 'item' then 'item'
+  when 'time' then 'year' end as kind from truthy_types where {test}"""
+    for name, test in (
+        ("orders", "entity_id like 'o%'"),
+        ("customers", "entity_id like 'c%'"),
+        ("both", "true"),
+        ("nations", "entity_id like 'Q%'"),
+    )
+)
+_TRUTHY_TYPES = """
+select t.entity_id, c.value_type from truthy t join f_claims c using (statement_id)
+where t.property in ('P3', 'P4') and t.snak_type = 'value'"""
+_PATH_CHOICE = """
+select a.entity_id from (
+  select entity_id from (select distinct entity_id, value from truthy where property = 'P3') x
+  where value = 'Q7'
+  union all
+  select o.entity_id from truthy o join truthy c on c.entity_id = o.value
+  where o.property = 'P11' and c.property = 'P7' and c.value = 'Q7') a
+join (
+  select entity_id, value from (select distinct entity_id, value from truthy
+    where property = 'P1' and snak_type <> 'novalue') p
+  union all
+  select p.entity_id, n.value from (select distinct entity_id, value from truthy
+    where property = 'P1' and snak_type <> 'novalue') p
+  join truthy n on n.entity_id = p.value where n.property = 'P5') b
+on b.entity_id = a.entity_id"""
+
+
 # Decade rebinning: the smallest span with at most 100 bins.
 _REBIN_SPAN = """
 select min(span) as span from (
@@ -617,6 +685,11 @@ ORACLES = (
         "class_closure": _BELOW.format(3)
         + "select 'o' || cast(o_orderkey as varchar) as entity_id "
         "from orders join below on o_custkey = below.n",
+        "select_by_path": _BELOW.format(3)
+        + "select 'o' || cast(o_orderkey as varchar) as entity_id "
+        "from orders join below on o_custkey = below.n",
+        "select_by_path_choice": sql(_PATH_CHOICE),
+        "detect_group_type_selected": sql(_KINDS, truthy_types=_TRUTHY_TYPES),
         "truthy_values": sql(
             "select entity_id, statement_id, rank, snak_type, value from truthy "
             "where property = 'P1'"
@@ -707,6 +780,12 @@ from orders group by 1""",
             "select cast(row_number() over (order by section, count desc, group_key) as int) "
             "as place, section, group_key, count from report"
         ),
+        "report_text_lines": report(
+            f"select 'dashboard' as dashboard, 0 as place, '{_TABLE_HEAD}' as line union all "
+            "select 'dashboard', row_number() over (order by section, count desc, group_key), "
+            f"{_MARKUP_ROW} from report union all "
+            "select 'dashboard', count(*) + 1, '|}\n' from report"
+        ),
         "render_report": report(
             "select 'dashboard' as dashboard, '"
             + _TABLE_HEAD
@@ -728,6 +807,8 @@ from orders group by 1""",
                 for name, selected, edge_sql, columns, threshold, no_group in _BATCH
             )
         ),
+        "dashboards_as_data": _FLEET,
+        "dashboard_outcomes": _OUTCOMES,
         "multi_dashboard_errors": (
             "select 'no values' as dashboard, 'no values for P99' as error "
             "union all select 'no groups', 'no groups found'"

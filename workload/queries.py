@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspan import Dashboard, Facts, GroupBy, columns_from_text, link_from_text
@@ -24,7 +24,9 @@ from factspan.plans import report
 from factspan.plans.batch import plan_all
 from factspan.plans.coverage import Coverage
 from factspan.plans.drilldown import DrillDown
+from factspan.plans.fleet import Fleet
 from factspan.plans.lists import groups_to_list, member_lists
+from factspan.plans.output import with_places
 from factspan.sources import bindings, pages
 from factspan.spec import dashboard_from_params
 from workload.star import run_view, selection, star_facts
@@ -98,6 +100,35 @@ def select_entities_sql(spark, sf_dir):
     return select_entities(star_facts(spark, sf_dir), text)
 
 
+@query
+def select_by_path(spark, sf_dir):
+    """Orders of customers below c3, once for each way to it."""
+    return select_entities(star_facts(spark, sf_dir), "wdt:P11/wdt:P6* wd:c3")
+
+
+@query
+def select_by_path_choice(spark, sf_dir):
+    """Orders that go to nation 7 or come from a customer there, with any supplier."""
+    return select_entities(star_facts(spark, sf_dir), "P3|P11/P7 Q7 ; P1/P5? []")
+
+
+@query
+def detect_group_type_selected(spark, sf_dir):
+    """One property has dates for customers and items for orders; each selection has its kind."""
+    facts = star_facts(spark, sf_dir)
+    prop = F.when(F.col("property").isin("P3", "P4"), "P20").otherwise(F.col("property"))
+    facts = replace(facts, claims=facts.claims.withColumn("property", prop))
+    both = "select entity_id from {claims} where property = 'P20'"
+    selectors = {
+        "orders": selection(spark, sf_dir, "orders"),
+        "customers": selection(spark, sf_dir, "customers"),
+        "both": both,
+        "nations": "P5 []",
+    }
+    boards = [Dashboard(s, GroupBy(("P20",)), name=name) for name, s in selectors.items()]
+    return Fleet(facts, boards).kinds().select("dashboard", "kind")
+
+
 @query
 def class_closure_set(spark, sf_dir):
     """Customers below c1 in the tree of customers."""
@@ -381,10 +412,15 @@ def coverage_report_wide(spark, sf_dir):
 @query
 def report_order(spark, sf_dir):
     lines = report_plan(spark, sf_dir).lines()
-    place = F.row_number().over(
-        Window.partitionBy("dashboard").orderBy("section", F.col("count").desc(), "group_key")
-    )
-    return lines.select(place.alias("place"), "section", "group_key", "count")
+    rows = with_places(lines, "dashboard", ["section", F.col("count").desc(), "group_key"])
+    return rows.select(F.col("place").cast("int").alias("place"), "section", "group_key", "count")
+
+
+@query
+def report_text_lines(spark, sf_dir):
+    """The report's text line by line, in order, of any length."""
+    plan = report_plan(spark, sf_dir)
+    return Fleet(plan.facts, plan.dashboards).texts()
 
 
 @query
@@ -437,6 +473,39 @@ def count_cell(spark, sf_dir):
     return lines.select("section", "group_key", cell.alias("cell"))
 
 
+_EVERY = "select distinct entity_id from {claims} where property = '%s'"
+BATCH_PARAMS = {
+    "orders": {
+        "selector": _EVERY % "P9",
+        "grouping_property": "P3",
+        "properties": "P1,P1/P2",
+        "stats_for_no_group": "1",
+        "grouping_threshold": "100",
+    },
+    "customers": {
+        "selector": _EVERY % "P4",
+        "grouping_property": "P4",
+        "properties": "P7",
+    },
+    "supplied": {
+        "selector": "select entity_id from {claims} where property = 'P1'",
+        "grouping_property": "P3",
+        "properties": "P1/S248,P1",
+        "grouping_threshold": "20",
+    },
+    "no values": {
+        "selector": _EVERY % "P1",
+        "grouping_property": "P99",
+        "properties": "P1",
+    },
+    "no groups": {
+        "selector": _EVERY % "P7",
+        "grouping_property": "P3",
+        "properties": "P1",
+    },
+}
+
+
 @query
 def multi_dashboard_report(spark, sf_dir):
     """Three dashboards of different selections and groupings, and two bad ones."""
@@ -453,39 +522,47 @@ def multi_dashboard_errors(spark, sf_dir):
     return multi_dashboards(spark, sf_dir, star_facts(spark, sf_dir)).errors
 
 
-def multi_dashboards(spark, sf_dir, facts):
-    every = "select distinct entity_id from {claims} where property = '%s'"
-    params = {
-        "orders": {
-            "selector": every % "P9",
-            "grouping_property": "P3",
-            "properties": "P1,P1/P2",
-            "stats_for_no_group": "1",
-            "grouping_threshold": "100",
-        },
-        "customers": {
-            "selector": every % "P4",
-            "grouping_property": "P4",
-            "properties": "P7",
-        },
-        "supplied": {
-            "selector": "select entity_id from {claims} where property = 'P1'",
+@query
+def dashboards_as_data(spark, sf_dir):
+    """The same dashboards, and one with a path selector, in the plan of settings as tables."""
+    lines = many_dashboards(spark, sf_dir).long_report()
+    return lines.select(
+        "dashboard", "section", "group_key", "count", "column_key", "column_count", "percent"
+    )
+
+
+@query
+def dashboard_outcomes(spark, sf_dir):
+    """How each dashboard fared, with one whose selector fails."""
+    found = many_dashboards(spark, sf_dir).outcomes()
+    error = F.when(F.col("outcome") == "failed", "failed").otherwise(F.col("error"))
+    return found.select("dashboard", "outcome", error.alias("error"), "groups")
+
+
+def many_dashboards(spark, sf_dir) -> Fleet:
+    more = {
+        "tree": {
+            "selector": "wdt:P11/wdt:P6* wd:c3",
             "grouping_property": "P3",
-            "properties": "P1/S248,P1",
-            "grouping_threshold": "20",
+            "properties": "P1/S!,P1/?grouping/P2",
+            "grouping_threshold": "2",
+            "row_no_group": "1",
         },
-        "no values": {
-            "selector": every % "P1",
-            "grouping_property": "P99",
-            "properties": "P1",
-        },
-        "no groups": {
-            "selector": every % "P7",
+        "broken": {
+            "selector": "select no_such_column from {claims}",
             "grouping_property": "P3",
             "properties": "P1",
         },
     }
-    return plan_all(facts, [dashboard_from_params(p, name) for name, p in params.items()])
+    params = BATCH_PARAMS | more
+    boards = [dashboard_from_params(p, name) for name, p in params.items()]
+    return Fleet(star_facts(spark, sf_dir), boards)
+
+
+def multi_dashboards(spark, sf_dir, facts):
+    return plan_all(facts, [dashboard_from_params(p, name) for name, p in BATCH_PARAMS.items()])
+
+
 
 
 # Drill-downs
