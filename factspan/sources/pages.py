@@ -15,15 +15,6 @@ START_TEMPLATE = "Property dashboard"
 END_TEMPLATE = "Property dashboard end"
 ESCAPED_PIPE = "{{!}}"
 
-# Nested templates, as deep as anyone nests them in one parameter.
-_NESTED = r"\{\{[^{}]*+\}\}"
-for _ in range(4):
-    _NESTED = rf"\{{\{{(?:[^{{}}]++|{_NESTED}|\{{(?!\{{)|\}}(?!\}}))*+\}}\}}"
-
-# What a template's text is made of: comments, verbatim parts, brackets, bars, the rest.
-_TOKENS = (
-    r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|<]+|."
-)
 _COMMENT = r"(?:\s*<!--[\s\S]*?-->)*\s*"
 
 
@@ -43,44 +34,102 @@ def has_markers(text: Column, start: str = START_TEMPLATE, end: str = END_TEMPLA
     return text.rlike(_opening(start)) & text.rlike(_opening(end))
 
 
-def _arguments(text: Column, start: str) -> Column:
-    """(closed, parts): the first template's text, parted at its own bars.
+def _tokens(text: Column, start: str, end: str) -> Column:
+    """A page's text in pieces that add up to it.
 
-    A running depth tells the template's own bars and end from those of templates
-    and links inside it, however deep these are. Comments are dropped, verbatim
-    parts are kept as they are.
+    Openings of both markers, comments, verbatim parts, brackets, bars, and what lies
+    between them. A marker inside a comment or a verbatim part is none.
     """
-    found = F.regexp_substr(text, F.lit(rf"{_opening(start)}[\s\S]*"))
-    body = F.regexp_replace(found, rf"\A{_opening(start)}", "")
-    tokens = F.regexp_extract_all(body, F.lit(_TOKENS), F.lit(0))
+    pattern = rf"(?s){_opening(start)}|{_opening(end)}|<!--.*?-->|<nowiki>.*?</nowiki>"
+    pattern += r"|\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|<]+|."
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _is_opening(token: Column, title: str) -> Column:
+    return token.rlike(rf"\A\{{\{{{_COMMENT}{_named(title)}{_COMMENT}\z")
+
+
+def _read_tokens(tokens: Column, start: str) -> Column:
+    """Where the start templates lie among a page's tokens: (starts, bars, names, ends).
+
+    ``bars`` part a template's own parameters, ``names`` are the tokens a parameter
+    starts with. A running depth tells a template's own bars and end from those of the
+    templates and links inside it, however deep these are. A template that does not
+    end has no place in ``ends``.
+    """
+    none = F.expr("cast(array() as array<int>)")
     zero = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit("").alias("text"),
-        F.expr("cast(array() as array<string>)").alias("parts"),
-        F.lit(False).alias("closed"),
+        F.lit(0).alias("at"),
+        F.lit(-1).alias("depth"),  # -1 outside of a start template, 0 at its own bars
+        F.lit(False).alias("fresh"),
+        *[none.alias(name) for name in ("starts", "bars", "names", "ends")],
     )
 
     def further(state: Column, token: Column) -> Column:
-        outer = state["depth"] == 0
-        opens, closes = token.isin("{{", "[["), token.isin("}}", "]]")
-        end, bar = outer & (token == "}}"), outer & (token == "|")
-        kept = F.when(token.startswith("<!--"), "").otherwise(token)
-        step = F.when(opens, 1).when(closes & ~outer, -1).otherwise(0)
-        longer = F.concat(state["parts"], F.array(state["text"]))
-        moved = F.struct(
-            (state["depth"] + step).alias("depth"),
-            F.when(end | bar, "").otherwise(F.concat(state["text"], kept)).alias("text"),
-            F.when(end | bar, longer).otherwise(state["parts"]).alias("parts"),
-            end.alias("closed"),
+        depth, at = state["depth"], state["at"]
+        starts = (depth < 0) & _is_opening(token, start)
+        own = depth == 0
+        ends, bar = own & (token == "}}"), own & (token == "|")
+        opens = (depth >= 0) & (token.startswith("{{") | (token == "[["))
+        closes = (depth > 0) & token.isin("}}", "]]")
+        blank = token.startswith("<!--") | token.rlike(r"\A\s*\z")
+        names = state["fresh"] & own & ~blank & ~ends & ~bar
+        after = (
+            F.when(starts, 0)
+            .when(ends, -1)
+            .when(opens, depth + 1)
+            .when(closes, depth - 1)
+            .otherwise(depth)
+        )
+
+        def more(name: str, here: Column) -> Column:
+            longer = F.concat(state[name], F.array(at))
+            return F.when(here, longer).otherwise(state[name]).alias(name)
+
+        return F.struct(
+            (at + 1).alias("at"),
+            after.alias("depth"),
+            (bar | (state["fresh"] & blank)).alias("fresh"),
+            more("starts", starts),
+            more("bars", bar),
+            more("names", names),
+            more("ends", ends),
         )
-        return F.when(state["closed"], state).otherwise(moved)
 
-    return F.aggregate(tokens, zero, further)
+    found = F.aggregate(tokens, zero, further)
+    return F.struct(*[found[name].alias(name) for name in ("starts", "bars", "names", "ends")])
+
+
+def _with_places(rows: DataFrame, text: str, start: str, end: str) -> DataFrame:
+    """Rows with ``_tokens`` and the ``_places`` of the start templates among them."""
+    rows = rows.withColumn("_tokens", _tokens(F.col(text), start, end))
+    return rows.withColumn("_places", _read_tokens(F.col("_tokens"), start))
+
+
+def _between(tokens: Column, after: Column, before: Column) -> Column:
+    """The tokens between two places."""
+    return F.slice(tokens, after + 2, F.greatest(before - after - 1, F.lit(0)))
 
 
 def _read(pages: DataFrame, page: str, text: str, start: str, end: str) -> DataFrame:
+    """(page, closed, params): whether the first dashboard ends, and its parameters' texts."""
     marked = pages.filter(has_markers(F.col(text), start, end))
-    return marked.select(F.col(page).alias("page"), _arguments(F.col(text), start).alias("read"))
+    marked = marked.select(F.col(page).alias("page"), F.col(text).alias("text"))
+    placed = _with_places(marked, "text", start, end)
+    tokens, places = F.col("_tokens"), F.col("_places")
+    stop = F.get(places["ends"], F.lit(0))
+    cuts = F.concat(F.filter(places["bars"], lambda at: at < stop), F.array(stop))
+
+    def param(at: Column, i: Column) -> Column:
+        inside = _between(tokens, at, F.get(cuts, i + 1))
+        return F.array_join(F.filter(inside, lambda t: ~t.startswith("<!--")), "")
+
+    bars = F.slice(cuts, 1, F.greatest(F.size(cuts) - 1, F.lit(0)))
+    none = F.expr("cast(array() as array<string>)")
+    params = F.when(stop.isNotNull(), F.transform(bars, param)).otherwise(none)
+    # A marker that is in comments only starts nothing.
+    started = placed.filter(F.size(places["starts"]) > 0)
+    return started.select("page", stop.isNotNull().alias("closed"), params.alias("params"))
 
 
 def dashboard_params(
@@ -96,8 +145,8 @@ def dashboard_params(
     of several parameters with one name wins. Pages need both markers. Pages whose
     template does not end are in :func:`unreadable_pages`.
     """
-    closed = _read(pages, page, text, start, end).filter("read.closed")
-    rows = closed.select("page", F.posexplode("read.parts").alias("pos", "param"))
+    closed = _read(pages, page, text, start, end).filter("closed")
+    rows = closed.select("page", F.posexplode("params").alias("pos", "param"))
     pair = F.split("param", "=", 2)
     value = F.coalesce(F.get(pair, F.lit(1)), F.lit(""))
     rows = rows.select(
@@ -105,7 +154,7 @@ def dashboard_params(
         "pos",
         strip(pair[0]).alias("field"),
         strip(F.replace(value, F.lit(ESCAPED_PIPE), F.lit("|"))).alias("value"),
-    ).filter("pos > 0 and field <> ''")
+    ).filter("field <> ''")
     return rows.groupBy("page", "field").agg(F.max_by("value", "pos").alias("value"))
 
 
@@ -117,7 +166,7 @@ def unreadable_pages(
     end: str = END_TEMPLATE,
 ) -> DataFrame:
     """(page, error) of the pages whose dashboard template does not end."""
-    broken = _read(pages, page, text, start, end).filter("not read.closed")
+    broken = _read(pages, page, text, start, end).filter("not closed")
     return broken.select("page", F.lit("the dashboard template does not end").alias("error"))
 
 
@@ -131,13 +180,23 @@ def rename_params(params: DataFrame) -> DataFrame:
     return rows.groupBy("page", "field").agg(F.max_by("value", "own").alias("value"))
 
 
-def migrate_text(text: Column, start: str = START_TEMPLATE) -> Column:
-    """Rename deprecated parameters inside start templates, nowhere else."""
-    params = rf"(?:\|(?:[^{{}}|]++|{_NESTED})*+)*?"
-    for old, new in PARAM_RENAMES.items():
-        pattern = rf"({_opening(start)}{params}\|\s*){literal_regex(old)}(\s*=)"
-        text = F.regexp_replace(text, pattern, rf"$1{new}$2")
-    return text
+def migrate_texts(
+    pages: DataFrame, text: str = "text", start: str = START_TEMPLATE, end: str = END_TEMPLATE
+) -> DataFrame:
+    """Pages with deprecated parameters renamed inside start templates, nowhere else."""
+    placed = _with_places(pages, text, start, end)
+    names = F.col("_places")["names"]
+
+    def renamed(token: Column, at: Column) -> Column:
+        new_token = token
+        for old, new in PARAM_RENAMES.items():
+            pattern = rf"\A(\s*){literal_regex(old)}(\s*=)"
+            new_token = F.regexp_replace(new_token, pattern, rf"$1{new}$2")
+        return F.when(F.array_contains(names, at), new_token).otherwise(token)
+
+    whole = F.array_join(F.transform("_tokens", renamed), "")
+    kept = F.when(F.size(names) > 0, whole).otherwise(F.col(text))
+    return placed.withColumn(text, kept).select(*pages.columns)
 
 
 def splice_reports(
@@ -150,23 +209,22 @@ def splice_reports(
 ) -> DataFrame:
     """Pages with their report between the markers of the first dashboard.
 
-    ``reports`` has ``page`` and ``report``. Pages without a report or without
-    markers stay as they are. Nothing in a report is taken as a pattern.
+    ``reports`` has ``page`` and ``report``. The report takes the place of what lies
+    between the template that starts the dashboard, whole, and the next end marker.
+    Pages without a report or without markers stay as they are. Nothing in a report is
+    taken as a pattern.
     """
-    opening = rf"\{{\{{{literal_regex(start)}.*?(?<!\{{\{{!)\}}\}}"
-    closing = literal_regex("{{%s}}" % end)
-    whole = rf"(?s)\A(.*?{opening}).*?({closing}.*)\z"
-    found = F.regexp_extract(text, whole, 1) != ""
-    joined = pages.join(reports.select(F.col("page").alias(page), "report"), page, "left")
-    spliced = F.concat(
-        F.regexp_extract(text, whole, 1),
-        F.lit("\n"),
-        F.col("report"),
-        F.lit("\n"),
-        F.regexp_extract(text, whole, 2),
-    )
-    new_text = F.when(F.col("report").isNotNull() & found, spliced).otherwise(F.col(text))
-    return joined.withColumn(text, new_text).select(*pages.columns)
+    joined = pages.join(reports.select(F.col("page").alias(page), F.col("report").alias("_report")), page, "left")
+    placed = _with_places(joined, text, start, end)
+    tokens, stop = F.col("_tokens"), F.get(F.col("_places")["ends"], F.lit(0))
+    # Where the end marker opens; the tokens are looked at only where there is a template.
+    after = F.slice(tokens, stop + 2, F.size(tokens))
+    tail = F.transform(after, lambda t, i: F.when(_is_opening(t, end), i))
+    marker = F.array_min(F.array_compact(tail)) + stop + 1
+    head = F.array_join(F.slice(tokens, 1, stop + 1), "")
+    rest = F.array_join(F.slice(tokens, marker + 1, F.size(tokens)), "")
+    spliced = F.concat(head, F.lit("\n"), F.col("_report"), F.lit("\n"), rest)
+    return placed.withColumn(text, F.coalesce(spliced, F.col(text))).select(*pages.columns)
 
 
 def load_dashboards(

@@ -90,7 +90,7 @@ def test_first_dashboard_counts_and_both_markers_are_needed(spark):
 
 
 def migrated(spark, text):
-    return texts(spark, text).select(pages.migrate_text(F.col("text")).alias("t")).first().t
+    return pages.migrate_texts(texts(spark, text)).first().text
 
 
 @pytest.mark.parametrize(
@@ -100,6 +100,9 @@ def migrated(spark, text):
         ("|q={{a|{{b|c}}}}|stats_for_no_group=0|r=1", "|q={{a|{{b|c}}}}|row_no_group=0|r=1"),
         ("|no_stats_for_no_group=0", "|no_stats_for_no_group=0"),
         ("|q=stats_for_no_group", "|q=stats_for_no_group"),
+        ("|q={{a|{{b|{{c|{{d|{{e|{{f|g}}}}}}}}}}}}|stats_for_no_group=0", "|q={{a|{{b|{{c|{{d|{{e|{{f|g}}}}}}}}}}}}|row_no_group=0"),
+        ("|q={{a|stats_for_no_group=1}}|<!-- old --> stats_for_no_group =2", "|q={{a|stats_for_no_group=1}}|<!-- old --> row_no_group =2"),
+        ("<!-- |stats_for_no_group=1 -->|q=<nowiki>|stats_for_no_group=1</nowiki>", "<!-- |stats_for_no_group=1 -->|q=<nowiki>|stats_for_no_group=1</nowiki>"),
     ],
 )
 def test_migration_inside_the_template(spark, old, new):
@@ -122,6 +125,31 @@ def test_report_is_put_between_the_markers(spark, link, new):
     assert spliced(spark, page + again, new).first().text == wanted + again
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "{{Property dashboard|p={{Q|5}}|q=2}}",
+        "{{property dashboard\n|p=1}}",
+        "{{Property_dashboard|p=[[a|b]]<!-- }} -->|q=<nowiki>}}</nowiki>}}",
+        "{{Property dashboard<!-- {{Property dashboard end}} -->|p={{a|{{b|{{c|{{d|{{e|{{f}}}}}}}}}}}}}}",
+        "\U0001f600 {{Property dashboard|p=\U0001f600}}",
+    ],
+)
+def test_reports_leave_the_template_whole(spark, opening):
+    page = "Head {{Q|1}} %s%s{{property_dashboard end}} tail {{Property dashboard end}}"
+    assert spliced(spark, page % (opening, " old {{Q|7}} }} "), "new").first().text == page % (opening, "\nnew\n")
+
+
+def test_all_dashboards_of_a_page_are_migrated(spark):
+    two = "{{Property dashboard|stats_for_no_group=1}} a |stats_for_no_group=2 {{property_dashboard|x|stats_for_no_group=3}}"
+    assert migrated(spark, two) == two.replace("stats_for_no_group=1", "row_no_group=1").replace(
+        "stats_for_no_group=3", "row_no_group=3"
+    )
+    # A template that does not end is left to its reader, its parameters are renamed.
+    assert migrated(spark, "{{Property dashboard|stats_for_no_group=1") == "{{Property dashboard|row_no_group=1"
+    assert migrated(spark, "") == "" and migrated(spark, None) is None
+
+
 def test_pages_without_markers_or_report_stay(spark):
     assert spliced(spark, "plain", "bar").first().text == "plain"
     kept = pages.splice_reports(

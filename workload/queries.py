@@ -715,7 +715,7 @@ def migrate_params(spark, sf_dir):
 @query
 def migrate_page_text(spark, sf_dir):
     texts = page_texts(spark, sf_dir)
-    return texts.select("page", pages.migrate_text(F.col("text")).alias("text"))
+    return pages.migrate_texts(texts).select("page", "text")
 
 
 @query
