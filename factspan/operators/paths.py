@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.facts import Facts
-from factspan.operators.selection import truthy_edges
+from factspan.facts import Facts, has_value
+from factspan.operators.selection import truthy, truthy_edges
 from factspan.operators.tables import written
 from factspan.spec import SpecError
 
@@ -167,29 +167,56 @@ def _edges(facts: Facts, step: Step) -> DataFrame:
     return truthy_edges(facts, step.property).toDF(*names).select("start", "end")
 
 
-def pairs(facts: Facts, path: Path) -> DataFrame:
-    """Distinct (start, end) of a path, over the whole graph."""
+def _may_be_empty(path: Path) -> bool:
+    """Whether the path has a form of no steps, which leads from each node to itself."""
+    if isinstance(path, Chain):
+        return all(map(_may_be_empty, path.parts))
+    if isinstance(path, Choice):
+        return any(map(_may_be_empty, path.parts))
+    return isinstance(path, Repeat) and (path.least == 0 or _may_be_empty(path.path))
+
+
+def _properties(path: Path) -> set[str]:
+    if isinstance(path, Step):
+        return {path.property}
+    parts = (path.path,) if isinstance(path, Repeat) else path.parts
+    return set().union(*map(_properties, parts))
+
+
+def _nodes(facts: Facts, path: Path) -> DataFrame:
+    """All nodes that statements of the path's properties start or end at."""
+    rows = truthy(facts, sorted(_properties(path))).filter(has_value())
+    return written(rows.select(F.explode(F.array("entity_id", "value")).alias("end")).distinct())
+
+
+def pairs(facts: Facts, path: Path, nodes: DataFrame | None = None) -> DataFrame:
+    """Distinct (start, end) of a path, over the whole graph.
+
+    A path of no steps leads from each of ``nodes`` to itself; these are all that
+    statements of the path's properties start or end at, unless given.
+    """
     if isinstance(path, Step):
         return _edges(facts, path)
+    if nodes is None:
+        nodes = _nodes(facts, path)
     if isinstance(path, Choice):
-        return reduce(DataFrame.union, [pairs(facts, p) for p in path.parts]).distinct()
+        return reduce(DataFrame.union, [pairs(facts, p, nodes) for p in path.parts]).distinct()
     if isinstance(path, Chain):
-        found = pairs(facts, path.parts[-1])
+        found = pairs(facts, path.parts[-1], nodes)
         for part in reversed(path.parts[:-1]):
-            step = pairs(facts, part).withColumnRenamed("end", "via")
+            step = pairs(facts, part, nodes).withColumnRenamed("end", "via")
             found = step.join(found.withColumnRenamed("start", "via"), "via")
             found = found.select("start", "end").distinct()
         return found
-    inner = written(pairs(facts, path.path))
-    nodes = inner.select("start").union(inner.select("end")).distinct()
-    return _repeated(path, inner, nodes.withColumnRenamed("start", "end"))
+    inner = written(pairs(facts, path.path, nodes))
+    return _repeated(path, inner, nodes)
 
 
 def _repeated(path: Repeat, inner: DataFrame, ends: DataFrame) -> DataFrame:
     """Distinct (start, end) of a repeated path to some ``end``s, given its ``inner`` pairs."""
     found = inner.join(ends, "end", "left_semi") if path.once else reaching(inner, ends)
     found = found.select("start", "end")
-    if path.least == 0:
+    if _may_be_empty(path):
         found = found.union(ends.select(F.col("end").alias("start"), "end")).distinct()
     return found
 
@@ -265,7 +292,10 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def entities_to_ends(facts: Facts, path: Path, ends: Iterable[str | None]) -> DataFrame:
-    """(end, entity_id, times): one search for all ``ends``; None asks for paths to anywhere."""
+    """(end, entity_id, times): one search for all ``ends``; None asks for paths to anywhere.
+
+    Paths to anywhere end at nodes that statements of the path's properties have.
+    """
     ends = list(dict.fromkeys(ends))
     one = F.lit(1).cast("long").alias("times")
     parts = []
@@ -274,7 +304,7 @@ def entities_to_ends(facts: Facts, path: Path, ends: Iterable[str | None]) -> Da
         rows = facts.spark.createDataFrame(named, "tag string")
         parts.append(rows.select("tag", F.col("tag").alias("node"), one))
     if None in ends:
-        values = pairs(facts, path).select(F.col("end").alias("node")).distinct()
+        values = _nodes(facts, path).withColumnRenamed("end", "node")
         parts.append(values.select(F.lit(None).cast("string").alias("tag"), "node", one))
     found = walked_back(facts, path, reduce(DataFrame.union, parts))
     return found.select(F.col("tag").alias("end"), F.col("node").alias("entity_id"), "times")

@@ -54,8 +54,8 @@ def picked(text, edges, nodes):
 
 
 TEXTS = {
-    6: ["wdt:P1/wdt:P2* wd:n3", "^(P1/P2?) n2", "P1 [] ; P2+ n6", "P1|P2 n1", "P2* elsewhere"],
-    0: ["(P1|^P2)+ n0", "((P1/P2?)+/P2)* n1"],
+    6: ["wdt:P1/wdt:P2* wd:n3", "^(P1/P2?) n2", "P1 [] ; P2+ n6", "P1|P2 n1", "P2* elsewhere", "P1/P2? []"],
+    0: ["(P1|^P2)+ n0", "((P1/P2?)+/P2)* n1", "P2/(P1/P2?)+ leaf1", "P1/(P2?)+ leaf1"],
 }
 
 
@@ -70,6 +70,9 @@ def test_paths_of_random_graphs(spark, monkeypatch, levels):
         if (p, a, b) not in edges:
             edges.add((p, a, b))
             g.claim(a, p, b)
+    for i in range(3):  # nodes that have no statement of P2
+        edges.add(("P1", f"n{i}", f"leaf{i}"))
+        g.claim(f"n{i}", "P1", f"leaf{i}")
     g.claim("n0", "P1", "n7", rank="deprecated")
     facts = g.facts(spark)
     # Nodes of the graph as a zero-length path to anywhere sees them.
