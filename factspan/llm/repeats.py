@@ -40,6 +40,9 @@ from factspan.llm.common import (
     written,
 )
 
+# Rows that a class which is broadcast has at least.
+HOT = 1000
+
 # Classes of one anchor that a task compares; anchors with more are split.
 MOST_CLASSES = 64
 # Classes that a task gets in all.
@@ -224,11 +227,13 @@ def repeated_windows(
     found = written(likely(all_found, [F.col("anchor")], shared))
     where = F.struct("rank", "uid1", "uid2", "start", "n", "off")
     classes = found.groupBy("anchor", "around").agg(
-        F.min(where).alias("at"), F.max("rank").alias("high"), F.sum("weight").alias("total")
-    )
-    classes = written(
-        classes.select("anchor", "around", "total", "high", "at.*").withColumnRenamed("rank", "low")
+        F.min(where).alias("at"),
+        F.max("rank").alias("high"),
+        F.sum("weight").alias("total"),
+        F.count(F.lit(1)).alias("members"),
     )
+    names = ["anchor", "around", "total", "high", "members", "at.*"]
+    classes = written(classes.select(*names).withColumnRenamed("rank", "low"))
     differ = (F.count(F.lit(1)) > 1) & (
         (F.min("low") < F.max("low")) if first else F.min("total") == 1
     )
@@ -252,14 +257,21 @@ def repeated_windows(
         F.collect_list(F.struct("at", "n")).alias("marks")
     )
     told = classes.join(listed, ["anchor", "around"], "left").select(
-        "anchor", "around", "low", "total", "high", "marks"
+        "anchor", "around", "low", "total", "high", "members", "marks"
     )
     decided = F.col("high") > F.col("low") if first else F.col("total") > 1
-    told = told.filter(decided | F.col("marks").isNotNull())
+    told = written(told.filter(decided | F.col("marks").isNotNull()))
     whole = F.col("rank") > F.col("low") if first else F.col("total") > 1
     moved = lambda m: F.struct((F.col("start") + m["at"]).alias("start"), m["n"].alias("n"))
     runs = F.when(whole, F.array(F.struct("start", "n"))).otherwise(F.transform("marks", moved))
-    known = found.join(told, ["anchor", "around"])
+    # Classes with more than a thousandth of all rows are a thousand at most: they are
+    # broadcast, so that no task gets all rows of one.
+    bound = max(found.count() // 1000, HOT)
+    keys = ["anchor", "around"]
+    hot = told.filter(F.col("members") > bound).drop("members")
+    cold = told.filter(F.col("members") <= bound).drop("members")
+    rest = found.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    known = found.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
     return known.select("uid1", "uid2", F.inline(runs))
 
 

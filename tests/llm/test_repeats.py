@@ -145,6 +145,13 @@ def test_byte_strings(documents, monkeypatch, most, first):
     assert sorted(found, key=str) == byte_strings(small_documents(), 400, first)
 
 
+def test_classes_of_many_rows_are_dealt_with_where_they_are(documents, monkeypatch):
+    wanted = sorted(map(str, without_passages(documents, length=50).collect()))
+    monkeypatch.setattr(repeats, "HOT", 1)  # every class with two rows is a hot one
+    assert sorted(map(str, without_passages(documents, length=50).collect())) == wanted
+
+
+
 def test_long_texts_go_in_parts(documents, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 1000)
     symbols = np.random.default_rng(1).integers(0, 3, 5000).astype(np.uint64)
