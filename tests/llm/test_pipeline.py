@@ -80,9 +80,39 @@ def test_passages_of_short_words_are_cut(spark):
     assert found == texts | {2: f"start  {prose(2, 9)}", 6: "é "}
 
 
+def test_near_copies_are_judged_by_row(spark):
+    a, b, c, d = (prose(i, 40, 3000) for i in range(50, 54))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, c), (9, None), (9, "")]
+    rows += [(8, d.replace("w1", "y1", 1)), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    kept = [(1, a), (2, b), (3, c), (8, rows[10][1]), (9, None), (9, ""), (9, "")]
+    assert sorted(found, key=str) == sorted(kept, key=str)
+
+
+CLASHING = "_hash, _word, _bits, _maybe, _null, row, id, place, kept, whole, given, marks, uid1, _rest, best"
+
+
+def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    docs, labels, bench, _ = corpus()
+    spark.createDataFrame(labels[:40], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = CLASHING.split(", ")
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, s, *[f"{n}{i}" for n in names]) for i, t, _, s, _ in docs[195:]]
+    table = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (table, table.limit(0)):
+            found = stage(spark, given, str(tmp_path))
+            assert found.columns == table.columns, name
+            for r in found.collect():
+                assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names], name
+    assert corpus_pipeline.mixture(spark, table.limit(0), str(tmp_path)).collect() == []
+
+
 def test_every_operator_has_a_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.isdir(os.path.dirname(corpus_pipeline.__file__))
