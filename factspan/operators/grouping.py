@@ -54,7 +54,7 @@ def resolve_kind(facts: Facts, dashboard: Dashboard) -> Dashboard:
     """Fill in the kind of grouping, where none is declared: that of the values its entities have.
 
     Values of several types go by the first of their names. If no selected entity has a
-    value, all values of the property tell.
+    value, or the selector is empty, all values of the property tell.
     """
     by = dashboard.group_by
     if by.kind:
@@ -62,10 +62,12 @@ def resolve_kind(facts: Facts, dashboard: Dashboard) -> Dashboard:
     if by.edges is not None:
         return dashboard.with_kind(frame_kind(by.edges))
     known = F.when(F.col("snak_type") == "value", F.col("value_type"))
-    steps = Steps(facts.spark, {by.text: by.path})
-    starts = select_entities(facts, dashboard.selector).distinct()
-    ends = followed(facts, starts.select(F.lit(by.text).alias("path"), "entity_id"), steps)
-    found = ends.agg(F.min(known)).first()[0]
+    found = None
+    if not isinstance(dashboard.selector, str) or dashboard.selector:
+        steps = Steps(facts.spark, {by.text: by.path})
+        starts = select_entities(facts, dashboard.selector).distinct()
+        ends = followed(facts, starts.select(F.lit(by.text).alias("path"), "entity_id"), steps)
+        found = ends.agg(F.min(known)).first()[0]
     if found is None:
         last = facts.claims.filter(F.col("property") == by.path[-1])
         found = last.agg(F.min(known)).first()[0]

@@ -28,12 +28,12 @@ def test_year_bins_are_floored(spark, year, span, start):
 @pytest.mark.parametrize(
     ("start", "span", "heading"),
     [
-        (1950, 1, "1950"),
-        (1950, 10, "1950s"),
-        (1900, 100, "1900s"),
-        (1000, 1000, "1000s"),
-        (-80_000_000, 10**7, "-80 Ma"),
-        (-10_000, 10**4, "-10 ka"),
+        (1873, 1, "1873"),
+        (1640, 10, "1640s"),
+        (1700, 100, "1700s"),
+        (3000, 1000, "3000s"),
+        (-120_000_000, 10**7, "-120 Ma"),
+        (-40_000, 10**4, "-40 ka"),
     ],
 )
 def test_year_headings(spark, start, span, heading):

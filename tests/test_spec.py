@@ -23,11 +23,11 @@ from factspan.spec import (
     rename_params,
 )
 
-PROJECTS = {"brwiki": ("https://br.example.org/", "Q846871")}
+PROJECTS = {"zawiki": ("https://za.example.org/", "Q7001")}
 
 KEYS = {
     "P21": Property("P21"),
-    "P2929/P462": Qualifier("P2929", "P462"),
+    "P4511/P1552": Qualifier("P4511", "P1552"),
     "P1435/Q10/P580": Qualifier("P1435", "P580", "Q10"),
     "P1/?grouping/P2": Qualifier("P1", "P2", "?grouping"),
     "P21/S*": Referenced("P21"),
@@ -46,7 +46,7 @@ KEYS = {
     "P1/Q5/P580/S*": Referenced("P1", value="Q5", qualifier="P580"),
     "Lde": Text("label", "de"),
     "Dzh-hans": Text("description", "zh-hans"),
-    "brwiki": SiteLink("brwiki", "https://br.example.org/", "Q846871"),
+    "zawiki": SiteLink("zawiki", "https://za.example.org/", "Q7001"),
 }
 
 
@@ -82,23 +82,23 @@ def test_bad_keys_are_rejected(key):
 def test_headers():
     headers = {
         "P21": "{{Property|P21}}",
-        "P2929/P462": "{{Property|P462}}",
+        "P4511/P1552": "{{Property|P1552}}",
         "P21/S*": "{{Property|P21}}📚",
         "P21/S!": "{{Property|P21}}📚✓",
         "P1/P580/S248=Q5": "{{Property|P580}}📚{{Property|P248}}={{Q|Q5}}",
         "P21/S248;S854": "{{Property|P21}}📚{{Property|P248}}/{{Property|P854}}",
         "P21/S248+S854": "{{Property|P21}}📚{{Property|P248}}+{{Property|P854}}",
         "Lde": "{{#language:de}}",
-        "brwiki": "{{Q|Q846871}}",
+        "zawiki": "{{Q|Q7001}}",
     }
     assert {k: column_from_key(k, projects=PROJECTS).header for k in headers} == headers
-    assert column_from_key("P2929/P462", "color").header == "[[Property:P462|color]]"
-    assert column_from_key("brwiki", "br", PROJECTS).header == "[[Q846871|br]]"
+    assert column_from_key("P4511/P1552", "kind").header == "[[Property:P1552|kind]]"
+    assert column_from_key("zawiki", "za", PROJECTS).header == "[[Q7001|za]]"
 
 
 def test_column_lists():
-    columns = columns_from_text("P136:genre, P404,,Lde")
-    assert columns == [Property("P136", "genre"), Property("P404"), Text("label", "de")]
+    columns = columns_from_text("P7937:form, P6216,,Lde")
+    assert columns == [Property("P7937", "form"), Property("P6216"), Text("label", "de")]
     # More than one colon: all of it is the key.
     assert columns_from_text("P1:a:b") == [Property("P1:a:b")]
 
@@ -117,7 +117,7 @@ def test_group_by():
 def test_explicit_groups_drop_what_is_no_group():
     assert explicit_groups("Q1, Q2,Q1,x,Q3x", "item") == ("Q1", "Q2")
     assert explicit_groups("1995, -5,0012,x", "year") == ("1995", "12")
-    assert explicit_groups("brwiki,xxwiki", "site", PROJECTS) == ("https://br.example.org/",)
+    assert explicit_groups("zawiki,xxwiki", "site", PROJECTS) == ("https://za.example.org/",)
     assert explicit_groups(None, "item") == ()
 
 
