@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,35 @@ def test_result_files(spark, tmp_path):
     assert {tuple(r) for r in rows} == {("a", "Q1", "2"), ("a", "Q2", None)}
 
 
+def test_one_large_result_file_is_read_by_many_tasks(spark, tmp_path):
+    signs = ['}', '{', '"', '\\', '},{', '"bindings": [{', 'é', ' ', 'word', '[', ']', '\n']
+    rng = random.Random(3)
+    texts_ = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(400)]
+    found = [
+        {"x": {"type": "literal", "value": t}} | ({"n": {"type": "literal", "value": str(i)}} if i % 3 else {})
+        for i, t in enumerate(texts_)
+    ]
+    found[7] = {}
+    document = {"head": {"vars": ["x", "n"], "link": ["{"]}, "results": {"bindings": found}}
+    (tmp_path / "one").write_text(json.dumps(document))
+    (tmp_path / "two").write_text(json.dumps(document, indent=2, ensure_ascii=False) + "\n")
+    wanted = [(b.get("x", {}).get("value"), b.get("n", {}).get("value")) for b in found] * 2
+    key = lambda row: tuple(v or "" for v in row)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("257", "3000", old["spark.sql.files.maxPartitionBytes"]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            if size == "3000":
+                parts = spark.read.text(str(tmp_path / "one"), lineSep="}").rdd.getNumPartitions()
+                assert parts > 3
+            rows = bindings.read_bindings(spark, str(tmp_path), ["x", "n"]).collect()
+            assert sorted(map(tuple, rows), key=key) == sorted(wanted, key=key)
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def dashboard_page(selector, **params):
     params = {"selector": selector, "grouping_property": "P17", "properties": "P1"} | params
     body = "".join(f"|{k}={v}\n" for k, v in params.items())
