@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,16 +130,25 @@ def with_labels(
 ) -> DataFrame:
     """Add ``<column>_label`` for each id column; only labels of these ids are read.
 
-    The rows feed a join for each column, so they are written first.
+    The ids of all columns are looked up as rows of one table and folded back.
     """
     rows = written(rows)
-    ids = reduce(DataFrame.union, [rows.select(F.col(c).alias("entity_id")) for c in columns])
-    terms = facts.terms.join(ids.distinct(), "entity_id", "left_semi")
-    known = written(labels(replace(facts, terms=terms), lang))
+    # Places in a written table, so they are the same whenever a task is run again.
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    ids = F.array(*[F.col(c).cast("string") for c in columns])
+    long = placed.select("*", F.posexplode(ids).alias("_which", "_id"))
+    wanted = rows.select(F.explode(ids).alias("entity_id")).distinct()
+    terms = facts.terms.join(wanted, "entity_id", "left_semi")
+    known = labels(replace(facts, terms=terms), lang).withColumnsRenamed(
+        {"entity_id": "_id", "label": "_label"}
+    )
+    names = ["entity_label" if c == "entity_id" else f"{c}_label" for c in columns]
+    folded = [
+        F.max(F.when(F.col("_which") == i, F.col("_label"))).alias(name)
+        for i, name in enumerate(names)
+    ]
+    met = long.join(known, "_id", "left").groupBy("_place", *rows.columns).agg(*folded)
     order = [c for c in rows.columns if c not in columns]
-    for column in columns:
-        name = "entity_label" if column == "entity_id" else f"{column}_label"
+    for column, name in zip(columns, names, strict=True):
         order += [column, name]
-        lookup = known.select(F.col("entity_id").alias(column), F.col("label").alias(name))
-        rows = rows.join(lookup, [column], "left")
-    return rows.select(*order)
+    return met.select(*order)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -17,7 +16,7 @@ from factspan.operators.selection import select_entities
 from factspan.operators.tables import written
 from factspan.plans.coverage import Coverage
 from factspan.plans.fleet import Fleet
-from factspan.plans.lists import groups_to_list, member_lists
+from factspan.plans.lists import groups_to_list, listed, members_of
 from factspan.sources.sinks import write_lists
 from factspan.spec import Dashboard, SpecError, UnsupportedGroupingError
 
@@ -51,13 +50,9 @@ class Batch:
             return spark.createDataFrame([], f"{schema}, field string, value string")
         lines = self.lines().filter(F.col("dashboard").isin(*[d.name for d in asked]))
         groups = written(groups_to_list(lines, existing, foreign_prefixes))
-        parts = [
-            member_lists(
-                self.coverage.facts, d, groups.filter(F.col("dashboard") == d.name), lang
-            ).select(F.lit(d.name).alias("dashboard"), "*")
-            for d in asked
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        facts = self.coverage.facts
+        members = members_of(Fleet(facts, asked).pairs(), groups, facts.unknown_prefix)
+        return listed(facts, asked, members, lang)
 
     def create_lists(
         self,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,8 @@ from factspan.facts import Facts, has_value
 from factspan.functions.markup import is_external
 from factspan.functions.values import is_unknown, year_bin
 from factspan.operators.grouping import UNKNOWN_KEY, group_edges, resolve_kind
-from factspan.operators.selection import (
-    labels,
-    select_entities,
-    truthy,
-)
+from factspan.operators.selection import among, labels, select_entities, truthy
+from factspan.operators.tables import written
 from factspan.spec import Dashboard, Property, Qualifier, Referenced, Text, follows_group
 
 
@@ -59,91 +57,115 @@ def list_fields(dashboard: Dashboard) -> list[str]:
     return sorted(dict.fromkeys(fields), key=rank)
 
 
-def _field_values(facts: Facts, dashboard: Dashboard, lang: str) -> DataFrame:
-    """Distinct (entity_id, field, value, group_key) of all listed fields.
+_FIELDS = (
+    "dashboard string, position int, field string, source string, property string, "
+    "qualifier string, wanted string, tied boolean"
+)
+# Where a field's values come from.
+_NAMED, _TEXT, _VALUE, _QUALIFIER = "named", "text", "value", "qualifier"
+
+
+def _field_rows(dashboard: Dashboard) -> list[tuple]:
+    """The fields of a dashboard as rows of ``_FIELDS``."""
+    sources: dict[str, tuple] = {"label": (_NAMED, None, None, None, False)}
+    for c in dashboard.columns:
+        if isinstance(c, Text):
+            sources[c.list_field] = (_TEXT, c.kind, c.lang, None, False)
+        elif isinstance(c, Property | Referenced):
+            sources[c.list_field] = (_VALUE, c.property, None, None, False)
+        elif isinstance(c, Qualifier):
+            tied = follows_group(c)
+            wanted = None if tied else c.value
+            sources[c.list_field] = (_QUALIFIER, c.property, c.qualifier, wanted, tied)
+    return [(dashboard.name, i, f, *sources[f]) for i, f in enumerate(list_fields(dashboard))]
+
 
-    ``group_key`` is the group a value belongs to, for columns tied to the group.
+def _field_values(facts: Facts, fields: DataFrame, lang: str) -> DataFrame:
+    """Distinct (entity_id, field, value, slot) of all listed fields.
+
+    ``slot`` is the group a value belongs to, for qualifiers tied to the group, else empty.
     """
-    parts = []
-    texts = [c for c in dashboard.columns if isinstance(c, Text)]
-    if not any(c.kind == "label" for c in texts):
-        named = labels(facts, lang)
-        parts.append(named.select("entity_id", F.lit("label").alias("field"), F.col("label").alias("value")))
-    if texts:
-        field = F.concat_ws("/", "kind", "lang")
-        wanted = facts.terms.filter(field.isin(*[c.list_field for c in texts]))
-        parts.append(wanted.select("entity_id", field.alias("field"), F.col("text").alias("value")))
-    properties = sorted(
-        {c.property for c in dashboard.columns if isinstance(c, Property | Referenced)}
+    wanted = fields.drop("dashboard", "position").distinct()
+    of = lambda source: wanted.filter(F.col("source") == source).drop("source")
+    named = labels(facts, lang).join(of(_NAMED).select("field"))
+    named = named.select("entity_id", "field", F.col("label").alias("value"))
+    kinds = of(_TEXT).select("field", F.col("property").alias("kind"), F.col("qualifier").alias("lang"))
+    texts = facts.terms.join(kinds, ["kind", "lang"])
+    texts = texts.select("entity_id", "field", F.col("text").alias("value"))
+    asked = of(_VALUE).select("field", "property")
+    listed = facts.claims.join(asked.select("property").distinct(), "property", "left_semi")
+    values = truthy(replace(facts, claims=listed)).filter(has_value()).join(asked, "property")
+    values = values.select("entity_id", "field", "value")
+    free = reduce(DataFrame.unionByName, [named, texts, values])
+    quals = of(_QUALIFIER).select(
+        "field", "property", "wanted", "tied", F.col("qualifier").alias("_qualifier")
     )
-    if properties:
-        values = truthy(facts, properties).filter(has_value())
-        parts.append(values.select("entity_id", F.col("property").alias("field"), "value"))
-    for column in dashboard.columns:
-        if isinstance(column, Qualifier):
-            claims = facts.claims.filter(F.col("property") == column.property)
-            if column.value and not follows_group(column):
-                claims = claims.filter(F.col("value") == column.value)
-            found = facts.qualifiers.filter(F.col("property") == column.qualifier)
-            found = found.filter(has_value()).select("statement_id", "value").distinct()
-            owner = F.col("value") if follows_group(column) else F.lit(None).cast("string")
-            owners = claims.select("statement_id", "entity_id", owner.alias("group_key"))
-            rows = found.join(owners, ["statement_id"], "inner")
-            field = F.lit(column.key).alias("field")
-            parts.append(rows.select("entity_id", field, "value", "group_key"))
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return every.distinct()
+    claims = facts.claims.select("statement_id", "entity_id", "property", F.col("value").alias("_owner"))
+    claims = claims.join(quals, "property")
+    claims = claims.filter(F.col("wanted").isNull() | (F.col("_owner") == F.col("wanted")))
+    found = facts.qualifiers.filter(has_value())
+    found = found.select("statement_id", F.col("property").alias("_qualifier"), "value")
+    rows = claims.join(found, ["statement_id", "_qualifier"])
+    slot = F.when(F.col("tied"), F.col("_owner")).otherwise("")
+    rows = rows.select("entity_id", "field", "value", slot.alias("slot"))
+    return free.withColumn("slot", F.lit("")).unionByName(rows).distinct()
+
+
+def members_of(pairs: DataFrame, groups: DataFrame, unknown_prefix: str) -> DataFrame:
+    """Distinct (dashboard, group_key, entity_id) of the report rows in ``groups``.
+
+    ``pairs`` are (dashboard, entity_id, group, kind). All year rows of a dashboard have
+    one span.
+    """
+    spans = groups.groupBy("dashboard").agg(F.coalesce(F.max("span"), F.lit(1)).alias("_span"))
+    rows = pairs.join(spans, "dashboard")
+    group = F.col("group")
+    start = year_bin(group.try_cast("bigint"), F.col("_span")).cast("bigint").cast("string")
+    binned = F.when(F.col("_span") > 1, F.concat_ws("/", start, F.col("_span"))).otherwise(start)
+    key = F.when(is_unknown(group, unknown_prefix), UNKNOWN_KEY)
+    key = key.when(F.col("kind") == "year", binned).otherwise(group)
+    rows = rows.select("dashboard", key.alias("group_key"), "entity_id")
+    wanted = groups.select("dashboard", "group_key").distinct()
+    return rows.join(wanted, ["dashboard", "group_key"], "left_semi").distinct()
+
+
+def listed(
+    facts: Facts, dashboards: Sequence[Dashboard], members: DataFrame, lang: str = "en"
+) -> DataFrame:
+    """(dashboard, group_key, entity_id, position, field, value) of the ``members``.
+
+    What the dashboards list is a table, so the plan is the same for any number of them.
+    The facts are cut down to the members before ranks are compared or labels looked up.
+    One row per shown value, and one with a null value for a field an entity lacks, so no
+    entity's values are gathered in one place.
+    """
+    rows = [row for d in dashboards for row in _field_rows(d)]
+    fields = written(facts.spark.createDataFrame(rows, _FIELDS).coalesce(1))
+    members = written(members)
+    near = among(facts, members.select("entity_id").distinct())
+    shown = members.join(fields.select("dashboard", "position", "field", "tied"), "dashboard")
+    slot = F.when(F.col("tied"), F.col("group_key")).otherwise("")
+    shown = shown.withColumn("slot", slot)
+    met = shown.join(_field_values(near, fields, lang), ["entity_id", "field", "slot"], "left")
+    return met.select("dashboard", "group_key", "entity_id", "position", "field", "value")
 
 
 def list_members(facts: Facts, dashboard: Dashboard, groups: DataFrame) -> DataFrame:
-    """Distinct (group_key, entity_id) of the report rows in ``groups``."""
+    """Distinct (dashboard, group_key, entity_id) of one dashboard's report rows in ``groups``."""
     dashboard = resolve_kind(facts, dashboard)
-    edges = group_edges(facts, dashboard.group_by)
-    group = F.col("group")
-    key = F.when(is_unknown(group, facts.unknown_prefix), UNKNOWN_KEY)
-    if dashboard.group_by.kind == "year":
-        # All rows of a report have one span.
-        span = groups.agg(F.coalesce(F.max("span"), F.lit(1)).alias("span")).scalar()
-        start = year_bin(group.try_cast("bigint"), span).cast("bigint").cast("string")
-        edges = edges.withColumn("_span", span)
-        whole = F.when(F.col("_span") > 1, F.concat_ws("/", start, F.col("_span"))).otherwise(start)
-        key = key.otherwise(whole)
-    else:
-        key = key.otherwise(group)
-    edges = edges.select("entity_id", key.alias("group_key"))
-    wanted = groups.select("group_key").distinct()
-    edges = edges.join(wanted, "group_key", "left_semi").distinct()
     selected = select_entities(facts, dashboard.selector).distinct()
-    return edges.join(selected, ["entity_id"], "left_semi")
+    edges = group_edges(facts, dashboard.group_by).join(selected, ["entity_id"], "left_semi")
+    name, kind = F.lit(dashboard.name), F.lit(dashboard.group_by.kind)
+    pairs = edges.select(name.alias("dashboard"), "entity_id", "group", kind.alias("kind"))
+    groups = groups.withColumn("dashboard", name)
+    if "span" not in groups.columns:
+        groups = groups.withColumn("span", F.lit(1))
+    return members_of(pairs, groups, facts.unknown_prefix)
 
 
 def member_lists(
     facts: Facts, dashboard: Dashboard, groups: DataFrame, lang: str = "en"
 ) -> DataFrame:
-    """(group_key, entity_id, position, field, value) of the listed groups.
-
-    One row per shown value, and one with a null value for a field an entity
-    lacks, so no entity's values are gathered in one place.
-    """
-    fields = list_fields(dashboard)
-    places = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"))
-            for i, f in enumerate(fields)
-        ]
-    )
-    members = list_members(facts, dashboard, groups).select(
-        "group_key", "entity_id", F.inline(places)
-    )
-    values = _field_values(facts, dashboard, lang)
-    if "group_key" not in values.columns:
-        values = values.withColumn("group_key", F.lit(None).cast("string"))
-    tied = [c.list_field for c in dashboard.columns if follows_group(c) and c.list_field]
-    follows = F.col("field").isin(*tied)
-    free = members.filter(~follows).join(
-        values.filter(~follows).drop("group_key"), ["entity_id", "field"], "left"
-    )
-    own = members.filter(follows).join(
-        values.filter(follows), ["entity_id", "field", "group_key"], "left"
-    )
-    return free.unionByName(own).select("group_key", "entity_id", "position", "field", "value")
+    """(group_key, entity_id, position, field, value) of one dashboard's listed groups."""
+    members = list_members(facts, dashboard, groups)
+    return listed(facts, [dashboard], members, lang).drop("dashboard")

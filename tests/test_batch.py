@@ -88,3 +88,33 @@ def test_dashboards_that_ask_for_lists_get_them(spark, tmp_path):
         (d, f"Q{i % 3}", f"e{i}", "v") for d, n in (("a", 9), ("c", 4)) for i in range(n) if i % 3 != 1
     )
     assert plan_all(facts, boards[1:2]).lists(pages).collect() == []
+
+
+def test_lists_of_many_dashboards_are_one_plan(spark):
+    facts = countries().facts(spark)
+    pages = spark.createDataFrame([], "title string")
+
+    def batch(n):
+        params = {"grouping_property": "P17", "grouping_threshold": "1", "grouping_link": "L/{id}"}
+        params |= {"selector": "select entity_id from {claims} where property = 'P1'"}
+        params |= {"grouping_link_mode": "create"}
+        return plan_all(
+            facts,
+            [
+                dashboard_from_params(params | {"properties": "P1,Len" if i % 2 else "P1"}, f"d{i}")
+                for i in range(n)
+            ],
+        )
+
+    few, many = batch(3).lists(pages), batch(50).lists(pages)
+    size = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(many) == size(few)
+    found = {}
+    for r in many.collect():
+        found.setdefault(r.dashboard, set()).add((r.group_key, r.entity_id, r.field, r.value))
+    assert len(found) == 50
+    named = [("label", None), ("P1", "v")]
+    texts = [("label/en", None), ("P1", "v")]
+    for i in range(50):
+        fields = texts if i % 2 else named
+        assert found[f"d{i}"] == {(f"Q{j % 3}", f"e{j}", f, v) for j in range(9) for f, v in fields}
