@@ -840,5 +840,10 @@ select c_custkey as document, c_name as name,
 from customer where c_custkey % 7 <> 0
 union all
 select c_custkey, c_name || '-again', null from customer where c_custkey % 7 <> 0""",
+        "ingest_result_files": """
+select c_name as name, case when c_acctbal > 0 then c_mktsegment end as segment
+from customer where c_custkey % 7 <> 0
+union all
+select c_name || '-again', null from customer where c_custkey % 7 <> 0""",
     }
 )

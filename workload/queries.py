@@ -20,6 +20,7 @@ from factspan.operators.selection import (
     select_entities,
     truthy,
 )
+from factspan.operators.tables import shared_folder
 from factspan.plans import report
 from factspan.plans.batch import plan_all
 from factspan.plans.coverage import Coverage
@@ -730,6 +731,19 @@ def splice_report(spark, sf_dir):
 @query
 def ingest_bindings(spark, sf_dir):
     """One result document per customer, with a variable missing now and then."""
+    documents = _result_documents(spark, sf_dir)
+    return bindings.parse_bindings(documents, "json", ["name", "segment"], ["document"])
+
+
+@query
+def ingest_result_files(spark, sf_dir):
+    """The same documents out of files that hold many, read by byte ranges."""
+    path = shared_folder(spark)
+    _result_documents(spark, sf_dir).select("json").write.text(path)
+    return bindings.read_bindings(spark, path, ["name", "segment"])
+
+
+def _result_documents(spark, sf_dir):
     rows = run_view(
         spark, sf_dir, "select c_custkey, c_name, c_mktsegment, c_acctbal from {customer}"
     )
@@ -749,8 +763,7 @@ def ingest_bindings(spark, sf_dir):
         "array<struct<name:struct<type:string,value:string>,"
         "segment:struct<type:string,value:string>>>"
     )).otherwise(F.array(first, second))
-    documents = rows.select(
+    return rows.select(
         F.col("c_custkey").alias("document"),
         F.to_json(F.struct(F.struct(found.alias("bindings")).alias("results"))).alias("json"),
     )
-    return bindings.parse_bindings(documents, "json", ["name", "segment"], ["document"])
