@@ -11,6 +11,8 @@ from factspan.llm.common import written
 
 # Hexadecimal digits of a key that name its range: 65,536 ranges a source.
 _RANGE_DIGITS = 4
+# Equal rows that one task puts out.
+_COPIES = 4096
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -71,7 +73,9 @@ def mixed_to_weights(
 
     The order is found without sorting a source in one task: the first digits of
     the hash name a range, sums of the ranges give each its offset, and rows are
-    sorted within their range alone.
+    sorted within their range alone. Rows of one id and size, or without id and of one
+    size, are one row with a count until the end, when tasks of their own put them out
+    again: however many there are, a range stays small.
 
     Null texts have no words. Null sources are one source, the last. Rows without
     doc_id and repeated rows are rows like others. Other columns are ignored; an
@@ -81,8 +85,11 @@ def mixed_to_weights(
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), key.alias("key")
     )
-    rows = written(rows.withColumn("part", F.substr("key", F.lit(1), F.lit(_RANGE_DIGITS))))
-    ranges = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    rows = rows.withColumn("part", F.substr("key", F.lit(1), F.lit(_RANGE_DIGITS)))
+    equal = rows.groupBy("source", "part", "key", "doc_id", "size")
+    rows = written(equal.agg(F.count(F.lit(1)).alias("copies")))
+    words = F.col("size") * F.col("copies")
+    ranges = rows.groupBy("source", "part").agg(F.sum(words).alias("words"))
     ranges = written(ranges)
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, percent, most)
@@ -100,17 +107,26 @@ def mixed_to_weights(
         .orderBy("key", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    start = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    start = F.col("offset") + F.coalesce(F.sum(words).over(within), F.lit(0))
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    placed = joined.select(
+        "doc_id", "r.source", "size", "source_size", "target", "copies", start.alias("start")
+    )
+    step = F.lit(_COPIES).cast("long")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, step))
+    many = placed.filter(F.col("copies") > step).withColumn("at", at).repartition("doc_id", "size", "at")
+    many = many.select(
+        *names,
+        F.least(step, F.col("copies") - F.col("at")).alias("copies"),
+        (F.col("start") + F.col("at") * F.col("size")).alias("start"),
+    )
+    every = placed.filter(F.col("copies") <= step).unionByName(many)
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    every = every.withColumn("copy", copy)
+    every = every.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     budget = F.floor("target")
     taken = F.lit(0)
     for epoch in range(most):
         rest = budget - F.col("source_size") * epoch - F.col("start")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.withColumn("start", start).select(
-        "doc_id",
-        "r.source",
-        "size",
-        "source_size",
-        "target",
-        taken.cast("long").alias("taken"),
-    )
+    return every.select(*names, taken.cast("long").alias("taken"))

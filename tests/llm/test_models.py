@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factspan.llm import hmm, topk
+from factspan.llm import hmm, mixture, topk
 from factspan.llm.chat import escaped, perspectives, unescaped
 from factspan.llm.hmm import CLASSES, STATES, Model, expected, language_scores, log_likelihoods
 from factspan.llm.mixture import mixed_to_weights
@@ -256,6 +256,21 @@ def test_mixture(spark, documents, percent, most):
     assert sorted(map(key, again)) == sorted(map(key, rows))
 
 
+def test_mixture_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "_COPIES", 8)
+    rows = [(None, "x " * (i % 3), "a") for i in range(100)] + [(7, "y y", "a")] * 50
+    rows += [(i, "z", "b") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixed_to_weights(table, (5, 2), 100, 2).collect()
+    got = Counter((r.doc_id, r.source, r["size"]) for r in found)
+    assert got == Counter((d, s, len(t.split())) for d, t, s in rows)
+    for source, total in (("a", 199), ("b", 20)):
+        mine = [r for r in found if r.source == source]
+        assert {r.source_size for r in mine} == {total}
+        assert sum(r.taken for r in mine) == math.floor(mine[0].target + 1e-9)
+        assert all(0 <= r.taken <= 2 * r["size"] for r in mine)
+
+
 def test_mixture_of_nothing(spark, no_documents):
     assert mixed_to_weights(no_documents).collect() == []
     rows = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
