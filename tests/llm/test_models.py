@@ -36,6 +36,8 @@ def vectors():
     rows += [(i, rows[3][1]) for i in range(300, 340)]
     rows += [(340, None), (341, [1.0, None]), (342, [float("nan")] * 6), (343, [math.inf] * 6)]
     rows += [(344, []), (345, [2.0]), (None, [1.0] * 6), (20, rows[20][1])]
+    # Rows that repeat an id, with other vectors.
+    rows += [(40, rows[60][1]), (41, rows[3][1]), (41, rows[4][1])]
     return rows
 
 
@@ -46,14 +48,19 @@ def test_top_k(spark, monkeypatch, small):
             monkeypatch.setattr(topk, name, value)
     table = spark.createDataFrame([(*r, 1, 2) for r in vectors()], "vec_id long, embedding array<float>, rank int, score long")
     found = sorted(tuple(r) for r in top_k(table, k=20).collect())
-    ints = {}
-    for i, v in vectors():
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ints[i] = [math.floor(64 * x) for x in v]
+    ints = [
+        (i, [math.floor(64 * x) for x in v])
+        for i, v in vectors()
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     want = []
-    for q in ints:
+    for own, (q, query) in enumerate(ints):
         if q % 20 == 0:
-            scored = [(-sum(a * b for a, b in zip(ints[q], v)), c) for c, v in ints.items() if c != q]
+            scored = [
+                (-sum(a * b for a, b in zip(query, v)), c)
+                for place, (c, v) in enumerate(ints)
+                if place != own
+            ]
             want += [(q, r, c, -s) for r, (s, c) in enumerate(sorted(scored)[:20], 1)]
     assert found == sorted(want)
     assert top_k(table.limit(0)).collect() == []
