@@ -17,8 +17,6 @@ from factspan.llm.common import least_by_hash, sliced, split_words, written
 
 # Labelled rows that the model is fitted on, at most: those with the least hash.
 TRAINING_ROWS = 16_000
-# Sparse features kept: words and word beginnings, the most telling ones.
-FEATURES = 4096
 BEGINNINGS = (4, 5, 6)
 GRADES = 4
 _EDGE = " .,;:!?\"'()[]{}|*#$%&-"
@@ -79,7 +77,10 @@ class Ordinal:
 
 
 def _telling(sample: DataFrame, rows: int, toxic: int) -> list[int]:
-    """The features whose presence tells most about the label, by the G statistic."""
+    """The features whose presence tells about the label, by the G statistic.
+
+    All that do are kept; there are no more of them than the sample's texts have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -100,8 +101,7 @@ def _telling(sample: DataFrame, rows: int, toxic: int) -> list[int]:
     gain = F.col("n") * (p * F.log(p / share) + (1 - p) * F.log((1 - p) / (1 - share)))
     scored = sums.filter((F.col("n") >= 4) & (F.col("toxic") / F.col("n") > share))
     scored = scored.withColumn("gain", gain).filter("gain > 8")
-    best = scored.orderBy(F.col("gain").desc(), "feature").limit(FEATURES)
-    return [row.feature for row in best.select("feature").collect()]
+    return [row.feature for row in scored.select("feature").orderBy("feature").collect()]
 
 
 def _regressed(row, feature, value, grade, size: int, grades: int, steps: int = 400) -> tuple:
