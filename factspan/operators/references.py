@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts
-from factspan.operators.tables import written
 from factspan.spec import (
     FIRST_REFERENCE_PROPERTIES,
     LAST_REFERENCE_PROPERTIES,
@@ -127,7 +126,7 @@ def shown_references(facts: Facts, check: RefCheck, rows: DataFrame) -> DataFram
         return rows
     statements = rows.select("statement_id").distinct()
     # A statement's own rows are few per node; the statement side is unique.
-    nodes = written(facts.reference_nodes.join(statements, ["statement_id"], "left_semi"))
+    nodes = facts.reference_nodes.join(statements, ["statement_id"], "left_semi")
     facts = _snaks_of(facts, nodes)
     if priority:
         nodes = _with_node_values(facts, nodes, shown_by_priority(facts), "left")

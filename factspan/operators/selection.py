@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.facts import Facts, has_value
-from factspan.operators.tables import written
 
 
 def select_entities(facts: Facts, selector: DataFrame | str) -> DataFrame:
@@ -130,15 +129,15 @@ def with_labels(
 ) -> DataFrame:
     """Add ``<column>_label`` for each id column; only labels of these ids are read.
 
-    The ids of all columns are looked up as rows of one table and folded back.
+    The ids of all columns are looked up as rows of one table and folded back. Equal rows
+    are one row with a count until the end. Nothing runs before the result is asked for:
+    both readers of the counted rows ask for all their columns, so Spark shuffles them once.
     """
-    rows = written(rows)
-    # Places in a written table, so they are the same whenever a task is run again.
-    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_times"))
     ids = F.array(*[F.col(c).cast("string") for c in columns])
-    long = placed.select("*", F.posexplode(ids).alias("_which", "_id"))
-    wanted = rows.select(F.explode(ids).alias("entity_id")).distinct()
-    terms = facts.terms.join(wanted, "entity_id", "left_semi")
+    long = counted.select("*", F.posexplode(ids).alias("_which", "_id"))
+    asked = counted.filter("_times > 0").select(F.explode(ids).alias("entity_id"))
+    terms = facts.terms.join(asked.distinct(), "entity_id", "left_semi")
     known = labels(replace(facts, terms=terms), lang).withColumnsRenamed(
         {"entity_id": "_id", "label": "_label"}
     )
@@ -147,8 +146,9 @@ def with_labels(
         F.max(F.when(F.col("_which") == i, F.col("_label"))).alias(name)
         for i, name in enumerate(names)
     ]
-    met = long.join(known, "_id", "left").groupBy("_place", *rows.columns).agg(*folded)
+    met = long.join(known, "_id", "left").groupBy(*counted.columns).agg(*folded)
     order = [c for c in rows.columns if c not in columns]
     for column, name in zip(columns, names, strict=True):
         order += [column, name]
-    return met.select(*order)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "_times"))
+    return met.select(*order, again.alias("_again")).select(*order)

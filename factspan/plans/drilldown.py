@@ -14,7 +14,6 @@ from factspan.operators.grouping import UNKNOWN_KEY, group_edges, resolve_kind
 from factspan.operators.presence import StatementTests
 from factspan.operators.references import shown_references
 from factspan.operators.selection import among, follow_path, select_entities, with_labels
-from factspan.operators.tables import written
 from factspan.plans.coverage import NO_GROUP_KEY, TOTALS_KEY
 from factspan.spec import (
     Column,
@@ -74,10 +73,10 @@ class DrillDown:
         return edges.filter(group == row.key)
 
     def members(self, key: str | Row) -> DataFrame:
-        """Distinct selected entities of a row, computed once and written."""
+        """Distinct selected entities of a row."""
         row = self.row(key)
         if row not in self._members:
-            self._members[row] = written(self._find_members(row))
+            self._members[row] = self._find_members(row)
         return self._members[row]
 
     def near(self, row: Row) -> Facts:
@@ -92,8 +91,8 @@ class DrillDown:
             return selected
         if row.kind == "none":
             grouped = group_edges(self.facts, self.dashboard.group_by).select("entity_id")
-            return selected.join(grouped.distinct(), "entity_id", "left_anti")
-        mine = self._edges_of(row).select("entity_id").distinct()
+            return selected.join(grouped, "entity_id", "left_anti")
+        mine = self._edges_of(row).select("entity_id")
         return selected.join(mine, "entity_id", "left_semi")
 
     def _scope(self, row: Row, tied: bool) -> tuple[DataFrame, list[str]]:
@@ -126,11 +125,13 @@ class DrillDown:
         return rows
 
     def _of_members(self, rows: DataFrame, row: Row, column: Column) -> DataFrame:
+        """The rows that fit; they are of members already, but for their values."""
         tied = follows_group(column)
-        scope, keys = self._scope(row, tied)
         rows = self._fitting(rows, row, tied)
-        found = rows.join(scope, keys, "left_semi")
-        return found.drop("group")
+        scope, keys = self._scope(row, tied)
+        if "group" in keys:
+            rows = rows.join(scope, keys, "left_semi")
+        return rows.drop("group")
 
     # Columns
 
@@ -273,10 +274,7 @@ class DrillDown:
         elif tied and row.kind in ("none", "totals", "site"):
             values = values.filter("bad")
         values = values.select(*dict.fromkeys([*keys, "value"])).distinct()
-        found = values.join(lacking, keys, "inner")
-        bare = lacking.join(values.select(*keys).distinct(), keys, "left_anti")
-        listed = found.unionByName(bare, allowMissingColumns=True)
-        return listed.select("entity_id", "value")
+        return lacking.join(values, keys, "left").select("entity_id", "value")
 
 
 def _is_term(column: Text) -> Expr:

@@ -1,6 +1,7 @@
 import pytest
 
 from factspan import Dashboard, GroupBy, columns_from_text
+from factspan.operators.selection import with_labels
 from factspan.plans.drilldown import DrillDown, Row, row_from_key
 from factspan.plans.lists import groups_to_list, list_fields, member_lists
 from tests.graph import Graph, bag
@@ -215,3 +216,31 @@ def test_which_groups_are_listed(spark):
         ("d", "UNKNOWN_VALUE"),
         ("e", "Q6"),
     }
+
+
+def test_nothing_runs_before_a_list_is_asked_for(spark):
+    """Drill-downs are plans alone: no job and no written table until their action."""
+    facts = reference_graph().facts(spark)
+    columns = "P1,P1/P2,P1/S*,P1/S248,P1/?grouping/S*,Len"
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextJobId()
+    d = drill(facts, bag(spark, "a", "a", "b", "c"), columns)
+    lists = [
+        make(column.key, row)
+        for column in d.dashboard.columns
+        for row in ("Q1", "", "None")
+        for make in (d.positive, d.negative)
+    ]
+    assert scheduler.nextJobId() == before
+    assert len(lists) == 36
+
+
+def test_equal_rows_stay_when_labelled(spark):
+    g = Graph()
+    g.label("a", "en", "A")
+    rows = spark.createDataFrame([("a", "b"), ("a", "b"), (None, "a")], "entity_id string, value string")
+    found = with_labels(rows, g.facts(spark), ["entity_id", "value"])
+    assert found.columns == ["entity_id", "entity_label", "value", "value_label"]
+    assert sorted(map(tuple, found.collect()), key=repr) == [
+        ("a", "A", "b", None), ("a", "A", "b", None), (None, None, "a", "A"),
+    ]
