@@ -218,23 +218,6 @@ def test_which_groups_are_listed(spark):
     }
 
 
-def test_nothing_runs_before_a_list_is_asked_for(spark):
-    """Drill-downs are plans alone: no job and no written table until their action."""
-    facts = reference_graph().facts(spark)
-    columns = "P1,P1/P2,P1/S*,P1/S248,P1/?grouping/S*,Len"
-    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
-    before = scheduler.nextJobId()
-    d = drill(facts, bag(spark, "a", "a", "b", "c"), columns)
-    lists = [
-        make(column.key, row)
-        for column in d.dashboard.columns
-        for row in ("Q1", "", "None")
-        for make in (d.positive, d.negative)
-    ]
-    assert scheduler.nextJobId() == before
-    assert len(lists) == 36
-
-
 def test_equal_rows_stay_when_labelled(spark):
     g = Graph()
     g.label("a", "en", "A")
