@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,7 +71,13 @@ def dropped(*tables: DataFrame) -> None:
         for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
             place = spark._jvm.org.apache.hadoop.fs.Path(folder)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        spark._jvm.System.gc()
+        freed(spark)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let go of the files of shuffles that nothing here refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 # Pre-filter

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.common import dropped, id_remainder, sliced, split_words, written
+from factspan.llm.common import dropped, freed, id_remainder, sliced, split_words, written
 
 # Frequent words and word endings that are classes of their own in the first rounds.
 FREQUENT, ENDINGS = 2048, 2048
@@ -371,6 +371,9 @@ def trained_words(
         before, counts = counts, written(word_counts(found, rows, ends, local))
         if before is not None:
             dropped(before)
+        # The shuffles of this round go before those of the next are written.
+        rows = None
+        freed(found.sparkSession)
         model = word_model(counts, ends, n, v)
         rows = places.select("chunk", "pos", "code").join(counts, "code")
         local = lambda t, m=model: (m.start, m.move, m.emissions(t), m.end)
