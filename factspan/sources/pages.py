@@ -46,7 +46,8 @@ def _tokens(text: Column, start: str, end: str) -> Column:
 
 
 def _is_opening(token: Column, title: str) -> Column:
-    return token.rlike(rf"\A\{{\{{{_COMMENT}{_named(title)}{_COMMENT}\z")
+    pattern = rf"\A\{{\{{{_COMMENT}{_named(title)}{_COMMENT}\z"
+    return token.startswith("{{") & token.rlike(pattern)
 
 
 def _read_tokens(tokens: Column, start: str) -> Column:
@@ -96,14 +97,22 @@ def _read_tokens(tokens: Column, start: str) -> Column:
             more("ends", ends),
         )
 
-    found = F.aggregate(tokens, zero, further)
-    return F.struct(*[found[name].alias(name) for name in ("starts", "bars", "names", "ends")])
+    return F.aggregate(tokens, zero, further)
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once per row, however often it is used.
+
+    As a plain column its expression may be put in the place of each use, also within
+    lambdas and filters.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _with_places(rows: DataFrame, text: str, start: str, end: str) -> DataFrame:
     """Rows with ``_tokens`` and the ``_places`` of the start templates among them."""
-    rows = rows.withColumn("_tokens", _tokens(F.col(text), start, end))
-    return rows.withColumn("_places", _read_tokens(F.col("_tokens"), start))
+    rows = _once(rows, "_tokens", _tokens(F.col(text), start, end))
+    return _once(rows, "_places", _read_tokens(F.col("_tokens"), start))
 
 
 def _between(tokens: Column, after: Column, before: Column) -> Column:
@@ -118,7 +127,9 @@ def _read(pages: DataFrame, page: str, text: str, start: str, end: str) -> DataF
     placed = _with_places(marked, "text", start, end)
     tokens, places = F.col("_tokens"), F.col("_places")
     stop = F.get(places["ends"], F.lit(0))
-    cuts = F.concat(F.filter(places["bars"], lambda at: at < stop), F.array(stop))
+    own = F.concat(F.filter(places["bars"], lambda at: at < stop), F.array(stop))
+    placed = _once(placed, "_cuts", own)
+    cuts = F.col("_cuts")
 
     def param(at: Column, i: Column) -> Column:
         inside = _between(tokens, at, F.get(cuts, i + 1))
@@ -129,7 +140,7 @@ def _read(pages: DataFrame, page: str, text: str, start: str, end: str) -> DataF
     params = F.when(stop.isNotNull(), F.transform(bars, param)).otherwise(none)
     # A marker that is in comments only starts nothing.
     started = placed.filter(F.size(places["starts"]) > 0)
-    return started.select("page", stop.isNotNull().alias("closed"), params.alias("params"))
+    return _once(started, "params", params).select("page", stop.isNotNull().alias("closed"), "params")
 
 
 def dashboard_params(

@@ -90,6 +90,20 @@ def test_first_dashboard_counts_and_both_markers_are_needed(spark):
     assert params_of(spark, two) == {"p": "3"}
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def walks(frame):
+    """How often a plan cuts a page into tokens, and how often it walks over them."""
+    plan = plan_of(frame)
+    return plan.count("regexp_extract_all("), plan.count("aggregate(")
+
+
+def test_a_page_is_read_once_for_its_params(spark):
+    assert walks(pages.dashboard_params(texts(spark, dashboard("|a=1")))) == (1, 1)
+
+
 def migrated(spark, text):
     return pages.migrate_texts(texts(spark, text)).first().text
 
