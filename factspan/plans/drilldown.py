@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame
@@ -223,8 +223,15 @@ class DrillDown:
     # References
 
     def _statements(self, column: Referenced, row: Row) -> DataFrame:
-        """Statements of the property: value, what matches and what is unsourced."""
-        tests = StatementTests(self.near(row), [column])
+        """Statements of the property: value, what matches and what is unsourced.
+
+        They feed several branches and jobs, so they are judged once and written, as are
+        the claims before them, which references are cut down to.
+        """
+        facts = self.near(row)
+        claims = facts.claims.filter(F.col("property") == column.property)
+        claims = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
+        tests = StatementTests(replace(facts, claims=written(claims)), [column])
         rows = tests.rows.select(
             "entity_id",
             "statement_id",
@@ -234,7 +241,7 @@ class DrillDown:
             tests.matches(column).alias("matches"),
             tests.unreferenced(column).alias("bad"),
         )
-        return self._fitting(rows, row, follows_group(column))
+        return written(self._fitting(rows, row, follows_group(column)))
 
     def _referenced(self, column: Referenced, row: Row) -> DataFrame:
         """Matching statements with a value, of entities with no unsourced match.
@@ -249,7 +256,7 @@ class DrillDown:
         shown = rows.filter(F.col("matches") & has_value())
         shown = shown.select("entity_id", "value", "statement_id", "group")
         good = shown.join(bad, keys, "left_anti")
-        good = self._of_members(good, row, column)
+        good = written(self._of_members(good, row, column))
         shown = shown_references(self.facts, column.check, good)
         first = ["entity_id", "value"]
         rest = [c for c in shown.columns if c not in (*first, "statement_id")]

@@ -227,3 +227,12 @@ def test_equal_rows_stay_when_labelled(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == [
         ("a", "A", "b", None), ("a", "A", "b", None), (None, None, "a", "A"),
     ]
+
+
+def test_judged_statements_are_written_once(spark):
+    g = Graph()
+    g.claim("a", "P1", "Q5", refs=[[("P248", "x")]])
+    d = drill(g.facts(spark), bag(spark, "a"), "P1/S!")
+    judged = d._statements(d._column("P1/S!"), d.row(""))
+    assert "Join" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(d.positive("P1/S!", ""), "entity_id", "ref_value") == {("a", "x")}
