@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factspan.facts import Facts, has_value
 from factspan.operators.references import statement_checks
+from factspan.operators.tables import written
 from factspan.spec import (
     Column,
     Property,
@@ -62,7 +63,9 @@ class StatementTests:
     """Statements of some qualifier and reference columns, with their flags joined.
 
     Qualifiers and references are reduced to one row per statement before they
-    meet the claims, so every join here is one to one.
+    meet the claims, so every join here is one to one. The claims and these rows are
+    written: three frames are cut down to the claims, and what a task sorts and counts
+    for the steps between two shuffles adds up in its memory.
     """
 
     def __init__(self, facts: Facts, columns: Sequence[Column]):
@@ -72,11 +75,13 @@ class StatementTests:
         )
         properties = sorted({c.property for c in columns})
         claims = facts.claims.filter(F.col("property").isin(*properties))
-        rows = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
+        claims = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
+        rows = claims = written(claims)
         if self.qualifiers:
-            rows = rows.join(self._qualifier_flags(facts, claims), "statement_id", "left")
+            flags = written(self._qualifier_flags(facts, claims))
+            rows = rows.join(flags, "statement_id", "left")
         if self.checks:
-            checked = statement_checks(facts, self.checks, claims)
+            checked = written(statement_checks(facts, self.checks, claims))
             rows = rows.join(checked, "statement_id", "left")
         self.rows = rows
 

@@ -72,12 +72,14 @@ def statement_checks(
 
     All checks share one pass over the snaks and one over the nodes. Nodes of
     other ``statements`` go first: of all a graph's references few are in question.
-    Snaks of other nodes go before they are reduced to flags.
+    Snaks of other nodes go before they are reduced to flags; as nodes are read twice
+    then, they are written.
     """
     ids = statements.select("statement_id")
     nodes = facts.reference_nodes.join(ids, "statement_id", "left_semi")
-    flags = _node_flags(_snaks_of(facts, nodes), checks)
-    if flags is not None:
+    if any(check.mode != "any" for check in checks):
+        nodes = written(nodes)
+        flags = _node_flags(_snaks_of(facts, nodes), checks)
         nodes = nodes.join(flags, ["reference_id"], "left")
     tests = _snak_tests(checks)
     verdicts = [F.max(_passes(c, tests)).alias(f"ok{i}") for i, c in enumerate(checks)]

@@ -225,13 +225,11 @@ class DrillDown:
     def _statements(self, column: Referenced, row: Row) -> DataFrame:
         """Statements of the property: value, what matches and what is unsourced.
 
-        They feed several branches and jobs, so they are judged once and written, as are
-        the claims before them, which references are cut down to.
+        They feed several branches and jobs, so they are judged once and written.
         """
         facts = self.near(row)
         claims = facts.claims.filter(F.col("property") == column.property)
-        claims = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
-        tests = StatementTests(replace(facts, claims=written(claims)), [column])
+        tests = StatementTests(replace(facts, claims=claims), [column])
         rows = tests.rows.select(
             "entity_id",
             "statement_id",

@@ -2,6 +2,7 @@ import pytest
 
 from factspan import Dashboard, Facts, GroupBy, columns_from_text, link_from_text
 from factspan.operators.grouping import group_kinds, resolve_kind
+from factspan.operators.presence import StatementTests
 from factspan.operators.selection import follow_path, truthy_edges
 from factspan.plans import report
 from factspan.plans.coverage import Coverage
@@ -128,6 +129,16 @@ def test_reference_columns_share_a_plan(spark):
     assert found[2, ""] == (7, 5, 4, 4, 3, 1, 4, 6)
 
 
+@pytest.mark.parametrize("keys", ["P1/P2", "P1/S*", "P1/S!", "P1/S248,P1/P2,P1/Q5/S*"])
+def test_what_meets_the_statements_is_reduced_before(spark, keys):
+    """A task that joins flags to statements neither cuts frames down nor counts as well."""
+    rows = StatementTests(reference_graph().facts(spark), columns_from_text(keys)).rows
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan
+    assert "LeftSemi" not in plan
+    assert "Aggregate" not in plan
+
+
 def test_columns_tied_to_the_group(spark):
     g = Graph()
     g.claim("a", "P17", "Q1")
