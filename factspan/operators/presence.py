@@ -173,7 +173,8 @@ def presence(
     on_statements = {n: c for n, c in free.items() if _is_statement_column(c)}
     if on_statements:
         tests = StatementTests(facts, list(on_statements.values()))
-        parts.append(tests.rows.select("entity_id", *tests.flags(on_statements)))
+        # Sorting statements and counting entities are stages of their own.
+        parts.append(written(tests.rows.select("entity_id", *tests.flags(on_statements))))
     pairs = pair_presence(facts, columns)
     if pairs is not None:
         parts.append(pairs.drop("group"))

@@ -2,7 +2,7 @@ import pytest
 
 from factspan import Dashboard, Facts, GroupBy, columns_from_text, link_from_text
 from factspan.operators.grouping import group_kinds, resolve_kind
-from factspan.operators.presence import StatementTests
+from factspan.operators.presence import StatementTests, presence
 from factspan.operators.selection import follow_path, truthy_edges
 from factspan.plans import report
 from factspan.plans.coverage import Coverage
@@ -139,6 +139,14 @@ def test_what_meets_the_statements_is_reduced_before(spark, keys):
     assert "Aggregate" not in plan
 
 
+def test_entities_are_counted_after_statements_are_joined(spark):
+    columns = dict(zip(["c0", "c1"], columns_from_text("P1/P2,P1/S!"), strict=True))
+    found = presence(reference_graph().facts(spark), columns)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan
+    assert "Join" not in plan
+
+
 def test_columns_tied_to_the_group(spark):
     g = Graph()
     g.claim("a", "P17", "Q1")
