@@ -371,7 +371,8 @@ class Fleet:
 
     def _pairs(self) -> DataFrame:
         kinds = self.kinds().filter("kind is not null").select("dashboard", "kind")
-        rows = self.edges().join(kinds, "dashboard")
+        # A row for each dashboard, whatever its estimate: the edges are never the side sent around.
+        rows = self.edges().join(F.broadcast(kinds), "dashboard")
         year = F.col("time_year").cast("string")
         group = F.when(F.col("kind") == "year", year).otherwise(F.col("value"))
         return rows.select("dashboard", "entity_id", group.alias("group"), "kind").distinct()
@@ -379,11 +380,15 @@ class Fleet:
     # Presence, one row for each column an entity has
 
     def _statements(self, near: Facts) -> DataFrame:
-        """(entity_id, value, snak_type, column_id, tied, bad) of matching statements."""
+        """(entity_id, value, snak_type, column_id, tied, bad) of matching statements.
+
+        The claims, and which statement passes which check, feed several branches and are
+        written; so a task holds the rows of one join at a time.
+        """
         defs = self.definitions.filter(F.col("kind").isin("qualifier", "referenced"))
         of = [c for c in self._defined if isinstance(c, Qualifier | Referenced)]
         claims = near.claims.filter(F.col("property").isin(*sorted({c.property for c in of})))
-        claims = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
+        claims = written(claims.select("entity_id", "property", "statement_id", "snak_type", "value"))
         rows = claims.join(defs, "property")
         asked = F.col("tied") | F.col("wanted").isNotNull()
         free = (F.col("kind") == "referenced") & ~asked
@@ -399,7 +404,7 @@ class Fleet:
         qualified = rows.filter("qualifier is not null").join(found, ["statement_id", "qualifier"], "left_semi")
         rows = plain.unionByName(qualified)
         passed = self._passed(rows.filter("check_id is not null").select("statement_id").distinct())
-        passed = passed.withColumn("passed", F.lit(True))
+        passed = written(passed).withColumn("passed", F.lit(True))
         met = rows.join(passed, ["statement_id", "check_id"], "left")
         bad = F.col("check_id").isNotNull() & F.col("passed").isNull()
         return met.select("entity_id", "value", "snak_type", "column_id", "tied", bad.alias("bad"))
@@ -407,7 +412,7 @@ class Fleet:
     def _passed(self, statements: DataFrame) -> DataFrame:
         """Distinct (statement_id, check_id) where a single node passes the check."""
         modes = {mode: [i for c, i in self._checks.items() if c.mode == mode] for mode in ("any", "good")}
-        nodes = self.facts.reference_nodes.join(statements, "statement_id", "left_semi")
+        nodes = written(self.facts.reference_nodes.join(statements, "statement_id", "left_semi"))
         wanted = {p for c in self._checks for p, _ in c.parts} | set(POOR_REFERENCE_PROPERTIES)
         snaks = self.facts.reference_snaks.filter(F.col("property").isin(*sorted(wanted)))
         ids = nodes.select("reference_id").distinct()

@@ -191,6 +191,18 @@ def plan_size(frame) -> int:
     return frame._jdf.queryExecution().optimizedPlan().toString().count("\n")
 
 
+def test_statements_are_cut_down_and_judged_before_they_meet(fleet):
+    """A task that joins verdicts to statements neither looks at nodes nor at snaks."""
+    plan = fleet._statements(fleet.near())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan
+    assert "reference_id" not in plan
+
+
+def test_edges_meet_the_kinds_of_their_dashboards_where_they_lie(fleet):
+    plan = fleet._pairs()._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+
+
 def test_two_hundred_dashboards_have_the_plan_of_twenty(spark, graph):
     columns = columns_from_text(COLUMNS, PROJECTS)
 
