@@ -59,24 +59,30 @@ def _is_statement_column(column: Column) -> bool:
     return isinstance(column, Qualifier | Referenced)
 
 
+def _written_claims(facts: Facts, properties: Sequence[str]) -> DataFrame:
+    claims = facts.claims.filter(F.col("property").isin(*properties))
+    return written(claims.select("entity_id", "property", "statement_id", "snak_type", "value"))
+
+
 class StatementTests:
     """Statements of some qualifier and reference columns, with their flags joined.
 
     Qualifiers and references are reduced to one row per statement before they
     meet the claims, so every join here is one to one. The claims and these rows are
     written: three frames are cut down to the claims, and what a task sorts and counts
-    for the steps between two shuffles adds up in its memory.
+    for the steps between two shuffles adds up in its memory. ``kept`` are claims that
+    were written already, of these properties or more.
     """
 
-    def __init__(self, facts: Facts, columns: Sequence[Column]):
+    def __init__(self, facts: Facts, columns: Sequence[Column], kept: DataFrame | None = None):
         self.qualifiers = list(dict.fromkeys(c.qualifier for c in columns if c.qualifier))
         self.checks = list(
             dict.fromkeys(c.check for c in columns if isinstance(c, Referenced))
         )
         properties = sorted({c.property for c in columns})
-        claims = facts.claims.filter(F.col("property").isin(*properties))
-        claims = claims.select("entity_id", "property", "statement_id", "snak_type", "value")
-        rows = claims = written(claims)
+        if kept is None:
+            kept = _written_claims(facts, properties)
+        rows = claims = kept.filter(F.col("property").isin(*properties))
         if self.qualifiers:
             flags = written(self._qualifier_flags(facts, claims))
             rows = rows.join(flags, "statement_id", "left")
@@ -167,12 +173,18 @@ def presence(
     """
     free = {n: c for n, c in columns.items() if not follows_group(c)}
     parts = []
+    on_statements = {n: c for n, c in free.items() if _is_statement_column(c)}
+    kept = None
+    if on_statements:
+        # Columns without a join read the same claims: these are cut down and written once.
+        asked = [c for c in free.values() if isinstance(c, Property | Qualifier | Referenced)]
+        kept = _written_claims(facts, sorted({c.property for c in asked}))
     for table, tests in _direct_tests(free).items():
         if tests:
-            parts.append(_entity_rows(getattr(facts, table), tests))
-    on_statements = {n: c for n, c in free.items() if _is_statement_column(c)}
+            rows = kept if table == "claims" and kept is not None else getattr(facts, table)
+            parts.append(_entity_rows(rows, tests))
     if on_statements:
-        tests = StatementTests(facts, list(on_statements.values()))
+        tests = StatementTests(facts, list(on_statements.values()), kept)
         # Sorting statements and counting entities are stages of their own.
         parts.append(written(tests.rows.select("entity_id", *tests.flags(on_statements))))
     pairs = pair_presence(facts, columns)

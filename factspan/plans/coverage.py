@@ -35,10 +35,10 @@ NO_GROUP_KEY, TOTALS_KEY = "None", ""
 class Coverage:
     """The plan of one or more dashboards.
 
-    Three frames feed several branches: the selection, the entities with their
-    flags, and the raw group counts. Each is computed once and written to the
-    shared folder, so no branch repeats the pass over the facts, also when
-    executors are lost.
+    Some frames feed several branches: the selection, the edges to the groups, the
+    entities with their flags, and the raw group counts. Each is computed once and
+    written to the shared folder, so no branch repeats the pass over the facts, also
+    when executors are lost.
     """
 
     def __init__(self, facts: Facts, dashboards: Dashboard | Sequence[Dashboard]):
@@ -67,6 +67,16 @@ class Coverage:
 
     # Entities
 
+    def _edges(self, by: GroupBy) -> DataFrame:
+        """Distinct (entity_id, group) of the selected entities.
+
+        Written where both "no grouping" rows and groups are made of them.
+        """
+        if by not in self._grouping_marks():
+            return group_edges(self.facts, by, self.near())
+        name = f"edges of {self._grouping_marks()[by]}"
+        return self._keep(name, lambda: group_edges(self.facts, by, self.near()))
+
     def _grouping_marks(self) -> dict[GroupBy, str]:
         """A flag for each grouping that some "no grouping" row asks about."""
         wanted = dict.fromkeys(d.group_by for d in self.dashboards if d.row_no_group)
@@ -99,9 +109,7 @@ class Coverage:
 
     def _entities(self) -> DataFrame:
         marks = self._grouping_marks()
-        edges = {
-            name: group_edges(self.facts, by, self.near()) for by, name in marks.items()
-        }
+        edges = {name: self._edges(by) for by, name in marks.items()}
         rows = self.selected()
         if self.columns or edges:
             found = presence(self.near(), self.columns, edges)
@@ -126,8 +134,7 @@ class Coverage:
         parts = []
         for i, (_, sharing) in enumerate(self._edge_sets().items()):
             first = sharing[0]
-            edges = group_edges(self.facts, first.group_by, self.near())
-            edges = restrict_groups(edges, first, self._projects)
+            edges = restrict_groups(self._edges(first.group_by), first, self._projects)
             # A year is never equal to a statement's value.
             matched = tied and first.group_by.kind != "year"
             if matched:
