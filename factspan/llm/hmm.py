@@ -1,8 +1,9 @@
 """A hidden Markov language model, trained by Baum-Welch counts over all partitions.
 
-Every word of the training documents has state counts of its own. They are rows of
-a table, summed up by word and joined to the dictionary of each chunk of documents,
-so the vocabulary has no limit and no task or driver holds all of it. The rounds
+Every word of the training documents has state counts of its own. Words are dealt into
+buckets; counts are summed up by bucket and joined to the dictionary of each chunk of
+documents, so the vocabulary has no limit and no task or driver holds all of it. What
+a chunk and a bucket have in common travels as one row of packed columns. The rounds
 that find a starting point work on classes of words: frequent ones by themselves,
 others by their endings. With equal states the model is the unigram base itself;
 what it gains comes from the latent states alone.
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.common import dropped, freed, id_remainder, sliced, split_words, written
+from factspan.llm.common import dropped, freed, id_remainder, sliced, split_words, tidy, written
 
 # Frequent words and word endings that are classes of their own in the first rounds.
 FREQUENT, ENDINGS = 2048, 2048
@@ -35,6 +36,8 @@ SLICES, SHORT_ROUNDS, FULL_ROUNDS = 16, 8, 2
 PRIOR = 2.0
 # Bytes of text whose words share a dictionary; tokens that are trained on together.
 CHUNK_BYTES, PIECE, BATCH_TOKENS = 24 << 20, 256, 1 << 20
+# Places of words in the dictionaries of chunks that make a bucket of words.
+BUCKET_PLACES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,38 @@ class Model:
     mass: np.ndarray  # unigram probability of each class
 
 
+# Packed columns
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The numbers of an array, or of its rows, byte by byte: first bytes, second bytes, ..."""
+    size = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), size).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(blob: bytes, kind: type, width: int = 1) -> np.ndarray:
+    size = np.dtype(kind).itemsize * width
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    found = np.ascontiguousarray(raw.reshape(size, -1).T).view(kind)
+    return found if width > 1 else found.reshape(-1)
+
+
+_KINDS = {"pos": np.int32, "code": np.int32, "c": np.int64, "class": np.uint16, "n": np.float32}
+
+
+def _columns(rows: pa.Table, name: str) -> list[np.ndarray]:
+    """A packed column, row by row."""
+    width = STATES if name == "n" else 1
+    return [_unpack(blob, _KINDS[name], width) for blob in rows.column(name).to_pylist()]
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    """A packed column of all rows."""
+    none = np.empty((0, STATES) if name == "n" else 0, _KINDS[name])
+    return np.concatenate([none, *_columns(rows, name)])
+
+
 # Corpus counts
 
 
@@ -63,7 +98,6 @@ def chunks(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in sliced(whole, most=CHUNK_BYTES):
@@ -82,7 +116,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     "ids": _one(batch.column("doc_id")),
                     "held": _one(batch.column("held_out")),
                     "sizes": _one(pa.array(np.diff(ends))),
-                    "tokens": pa.array([packer.compress(codes.tobytes())], pa.binary()),
+                    "tokens": pa.array([_pack(codes)], pa.binary()),
                     "words": _one(coded.dictionary.take(pa.array(order))),
                     "counts": _one(pa.array(np.bincount(codes[learnt], minlength=types))),
                 }
@@ -96,15 +130,64 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _words(found: DataFrame) -> DataFrame:
+    """(word, c, at): how often training documents have it, its places in dictionaries.
+
+    Words of held-out documents alone are left out.
+    """
+    words = F.arrays_zip("words", "counts").alias("w")
+    rows = found.select("chunk", F.posexplode(words).alias("pos", "w"))
+    rows = rows.select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"), "chunk", "pos")
+    # A dictionary has a word once, so counting before the shuffle would save nothing.
+    at = F.collect_list(F.struct("chunk", "pos")).alias("at")
+    return rows.repartition("word").groupBy("word").agg(F.sum("n").alias("c"), at).filter("c > 0")
+
+
 def _classes(known: DataFrame) -> DataFrame:
-    """(word, c, class): the most frequent words, ties by spelling, have their own."""
+    """(c, class, at): the most frequent words, ties by spelling, have their own."""
     top = known.orderBy(F.col("c").desc(), "word").limit(FREQUENT).select("word").collect()
     rows = [(row.word, i) for i, row in enumerate(sorted(top))]
     own = known.sparkSession.createDataFrame(rows, "word string, own int")
     ending = F.lit(FREQUENT) + F.pmod(F.xxhash64(F.expr("right(word, 3)")), F.lit(ENDINGS))
     joined = known.join(F.broadcast(own), "word", "left")
-    kind = F.coalesce("own", ending).cast("int").alias("class")
-    return joined.select("word", "c", kind, F.monotonically_increasing_id().alias("code"))
+    return joined.select("c", F.coalesce("own", ending).cast("int").alias("class"), "at")
+
+
+def _places(known: DataFrame) -> DataFrame:
+    """Where the words are, packed: a row for each chunk and bucket of words that meet.
+
+    ``code`` is a word's number in its bucket, ``pos`` its number in the chunk's dictionary.
+    """
+
+    def bucket(number: int, words: list[tuple]) -> pa.RecordBatch:
+        c, kind, sizes, chunk, pos = (np.concatenate(x) for x in zip(*words, strict=True))
+        code = np.repeat(np.arange(len(c), dtype=np.int32), sizes)
+        order = np.argsort(chunk, kind="stable")
+        chunk, code = chunk[order], code[order]
+        found = {"pos": pos[order], "code": code, "c": c[code], "class": kind[code]}
+        starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        row = {"chunk": pa.array(chunk[starts]), "bucket": pa.array(np.full(len(starts), number))}
+        for name, x in found.items():
+            parts = np.split(x.astype(_KINDS[name]), starts[1:])
+            row[name] = pa.array([_pack(part) for part in parts], pa.binary())
+        return pa.RecordBatch.from_pydict(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, words, places = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            at = batch.column("at")
+            numbers = [batch.column("c"), batch.column("class"), pc.list_value_length(at)]
+            numbers += at.flatten().flatten()
+            words.append(tuple(x.to_numpy(zero_copy_only=False) for x in numbers))
+            places += len(words[-1][-1])
+            if places >= BUCKET_PLACES:
+                yield bucket(number, words)
+                number, words, places = number + 1, [], 0
+        if places:
+            yield bucket(number, words)
+
+    schema = "chunk long, bucket long, pos binary, code binary, c binary, class binary"
+    return known.mapInArrow(run, schema)
 
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, int]:
@@ -114,16 +197,13 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, int]:
     inside = np.ones(int(sizes.sum()), bool)
     inside[stops - 1] = False
     codes = np.full(len(inside), row["types"][0], np.int32)
-    unpacked = zstandard.ZstdDecompressor().decompress(row["tokens"][0])
-    codes[inside] = np.frombuffer(unpacked, np.int32)
+    codes[inside] = _unpack(row["tokens"][0], np.int32)
     return codes, sizes, row["types"][0]
 
 
 def _by_chunk(found: DataFrame, rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(key, rows of a chunk's dictionary, the chunk)`` for each chunk."""
-    slim = found.selectExpr(
-        "chunk as part", "ids", "held", "sizes", "tokens", "size(words) as types"
-    )
+    """``run(key, packed rows of a chunk's dictionary, the chunk)`` for each chunk."""
+    slim = found.withColumnRenamed("chunk", "part")
     return rows.groupBy("chunk").cogroup(slim.groupBy("part")).applyInArrow(run, schema)
 
 
@@ -135,7 +215,7 @@ def _coded(found: DataFrame, places: DataFrame, ends: int) -> DataFrame:
         codes, sizes, types = _tokens(row)
         kind = np.full(types + 1, UNKNOWN, np.uint16)
         kind[types] = END if ends else UNKNOWN
-        kind[numbers.column("pos").to_numpy()] = numbers.column("class").to_numpy()
+        kind[_column(numbers, "pos")] = _column(numbers, "class")
         flat = kind[codes].tobytes()
         stops = np.cumsum(sizes)
         learnt = np.flatnonzero(~np.array(row["held"][0], bool))
@@ -267,12 +347,9 @@ def baum_welch(sequences: DataFrame, model: Model) -> Model:
 # Training by word
 
 
-_COUNTS = [f"n{s}" for s in range(STATES)]
-
-
 @dataclass(frozen=True)
 class WordModel:
-    """What all words have in common; ``known`` is the table of their counts by state.
+    """What all words have in common; their counts by state are a table.
 
     A word's weight in a state is its unigram probability times the state's share of
     its tokens, with ``PRIOR`` tokens in the states' shares of all tokens added; the
@@ -288,19 +365,18 @@ class WordModel:
     total: float  # what counts of unigrams are divided by
 
     def emissions(self, numbers: pa.Table) -> np.ndarray:
-        lists = numbers.column("n").combine_chunks()
-        n = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, STATES)
-        base = (numbers.column("c").to_numpy() + 0.5) / self.total
+        n = _column(numbers, "n").astype(float)
+        base = (_column(numbers, "c") + 0.5) / self.total
         base = base / (n.sum(axis=1) + PRIOR)
         return base[:, None] * (n + PRIOR * self.share) * self.scale
 
 
-def word_counts(found: DataFrame, rows: DataFrame, ends: int, local: Callable) -> DataFrame:
-    """(code, c, n): Baum-Welch counts of each word over all training documents, by state.
+def word_counts(found: DataFrame, rows: DataFrame, total: float, local: Callable) -> DataFrame:
+    """(bucket, code, n, sums): Baum-Welch counts of words over all training documents, by state.
 
-    ``rows`` has (chunk, pos, code, c) and what ``local`` needs to give (start, move,
-    emissions of these rows, of the end mark). Codes below 0 are starts, moves and
-    the end mark.
+    ``rows`` has (chunk, bucket, pos, code, c) and what ``local`` needs to give (start,
+    move, emissions of these rows, of the end mark). Bucket -1 has starts, moves and the
+    end mark. ``sums`` are those that :func:`word_model` adds up, of a bucket's words.
     """
     special = 2 + STATES
 
@@ -308,45 +384,64 @@ def word_counts(found: DataFrame, rows: DataFrame, ends: int, local: Callable) -
         row = chunk.slice(0, 1).to_pydict()
         codes, sizes, types = _tokens(row)
         start, move, own, end = local(numbers)
-        at = numbers.column("pos").to_numpy()
+        places = _columns(numbers, "pos")
+        at = np.concatenate([np.empty(0, np.int32), *places])
         emit = np.zeros((types + 1, STATES))
         emit[at], emit[types] = own, end
         m = Model(start, move, emit, emit[:, 0])
         learnt = ~np.array(row["held"][0], bool)
-        total = np.zeros(STATES * (special + types + 1))
+        counted = np.zeros(STATES * (special + types + 1))
         for piece in _pieces(codes, np.cumsum(sizes)[learnt], sizes[learnt]):
-            total += expected(*piece, m)
-        total = total.reshape(-1, STATES)
-        few = np.concatenate([total[:special], total[-1:]])
-        n = np.concatenate([few, total[special:-1][at]])
-        code = np.concatenate([-1 - np.arange(special + 1), numbers.column("code").to_numpy()])
-        c = np.concatenate([np.zeros(special, np.int64), [ends], numbers.column("c").to_numpy()])
-        some = n.any(axis=1)
-        columns = [pa.array(code[some]), pa.array(c[some].astype(np.int64))]
-        columns += [pa.array(n[some, s].astype(np.float32)) for s in range(STATES)]
-        return pa.Table.from_arrays(columns, ["code", "c", *_COUNTS])
-
-    schema = "code long, c long, " + ", ".join(f"{x} float" for x in _COUNTS)
-    parts = _by_chunk(found, rows, run, schema)
-    sums = [F.sum(x).cast("float") for x in _COUNTS]
-    return parts.groupBy("code", "c").agg(F.array(*sums).alias("n"))
+            counted += expected(*piece, m)
+        counted = counted.reshape(-1, STATES).astype(np.float32)
+        few = np.concatenate([counted[:special], counted[-1:]])
+        parts = [(-1, np.arange(special + 1, dtype=np.int32), np.zeros(special + 1, np.int64), few)]
+        buckets = numbers.column("bucket").to_pylist()
+        met = zip(buckets, _columns(numbers, "code"), _columns(numbers, "c"), places, strict=True)
+        for bucket, code, c, pos in met:
+            n = counted[special:-1][pos]
+            some = n.any(axis=1)
+            if some.any():
+                parts.append((bucket, code[some], c[some], n[some]))
+        columns = [pa.array([part[0] for part in parts], pa.int64())]
+        columns += [pa.array([_pack(part[i]) for part in parts], pa.binary()) for i in (1, 2, 3)]
+        return pa.Table.from_arrays(columns, ["bucket", "code", "c", "n"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        codes = _columns(rows, "code")
+        size = 1 + max(int(code[-1]) for code in codes)
+        n, c = np.zeros((size, STATES)), np.zeros(size, np.int64)
+        # A word is in each row once.
+        for code, more, times in zip(codes, _columns(rows, "n"), _columns(rows, "c"), strict=True):
+            n[code] += more
+            c[code] = times
+        some = np.flatnonzero(n.any(axis=1))
+        n = n[some].astype(np.float32)
+        exact = n.astype(float)
+        base = (c[some] + 0.5) / total / (exact.sum(axis=1) + PRIOR)
+        sums = [[base.sum()], exact.sum(axis=0), base @ exact]
+        return pa.table(
+            {
+                "bucket": pa.array([key[0].as_py()], pa.int64()),
+                "code": pa.array([_pack(some.astype(np.int32))], pa.binary()),
+                "n": pa.array([_pack(n)], pa.binary()),
+                "sums": _one(pa.array(np.concatenate(sums))),
+            }
+        )
+
+    parts = _by_chunk(found, rows, run, "bucket long, code binary, c binary, n binary")
+    schema = "bucket long, code binary, n binary, sums array<double>"
+    return parts.groupBy("bucket").applyInArrow(add, schema)
 
 
 def word_model(counts: DataFrame, ends: int, n: int, v: int) -> WordModel:
     """The model of Baum-Welch counts by word; only sums by state come to the driver."""
     total = n + 0.5 * (v + 1)
     few = np.zeros((3 + STATES, STATES))
-    for row in counts.filter("code < 0").collect():
-        few[-1 - row.code] = row.n
-    counts = counts.select("code", "c", *[F.col("n")[s].cast("double").alias(x) for s, x in enumerate(_COUNTS)])
-    sum_n = sum(F.col(x) for x in _COUNTS)
-    base = (F.col("c") + 0.5) / F.lit(total) / (sum_n + F.lit(PRIOR))
-    sums = counts.filter("code >= 0").select(base.alias("b"), *_COUNTS).agg(
-        F.sum("b"),
-        *[F.sum(x) for x in _COUNTS],
-        *[F.sum(F.col("b") * F.col(x)) for x in _COUNTS],
-    )
-    found = np.array([x or 0.0 for x in sums.first()])
+    for row in counts.filter("bucket < 0").collect():
+        few[_unpack(row.code, _KINDS["code"])] = _unpack(row.n, _KINDS["n"], STATES)
+    sums = [F.sum(F.col("sums")[i]) for i in range(1 + 2 * STATES)]
+    found = np.array([x or 0.0 for x in counts.filter("bucket >= 0").agg(*sums).first()])
     held, seen, weighed = found[0], found[1 : 1 + STATES] + few[-1], found[1 + STATES :]
     share = seen / seen.sum() if seen.sum() > 0 else np.full(STATES, 1 / STATES)
     unknown = 0.5 / total
@@ -359,25 +454,49 @@ def word_model(counts: DataFrame, ends: int, n: int, v: int) -> WordModel:
     return WordModel(shares(few[:2]), shares(few[2:-1]), share, scale, end, unknown, total)
 
 
+def _with_counts(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """``places`` with their words' counts by state; words without any are left out."""
+
+    def run(key: tuple, met: pa.Table, counted: pa.Table) -> pa.Table:
+        known, n = _column(counted, "code"), _column(counted, "n")
+        rows = []
+        triples = zip(*(_columns(met, name) for name in ("pos", "code", "c")), strict=True)
+        for chunk, (pos, code, c) in zip(met.column("chunk").to_pylist(), triples, strict=True):
+            at = np.searchsorted(known, code)
+            some = at < len(known)
+            some[some] = known[at[some]] == code[some]
+            if some.any():
+                rows.append((chunk, pos[some], code[some], c[some], n[at[some]]))
+        columns = [pa.array([row[0] for row in rows], pa.int64())]
+        columns += [pa.array([key[0].as_py()] * len(rows), pa.int64())]
+        columns += [pa.array([_pack(row[i]) for row in rows], pa.binary()) for i in (1, 2, 3, 4)]
+        return pa.Table.from_arrays(columns, ["chunk", "bucket", "pos", "code", "c", "n"])
+
+    schema = "chunk long, bucket long, pos binary, code binary, c binary, n binary"
+    known = counts.filter("bucket >= 0").select(F.col("bucket").alias("of"), "code", "n")
+    met = places.select("chunk", "bucket", "pos", "code", "c")
+    return met.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(run, schema)
+
+
 def trained_words(
     found: DataFrame, places: DataFrame, first: Model, ends: int, n: int, v: int
 ) -> tuple[WordModel, DataFrame]:
-    """Full rounds from the model of classes on: the model, and ``places`` with counts."""
+    """Full rounds from the model of classes on: the model, and the counts by word."""
     rows, counts = places, None
     local = lambda t: (
-        first.start, first.move, first.emit[t.column("class").to_numpy()], first.emit[END]
+        first.start, first.move, first.emit[_column(t, "class")], first.emit[END]
     )
     for _ in range(FULL_ROUNDS):
-        before, counts = counts, written(word_counts(found, rows, ends, local))
+        before, counts = counts, written(word_counts(found, rows, n + 0.5 * (v + 1), local))
         if before is not None:
             dropped(before)
         # The shuffles of this round go before those of the next are written.
         rows = None
         freed(found.sparkSession)
         model = word_model(counts, ends, n, v)
-        rows = places.select("chunk", "pos", "code").join(counts, "code")
+        rows = _with_counts(places, counts)
         local = lambda t, m=model: (m.start, m.move, m.emissions(t), m.end)
-    return model, rows
+    return model, counts
 
 
 # Scores
@@ -407,9 +526,9 @@ def _scores(found: DataFrame, rows: DataFrame, model: WordModel, ends: int) -> D
     def run(key: tuple, numbers: pa.Table, chunk: pa.Table) -> pa.Table:
         row = chunk.slice(0, 1).to_pydict()
         codes, sizes, types = _tokens(row)
-        at = numbers.column("pos").to_numpy()
+        at = _column(numbers, "pos")
         count = np.zeros(types + 1, np.int64)
-        count[at], count[types] = numbers.column("c").to_numpy(), ends
+        count[at], count[types] = _column(numbers, "c"), ends
         emit = np.full((types + 1, STATES), model.unknown)
         emit[at], emit[types] = model.emissions(numbers), model.end
         base = np.log10((count + 0.5) / model.total)
@@ -430,7 +549,7 @@ def _scores(found: DataFrame, rows: DataFrame, model: WordModel, ends: int) -> D
         "doc_id long, held_out boolean, n_tokens long, n_known long, "
         "base_score double, score double"
     )
-    return _by_chunk(found, rows.drop("code"), run, schema)
+    return _by_chunk(found, rows.drop("bucket", "code"), run, schema)
 
 
 def language_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
@@ -451,32 +570,33 @@ def language_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame
     rows = docs.select(
         F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string")
     )
-    found = written(chunks(rows))
-    pairs = found.select(F.explode(F.arrays_zip("words", "counts")).alias("p"))
-    totals = pairs.select(F.col("p.words").alias("word"), F.col("p.counts").alias("n"))
-    known = totals.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    plain = written(known)
-    known = written(_classes(plain))
-    train = found.select(F.explode("held").alias("held"))
-    ends = train.filter("not held").count()
-    shares = known.groupBy("class").agg(
-        F.sum("c").alias("c"), F.count(F.lit(1)).alias("types")
-    ).toPandas()
-    n = int(shares["c"].sum()) + ends
-    v = int(shares["types"].sum()) + (ends > 0)
-    mass = np.zeros(CLASSES)
-    mass[shares["class"].to_numpy(dtype=int)] = shares["c"] + 0.5 * shares["types"]
-    mass[END] = ends + 0.5 if ends else 0
-    mass[UNKNOWN] = 0.5
-    mass /= n + 0.5 * (v + 1)
-    words = found.select("chunk", F.posexplode("words").alias("pos", "word"))
-    places = written(words.join(known, "word").select("chunk", "pos", "code", "c", "class"))
-    dropped(plain, known)
-    training = written(_coded(found, places, ends))
-    part = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SLICES))
-    first = first_model(mass)
-    for turn in range(SHORT_ROUNDS):
-        first = baum_welch(training.filter(part == turn), first)
-    dropped(training)
-    model, rows = trained_words(found, places, first, ends, n, v)
-    return _scores(found, rows, model, ends).withColumn("train_tokens", F.lit(n).cast("long"))
+    with tidy(rows.sparkSession):
+        whole = written(chunks(rows))
+        words = written(_words(whole))
+        known = _classes(words)
+        places = written(_places(known))
+        # Spelling is of no use any more.
+        found = written(whole.select("*", F.size("words").alias("types")).drop("words", "counts"))
+        dropped(whole)
+        train = found.select(F.explode("held").alias("held"))
+        ends = train.filter("not held").count()
+        shares = known.groupBy("class").agg(
+            F.sum("c").alias("c"), F.count(F.lit(1)).alias("types")
+        ).toPandas()
+        dropped(words)
+        n = int(shares["c"].sum()) + ends
+        v = int(shares["types"].sum()) + (ends > 0)
+        mass = np.zeros(CLASSES)
+        mass[shares["class"].to_numpy(dtype=int)] = shares["c"] + 0.5 * shares["types"]
+        mass[END] = ends + 0.5 if ends else 0
+        mass[UNKNOWN] = 0.5
+        mass /= n + 0.5 * (v + 1)
+        training = written(_coded(found, places, ends))
+        part = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SLICES))
+        first = first_model(mass)
+        for turn in range(SHORT_ROUNDS):
+            first = baum_welch(training.filter(part == turn), first)
+        dropped(training)
+        model, counts = trained_words(found, places, first, ends, n, v)
+    scores = _scores(found, _with_counts(places, counts), model, ends)
+    return scores.withColumn("train_tokens", F.lit(n).cast("long"))

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,40 @@ def test_words_of_one_ending_have_counts_of_their_own(spark, monkeypatch):
     assert own.count("xabc") > 2 and gain[0] > gain[1] + 1
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_shuffles_of_training_do_not_stay_on_disk(spark):
+    rows = [(i, prose(i, 40)) for i in range(40)]
+    before = _shuffle_files(spark)
+    scores = language_scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    until = time.time() + 10
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert scores.count() == scores.count() == 40
+
+
+def test_words_in_many_buckets(spark, monkeypatch):
+    """Texts in chunks of their own, a few words to a bucket: scores as with a single one."""
+    rows = [(i, f"{prose(i, 30)} own{i}") for i in range(24)] + [(24, None), (25, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(tuple(r) for r in language_scores(table).collect())
+    monkeypatch.setattr(hmm, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(hmm, "BUCKET_PLACES", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        apart = sorted(tuple(r) for r in language_scores(table).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r[:5] for r in whole] == [r[:5] for r in apart]
+    for a, b in zip(whole, apart, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-4)
+
+
 # Classifiers
 
 
