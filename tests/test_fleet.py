@@ -198,6 +198,42 @@ def test_statements_are_cut_down_and_judged_before_they_meet(fleet):
     assert "reference_id" not in plan
 
 
+def plan_text(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_are_cut_down_to_the_selection_once(fleet):
+    """Paths and columns read the same written claims."""
+    assert "Join" not in plan_text(fleet.near().claims)
+
+
+def test_selectors_that_cannot_be_planned_split_no_job(spark, graph, monkeypatch):
+    jobs = []
+    run = Fleet._by_frames
+    monkeypatch.setattr(Fleet, "_by_frames", lambda self, some, numbers: jobs.append(len(some)) or run(self, some, numbers))
+    texts = ["select no_such_column from {claims}", *[f"select entity_id from {{claims}} where property = 'P{i}'" for i in (1, 17)]]
+    found = Fleet(graph, [Dashboard(t, GroupBy(("P17",)), (), f"b{i}") for i, t in enumerate(texts)])
+    assert jobs == [2] and list(found.failed) == ["b0"]
+    assert {r.dashboard for r in found.selected().select("dashboard").distinct().collect()} == {"b1", "b2"}
+
+
+def test_more_checks_and_qualifiers_than_a_number_has_bits(spark):
+    g = Graph()
+    for i in range(70):
+        quals = [(f"P{200 + i}", "v"), (f"P{200 + (i + 1) % 70}", "v")]
+        g.claim(f"e{i}", "P1", "Q1", quals=quals, refs=[[(f"P{400 + i}", "v"), (f"P{400 + (i + 7) % 70}", "v")]])
+    g.claim("e0", "P17", "Q1")
+    text = ",".join(f"P1/P{200 + i},P1/S{400 + i},P1/S{400 + i}+S{400 + (i + 7) % 70},P1/S{400 + i};S{400 + (i + 3) % 70}" for i in range(70))
+    board = Dashboard(bag(spark, *[f"e{i}" for i in range(70)]), GroupBy(("P17",)), columns_from_text(text), "b", threshold=1)
+    rows = Fleet(g.facts(spark), [board]).long_report().filter("section = 2").collect()
+    found = {r.column_key: r.column_count for r in rows}
+    wanted = {}
+    for i in range(70):
+        wanted |= {f"P1/P{200 + i}": 2, f"P1/S{400 + i}": 2, f"P1/S{400 + i}+S{400 + (i + 7) % 70}": 1}
+        wanted[f"P1/S{400 + i};S{400 + (i + 3) % 70}"] = 4
+    assert found == wanted
+
+
 def test_edges_meet_the_kinds_of_their_dashboards_where_they_lie(fleet):
     plan = fleet._pairs()._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
