@@ -65,24 +65,29 @@ class Batch:
         write_lists(self.lists(existing, foreign_prefixes, lang), path)
 
 
-def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard | str]:
+def _with_kinds(
+    facts: Facts, dashboards: Sequence[Dashboard]
+) -> tuple[list[Dashboard | str], Fleet | None]:
     """Each dashboard with its kind of grouping, or why it has none; few jobs for all.
 
     The values of a dashboard's own entities tell, as in a plan of one dashboard; if there
-    are none, all values of the property do.
+    are none, all values of the property do. The fleet that told has their selections and edges.
     """
     undeclared = [d for d in dashboards if d.group_by.kind is None and d.group_by.edges is None]
     own: dict[str, Row] = {}
     kinds: dict[str, str | None] = {}
     failed: dict[str, str] = {}
+    fleet = None
     if undeclared:
         fleet = Fleet(facts, undeclared)
         failed = fleet.failed
         own = {row.dashboard: row for row in fleet.kinds().collect()}
-        # One row per property that some dashboard names.
-        ends = {d.group_by.path[-1] for d in undeclared}
-        wanted = group_kinds(facts).filter(F.col("property").isin(*sorted(ends)))
-        kinds = {row.property: row.group_kind for row in wanted.collect()}
+        # One row per property that some dashboard without values of its own names.
+        without = [d for d in undeclared if d.name in own and not own[d.name].value_type]
+        ends = {d.group_by.path[-1] for d in without}
+        if ends:
+            wanted = group_kinds(facts).filter(F.col("property").isin(*sorted(ends)))
+            kinds = {row.property: row.group_kind for row in wanted.collect()}
     resolved: list[Dashboard | str] = []
     for d in dashboards:
         if d.group_by.kind:
@@ -106,7 +111,7 @@ def _with_kinds(facts: Facts, dashboards: Sequence[Dashboard]) -> list[Dashboard
             resolved.append(f"cannot group by the values of {prop}")
         else:
             resolved.append(d.with_kind(kind))
-    return resolved
+    return resolved, fleet
 
 
 def _that_run(
@@ -136,7 +141,8 @@ def plan_all(
     """One plan for all valid dashboards; ``errors`` are (dashboard, error) so far."""
     bad: list[tuple[str, str]] = []
     good: list[Dashboard] = []
-    for d, found in zip(dashboards, _with_kinds(facts, dashboards), strict=True):
+    resolved, fleet = _with_kinds(facts, dashboards)
+    for d, found in zip(dashboards, resolved, strict=True):
         if isinstance(found, str):
             bad.append((d.name, found))
             continue
@@ -151,7 +157,7 @@ def plan_all(
         rows = errors.toDF("dashboard", "error").unionByName(rows)
     if not good:
         return Batch(None, rows)
-    coverage = Coverage(facts, good)
+    coverage = Coverage(facts, good, fleet)
     try:
         coverage.counted_groups()
     except (PySparkException, Py4JJavaError):

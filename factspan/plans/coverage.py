@@ -41,7 +41,8 @@ class Coverage:
     when executors are lost.
     """
 
-    def __init__(self, facts: Facts, dashboards: Dashboard | Sequence[Dashboard]):
+    def __init__(self, facts: Facts, dashboards: Dashboard | Sequence[Dashboard], begun=None):
+        """``begun`` is a fleet with some of these dashboards; its selections and edges are used."""
         if isinstance(dashboards, Dashboard):
             dashboards = [dashboards]
         names = [d.name for d in dashboards]
@@ -59,6 +60,8 @@ class Coverage:
         self._projects = facts.project_table() if sites else None
         self._kept: dict[str, DataFrame] = {}
         self._near: Facts | None = None
+        self._begun = begun
+        self._ready = {d.name for d in begun.dashboards} & set(names) if begun else set()
 
     def _keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
@@ -73,9 +76,17 @@ class Coverage:
         Written where both "no grouping" rows and groups are made of them.
         """
         if by not in self._grouping_marks():
-            return group_edges(self.facts, by, self.near())
+            return self._found_edges(by)
         name = f"edges of {self._grouping_marks()[by]}"
-        return self._keep(name, lambda: group_edges(self.facts, by, self.near()))
+        return self._keep(name, lambda: self._found_edges(by))
+
+    def _found_edges(self, by: GroupBy) -> DataFrame:
+        mine = [d.name for d in self.dashboards if d.group_by == by]
+        if by.edges is not None or by.kind == "site" or not self._ready.issuperset(mine):
+            return group_edges(self.facts, by, self.near())
+        group = F.col("time_year" if by.kind == "year" else "value").cast("string")
+        rows = self._begun.edges().filter(F.col("dashboard").isin(*mine))
+        return rows.select("entity_id", group.alias("group")).distinct()
 
     def _grouping_marks(self) -> dict[GroupBy, str]:
         """A flag for each grouping that some "no grouping" row asks about."""
@@ -84,6 +95,8 @@ class Coverage:
 
     def near(self) -> Facts:
         """The facts of the selected entities."""
+        if self._near is None and self._ready.issuperset(d.name for d in self.dashboards):
+            self._near = self._begun.near()
         if self._near is None:
             ids = self.selected().select("entity_id").distinct()
             self._near = among(self.facts, ids)
@@ -99,9 +112,15 @@ class Coverage:
                 F.lit(d.name).alias("dashboard"), "entity_id"
             )
             for d in self.dashboards
+            if d.name not in self._ready
         ]
-        bag = reduce(DataFrame.union, parts)
-        return bag.groupBy("dashboard", "entity_id").agg(F.count(F.lit(1)).alias("times"))
+        found = []
+        if self._ready:
+            found.append(self._begun.selected().filter(F.col("dashboard").isin(*sorted(self._ready))))
+        if parts:
+            bag = reduce(DataFrame.union, parts)
+            found.append(bag.groupBy("dashboard", "entity_id").agg(F.count(F.lit(1)).alias("times")))
+        return reduce(DataFrame.union, found)
 
     def entities(self) -> DataFrame:
         """The selection with one boolean per column and whether it is in a group."""

@@ -90,6 +90,20 @@ def test_dashboards_that_ask_for_lists_get_them(spark, tmp_path):
     assert plan_all(facts, boards[1:2]).lists(pages).collect() == []
 
 
+def test_what_told_the_kinds_is_not_computed_again(spark):
+    """Selections, edges and the claims of entities come from the fleet that told the kinds."""
+    facts = countries().facts(spark)
+    chosen = bag(spark, *[f"e{i}" for i in range(9)])
+    boards = [Dashboard(chosen, GroupBy(("P17",)), columns_from_text("P1/P2,P1"), f"d{i}", threshold=1 + i) for i in range(2)]
+    batch = plan_all(facts, boards)
+    for frame in (batch.coverage.near().claims, batch.coverage._edges(batch.coverage.dashboards[0].group_by)):
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    # One that tells its kind itself is selected beside the others.
+    mixed = plan_all(facts, [*boards, replace(boards[0].with_kind("item"), name="told")])
+    rows = lambda b, name: sorted(tuple(r)[1:] for r in b.lines().filter(f"dashboard = '{name}'").collect())
+    assert rows(mixed, "told") == rows(mixed, "d0") == rows(batch, "d0") != []
+
+
 def test_lists_of_many_dashboards_are_one_plan(spark):
     facts = countries().facts(spark)
     pages = spark.createDataFrame([], "title string")
