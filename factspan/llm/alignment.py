@@ -29,11 +29,15 @@ _CHUNKS = (
     "odd_a array<int>, odd_b array<int>, odd_docs array<int>, "
     "odd_doc array<int>, odd_at array<int>, odd_n array<int>"
 )
+_COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 _RESULT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
     "count_sum long, groups binary"
 )
 
+# A chunk is a row of up to half a megabyte; readers and writers hold a row group at a time.
+_GROUP_BYTES = 4 << 20
+
 
 # Vocabularies
 
@@ -325,8 +329,8 @@ def _same_counts(chunks: DataFrame, size: int) -> np.ndarray:
     return _vector(counted.groupBy("a").agg(F.sum("n").alias("n")), size)
 
 
-def _ints(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
-    value = batch.column(name)[row]
+def _ints(rows: pa.Table, row: int, name: str) -> np.ndarray:
+    value = rows.column(name)[row]
     return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
 
 
@@ -352,7 +356,7 @@ def tokenizer_alignment(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = written(_chunks(rows, folder))
+    chunks = written(_chunks(rows, folder), _GROUP_BYTES)
     size = len(tokenizers_in(folder).sizes_a)
     same = _same_counts(chunks, size)
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("odd_a", "odd_b", "odd_docs")).alias("at", "pair"))
@@ -360,30 +364,28 @@ def tokenizer_alignment(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     pairs = written(listed.groupBy("odd_a", "odd_b").agg(F.sum("odd_docs").alias("n")))
     highest = pairs.groupBy(F.col("odd_a").alias("a")).agg(F.max("n").alias("n"))
     best = np.maximum(same, _vector(highest, size))
-    answers = listed.join(pairs, ["odd_a", "odd_b"]).groupBy("chunk")
-    answers = answers.agg(F.collect_list(F.struct("at", "n")).alias("told"))
-    told = answers.select("chunk", F.col("told.at").alias("told_at"), F.col("told.n").alias("told_n"))
-    met = chunks.drop("odd_b", "odd_docs").join(told, "chunk", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ints = lambda name: _ints(batch, row, name)  # noqa: B023, E731
-                ids = batch.column("doc_id")[row].values
-                n_best, count_sum = (np.zeros(len(ids), np.int64) for _ in range(2))
-                counts = np.zeros(len(ints("odd_a")), np.int64)
-                counts[ints("told_at")] = ints("told_n")
-                at = ints("odd_at")
-                for text, a, n, often in (
-                    (ints("same_doc"), ints("same_a"), same[ints("same_a")], ints("same_n")),
-                    (ints("odd_doc"), ints("odd_a")[at], counts[at], ints("odd_n")),
-                ):
-                    np.add.at(count_sum, text, n * often)
-                    np.add.at(n_best, text, np.where(n == best[a], often, 0))
-                read = [batch.column(c)[row].values for c in ("n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *read, pa.array(n_best), pa.array(count_sum), batch.column("groups")[row].values],
-                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
-                )
-
-    return met.mapInArrow(run, _RESULT)
+    answers = listed.join(pairs, ["odd_a", "odd_b"]).select(F.col("chunk").alias("of"), "at", "n")
+    asked = chunks.drop("odd_b", "odd_docs")
+
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        parts = []
+        for row in range(asked.num_rows):
+            ints = lambda name: _ints(asked, row, name)  # noqa: B023, E731
+            ids = asked.column("doc_id")[row].values
+            n_best, count_sum = (np.zeros(len(ids), np.int64) for _ in range(2))
+            counts = np.zeros(len(ints("odd_a")), np.int64)
+            counts[told.column("at").to_numpy()] = told.column("n").to_numpy()
+            at = ints("odd_at")
+            for text, a, n, often in (
+                (ints("same_doc"), ints("same_a"), same[ints("same_a")], ints("same_n")),
+                (ints("odd_doc"), ints("odd_a")[at], counts[at], ints("odd_n")),
+            ):
+                np.add.at(count_sum, text, n * often)
+                np.add.at(n_best, text, np.where(n == best[a], often, 0))
+            read = [asked.column(c)[row].values for c in ("n_a", "n_b", "n_groups", "n_links")]
+            columns = [ids, *read, pa.array(n_best), pa.array(count_sum), asked.column("groups")[row].values]
+            parts.append(pa.table(dict(zip(_COLUMNS, columns, strict=True))))
+        return pa.concat_tables(parts)
+
+    # Chunks and answers are sorted and stream by: a task has one chunk's at a time.
+    return asked.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, _RESULT)

@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from factspan.llm import alignment, common
@@ -100,6 +101,23 @@ def test_alignment(spark, monkeypatch, most):
     assert sorted(found, key=str) == brute(rows)
 
 
+def test_a_task_holds_few_chunks(spark, monkeypatch):
+    """Chunks are read a small row group at a time, and none's answers are collected in the JVM."""
+    kept = []
+    run = alignment.written
+    monkeypatch.setattr(alignment, "written", lambda rows, *more: kept.append(run(rows, *more)) or kept[-1])
+    monkeypatch.setattr(alignment, "sliced", lambda batch: common.sliced(batch, most=300))
+    monkeypatch.setattr(alignment, "_GROUP_BYTES", 1)
+    found = tokenizer_alignment(frame(spark, texts(), SCHEMA).coalesce(1))
+    sizes = []
+    for file in kept[0].inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        sizes += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert len(sizes) > 3 and set(sizes) == {1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+
+
 def test_no_texts(spark, no_documents):
     assert tokenizer_alignment(no_documents).collect() == []
     rows = frame(spark, [(1, None, "a"), (2, "", "a")], SCHEMA)
