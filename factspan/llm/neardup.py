@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -284,6 +285,42 @@ def _links_in(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return [(int(node[i]), int(node[j])) for i, j in np.argwhere(similar)]
 
 
+def _dealt(sets: DataFrame, families: DataFrame, percent: int, packs: int) -> DataFrame:
+    """(node, n, large, part, one, two): the pairs of blocks in which each member's sets are compared.
+
+    Blocks of a large family hold members of one class of sizes. Similar sets have sizes
+    whose logarithms differ by a class's width at most, so a block meets those of its own
+    and the two next classes only, and what a member meets grows with those.
+    """
+    sized = families.join(sets.select("node", F.size("shingles").alias("n")).distinct(), "node")
+    whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    # A little wider, so that no rounding parts sizes that are just similar.
+    width = math.log(100 / percent) * (1 + 1e-9) + 1e-9 if percent > 0 else math.inf
+    level = F.when(F.col("members") > _BLOCK, F.floor(F.log("n") / width)).otherwise(0).cast("long")
+    rows = written(sized.join(whole, "family").select("node", "n", "family", "members", level.alias("level")))
+    blocks = F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks")
+    levels = rows.groupBy("family", "level").agg(blocks)
+    near = F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1))
+    # Where a member's level is told, and which blocks of its own and the next levels there are.
+    beside = levels.select("family", F.col("level").alias("_level"), F.col("blocks").alias("_blocks"))
+    met = levels.select("*", near.alias("_level")).join(beside, ["family", "_level"])
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+    met = met.select("family", "level", "blocks", "_level", other)
+    rows = rows.withColumn("_key", F.xxhash64("node")).join(met, ["family", "level"])
+    own = F.struct("level", F.pmod("_key", F.col("blocks")).cast("int").alias("block"))
+    other = F.struct(F.col("_level").alias("level"), F.col("_block").alias("block"))
+    pack = F.pmod(F.xxhash64("family"), F.lit(packs))
+    large = F.col("members") > _BLOCK
+    return rows.select(
+        "node",
+        "n",
+        large.alias("large"),
+        F.when(large, F.col("family")).otherwise(pack).alias("part"),
+        F.least(own, other).alias("one"),
+        F.greatest(own, other).alias("two"),
+    )
+
+
 def _links_of_families(
     sets: DataFrame, labelled: DataFrame, families: DataFrame, percent: int
 ) -> DataFrame:
@@ -292,24 +329,14 @@ def _links_of_families(
     A family is compared block by block: no task gets more than two blocks, however
     large the family is, and only links leave it. Small families share tasks.
     """
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     packs = max(1, families.count() // _BLOCK)
-    pack = F.pmod(F.xxhash64("family"), F.lit(packs))
-    rows = families.join(sizes, "family").withColumn("blocks", blocks)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.select(
-        "node",
-        (F.col("blocks") > 1).alias("large"),
-        F.when(F.col("blocks") > 1, F.col("family")).otherwise(pack).alias("part"),
-        own.alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    )
-    rows = rows.join(labelled, "node").join(sets, "node").select(
+    rows = _dealt(sets, families, percent, packs)
+    sets = sets.withColumn("n", F.size("shingles"))
+    rows = rows.join(labelled, "node").join(sets, ["node", "n"]).select(
         "large",
         "part",
-        F.least("block", "other").alias("one"),
-        F.greatest("block", "other").alias("two"),
+        "one",
+        "two",
         "node",
         "component",
         "shingles",

@@ -1,13 +1,15 @@
 """Near copies, passages, byte strings and benchmark items against brute force."""
 
+import random
 import re
 import string
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from factspan.llm import repeats
+from factspan.llm import neardup, repeats
 from factspan.llm.components import connected_components
 from factspan.llm.decontaminate import leaks, without_leaks
 from factspan.llm.neardup import near_duplicates, super_min_hash
@@ -69,6 +71,36 @@ def test_chains_and_many_texts_below_the_threshold(spark):
     assert sorted(found, key=str) == near(rows, 4, 80)
 
 
+def test_large_families_are_compared_by_size(spark, monkeypatch):
+    """A member meets those of like size, and no similar pair is lost, at the edge of a class either."""
+    monkeypatch.setattr(neardup, "_BLOCK", 16)
+    draw = random.Random(4)
+    sets, node = [], 0
+    for size in (10, 12, 15, 16, 19, 20, 24, 25, 40, 50, 80, 100):
+        for _ in range(10):
+            sets.append((node, [0, *draw.sample(range(1, 140), size - 1)]))
+            node += 1
+    for whole in (20, 25, 80, 100, 40):
+        shingles = list(range(1000 * whole, 1000 * whole + whole))
+        sets += [(node, shingles), (node + 1, shingles[: whole * 4 // 5])]
+        node += 2
+    # A node of several texts, one of them empty.
+    sets += [(0, []), (1, sets[60][1])]
+    table = spark.createDataFrame(sets, "node long, shingles array<long>")
+    nodes = table.select("node").distinct()
+    families = nodes.select("node", F.lit(0).cast("long").alias("family"))
+    labelled = nodes.select("node", F.col("node").alias("component"))
+    found = {(r.a, r.b) for r in neardup._links_of_families(table, labelled, families, 80).collect()}
+    some = [(n, set(s)) for n, s in sets if s]
+    wanted = {
+        (a, b) for a, x in some for b, y in some if a < b and len(x & y) * 100 >= len(x | y) * 80
+    }
+    assert found == wanted and len(wanted) >= 6
+    dealt = neardup._dealt(table, families, 80, 1)
+    # In blocks of 16 alone each of the sets would be in nine pairs.
+    assert dealt.count() < 5 * len(sets)
+
+
 def test_signatures_agree_as_often_as_sets_do():
     draw = np.random.default_rng(3)
     common = draw.integers(0, 2**63, 80).astype(np.uint64)
